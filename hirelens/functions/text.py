@@ -47,11 +47,28 @@ def col(c: Column | str) -> Column:
 # ---------------------------------------------------------------------------
 # Lines, stripping, counting
 # ---------------------------------------------------------------------------
+BREAK_CHARS = r"\x0a-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}"
+
+
 def splitlines(text: Column | str) -> Column:
-    """``str.splitlines()``: no trailing empty element, '' -> []."""
-    parts = F.split(col(text), LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == F.lit(""),
-                  F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    """``str.splitlines()``: one final line break is dropped first, so there is
+    no trailing empty element; '' -> []."""
+    c = col(text)
+    parts = F.split(F.regexp_replace(c, rf"(?:{LINE_BREAK})\z", ""), LINE_BREAK, -1)
+    return F.when(c == F.lit(""), F.array().cast("array<string>")).otherwise(parts)
+
+
+def join_lines(text: Column | str) -> Column:
+    """``"\\n".join(text.splitlines())`` without materializing the lines."""
+    return F.regexp_replace(F.regexp_replace(col(text), rf"(?:{LINE_BREAK})\z", ""),
+                            LINE_BREAK, "\n")
+
+
+def nonblank_lines(text: Column | str) -> Column:
+    """Lines holding a non-whitespace character, unstripped, in order (one
+    JVM regex scan instead of split + per-line lambdas)."""
+    return F.regexp_extract_all(col(text),
+                                F.lit(f"[^{BREAK_CHARS}]*[^{WS_BODY}][^{BREAK_CHARS}]*"), 0)
 
 
 def strip(text: Column | str) -> Column:
@@ -84,7 +101,7 @@ def clean_text(text: Column | str) -> Column:
 
 def nonblank_stripped_lines(text: Column | str) -> Column:
     """``[l.strip() for l in text.splitlines() if l.strip()]``."""
-    return F.filter(F.transform(splitlines(text), lambda l: strip(l)), lambda l: l != F.lit(""))
+    return F.transform(nonblank_lines(text), lambda l: strip(l))
 
 
 # ---------------------------------------------------------------------------

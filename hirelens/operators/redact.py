@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import (D, END, NOT_D, NOT_WS, START, WS, WS_BODY, BOUNDARY, EMAIL_CORE,
-                              casefold_ascii, col, collapse_ws, nonblank_stripped_lines,
-                              splitlines)
+                              casefold_ascii, col, collapse_ws, join_lines, nonblank_lines,
+                              splitlines, strip)
 
 EMAIL = f"{BOUNDARY}{EMAIL_CORE}{END}"
 URL = (rf"(?iu){START}(?:https?://|www\.){NOT_WS}+"
@@ -32,8 +32,8 @@ NAME_SHAPE = r"\A[A-Za-z][A-Za-z .'’-]+\z"
 def detect_candidate_name(text: Column | str) -> Column:
     """First of the first four non-blank lines that looks like a person's name
     (whitespace collapsed), else null."""
-    header = F.slice(nonblank_stripped_lines(text), 1, fixed.HEADER_NAME_LINES)
-    cands = F.transform(header, lambda l: collapse_ws(l))
+    header = F.slice(nonblank_lines(text), 1, fixed.HEADER_NAME_LINES)
+    cands = F.transform(header, lambda l: collapse_ws(strip(l)))
 
     def looks_like_name(n: Column) -> Column:
         low = F.lower(n)
@@ -62,8 +62,15 @@ def redact_name(text: Column, name: Column) -> tuple[Column, Column]:
             F.when(has, _count(text, pattern)).otherwise(F.lit(0)))
 
 
-def redact_pattern(text: Column, pattern: str, token: str) -> tuple[Column, Column]:
-    return F.regexp_replace(text, pattern, token), _count(text, pattern)
+def redact_pattern(text: Column, pattern: str, token: str,
+                   needs: str | None = None) -> tuple[Column, Column]:
+    """Replace every match and count them; ``needs`` is a substring every
+    match contains, checked first so most texts skip both regex scans."""
+    out, cnt = F.regexp_replace(text, pattern, token), _count(text, pattern)
+    if needs is None:
+        return out, cnt
+    has = text.contains(needs)
+    return F.when(has, out).otherwise(text), F.when(has, cnt).otherwise(F.lit(0))
 
 
 def _digits(s: Column) -> Column:
@@ -84,31 +91,53 @@ def redact_phone_numbers(text: Column) -> tuple[Column, Column]:
     return F.array_join(glued, ""), F.size(F.filter(found, ok)).cast("int")
 
 
+ADDRESS_WORDS = "|".join(fixed.ADDRESS_WORDS)
+
+
 def _address_line(line: Column) -> Column:
-    low = casefold_ascii(line)
-    word = None
-    for w in fixed.ADDRESS_WORDS:
-        c = low.contains(w)
-        word = c if word is None else (word | c)
-    return word | line.rlike(PIN)
+    """An address word as a substring of the case-folded line, or a postal code."""
+    return casefold_ascii(line).rlike(ADDRESS_WORDS) | line.rlike(PIN)
 
 
 def redact_header_addresses(text: Column) -> tuple[Column, Column]:
     """Whole line -> token among the first twelve lines when it holds an address
-    word (as a substring) or a six-digit postal code; lines rejoined with LF."""
-    lines = splitlines(text)
+    word (as a substring) or a six-digit postal code; lines rejoined with LF.
+
+    Only the header is split into lines; the rest of the (line-end
+    normalized) text is carried over as one string.
+    """
+    t = join_lines(text)
     n = fixed.HEADER_ADDRESS_LINES
-    out = F.transform(lines, lambda l, i: F.when((i < n) & _address_line(l),
-                                                 F.lit(fixed.TOKENS["address"])).otherwise(l))
-    cnt = F.size(F.filter(F.slice(lines, 1, n), _address_line))
-    return F.array_join(out, "\n"), cnt.cast("int")
+    head = F.substring_index(t, "\n", n)
+    tail = F.substring(t, F.length(head) + 1, 2147483647)
+    lines = F.split(head, "\n", -1)
+    out = F.transform(lines, lambda l: F.when(_address_line(l), F.lit(fixed.TOKENS["address"]))
+                      .otherwise(l))
+    cnt = F.size(F.filter(lines, _address_line))
+    return F.concat(F.array_join(out, "\n"), tail), cnt.cast("int")
 
 
-def redact_sensitive_lines(text: Column) -> tuple[Column, Column]:
+# Existence of a sensitive line in LF-only text (any line start, then the rule).
+_SENSITIVE_ANY = (rf"(?iu)(?:\A|(?<=\n)){WS}*(?:" + "|".join(fixed.SENSITIVE_LABELS)
+                  + rf"){WS}*[:\-]")
+
+
+def redact_sensitive_lines(text: Column, normalized: bool = False) -> tuple[Column, Column]:
+    """Whole line -> token when it starts with a personal-field label.
+
+    With ``normalized`` (the input already went through the address pass, so
+    its lines are LF-joined) a single regex scan decides whether any line can
+    match; texts without one are returned as they are.
+    """
     lines = splitlines(text)
     hit = lambda l: l.rlike(SENSITIVE)
-    out = F.transform(lines, lambda l: F.when(hit(l), F.lit(fixed.TOKENS["sensitive_fields"])).otherwise(l))
-    return F.array_join(out, "\n"), F.size(F.filter(lines, hit)).cast("int")
+    out = F.array_join(F.transform(lines, lambda l: F.when(hit(l), F.lit(fixed.TOKENS["sensitive_fields"]))
+                                   .otherwise(l)), "\n")
+    cnt = F.size(F.filter(lines, hit)).cast("int")
+    if not normalized:
+        return out, cnt
+    any_hit = text.rlike(_SENSITIVE_ANY)
+    return F.when(any_hit, out).otherwise(text), F.when(any_hit, cnt).otherwise(F.lit(0))
 
 
 def redact(df: DataFrame, text_col: str = "text", out_col: str = "redacted_text") -> DataFrame:
@@ -118,13 +147,13 @@ def redact(df: DataFrame, text_col: str = "text", out_col: str = "redacted_text"
     out = df.withColumn("__name", detect_candidate_name(text_col))
     text, n = redact_name(col(text_col), F.col("__name"))
     out = out.withColumns({t: text, "__c_name": n})
-    passes = [("email", lambda x: redact_pattern(x, EMAIL, fixed.TOKENS["email"])),
+    passes = [("email", lambda x: redact_pattern(x, EMAIL, fixed.TOKENS["email"], "@")),
               ("url", lambda x: redact_pattern(x, URL, fixed.TOKENS["url"])),
               ("aadhaar", lambda x: redact_pattern(x, AADHAAR, fixed.TOKENS["aadhaar"])),
               ("pan", lambda x: redact_pattern(x, PAN, fixed.TOKENS["pan"])),
               ("phone", redact_phone_numbers),
               ("address", redact_header_addresses),
-              ("sensitive_fields", redact_sensitive_lines)]
+              ("sensitive_fields", lambda x: redact_sensitive_lines(x, normalized=True))]
     for key, fn in passes:
         text, n = fn(F.col(t))
         out = out.withColumns({t: text, f"__c_{key}": n})
