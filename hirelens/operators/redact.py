@@ -127,7 +127,8 @@ def redact_sensitive_lines(text: Column, normalized: bool = False) -> tuple[Colu
 
     With ``normalized`` (the input already went through the address pass, so
     its lines are LF-joined) a single regex scan decides whether any line can
-    match; texts without one are returned as they are.
+    match; texts without one only get the line re-join (which still drops a
+    final empty line), done as one regex instead of split + join.
     """
     lines = splitlines(text)
     hit = lambda l: l.rlike(SENSITIVE)
@@ -137,7 +138,7 @@ def redact_sensitive_lines(text: Column, normalized: bool = False) -> tuple[Colu
     if not normalized:
         return out, cnt
     any_hit = text.rlike(_SENSITIVE_ANY)
-    return F.when(any_hit, out).otherwise(text), F.when(any_hit, cnt).otherwise(F.lit(0))
+    return F.when(any_hit, out).otherwise(join_lines(text)), F.when(any_hit, cnt).otherwise(F.lit(0))
 
 
 def redact(df: DataFrame, text_col: str = "text", out_col: str = "redacted_text") -> DataFrame:

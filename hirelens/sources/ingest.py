@@ -19,11 +19,22 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     """``binaryFile`` source: ``path, modificationTime, length, content``.
 
     No ``pathGlobFilter``: it is case-sensitive and would silently drop the
-    files the extension gate must report.
+    files the extension gate must report. The file scan skips zero-byte
+    files, so files that the file index listed but the scan did not return
+    are added back with empty content -- the empty-file gate needs them.
+    (The listing is the file index Spark already keeps on the driver.)
     """
-    return (spark.read.format("binaryFile")
+    scan = (spark.read.format("binaryFile")
             .option("recursiveFileLookup", str(recursive).lower())
             .load(path))
+    listed = spark.createDataFrame([(p,) for p in scan.inputFiles()], "listed string")
+    norm = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    listed = listed.select(norm(F.col("listed")).alias("path"))
+    empty = (listed.join(scan.select(norm(F.col("path")).alias("path")), "path", "left_anti")
+             .select("path", F.lit(None).cast("timestamp").alias("modificationTime"),
+                     F.lit(0).cast("long").alias("length"), F.lit(b"").cast("binary").alias("content")))
+    return scan.select(norm(F.col("path")).alias("path"), "modificationTime", "length",
+                       "content").unionByName(empty)
 
 
 def file_name(path: Column | str) -> Column:
