@@ -13,19 +13,23 @@ depend on summation order.
 
 Plan shape (driven by the pair table, never by an all-pairs term join):
 
-    pairs ⋈ job_terms          on job_id              (|pairs| x terms per job)
-          ⋈ resume_terms       on (resume_id, term)   (keeps shared terms only)
-    → groupBy(resume_id, job_id) integer sums        (partial agg map-side)
+    terms per document       explode + count; Σ tf² rides along on every term row
+    pairs ⋈ job_terms        on job_id              (|pairs| x terms per job)
+          ⋈ resume_terms     on (resume_id, term)   (keeps shared terms only)
+    → groupBy(resume_id, job_id) integer sums       (partial agg map-side)
 
 The work is linear in Σ_pairs |terms(job)|; a frequent term never fans out
-to all document pairs, and a hot job/resume key is split by AQE's skew join.
+to all document pairs. A hot job key (one job in a third of all
+applications) only affects the first join, whose skewed partitions AQE
+splits; the second join is keyed by (resume_id, term), which spreads even a
+hot résumé over its terms.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -52,15 +56,17 @@ def ngrams_1_2(toks: Column) -> Column:
 
 
 def term_frequencies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Long table ``(id, term, tf BIGINT)`` of raw term counts per document."""
-    return (df.select(F.col(id_col).alias("id"),
-                      F.explode(ngrams_1_2(tokens(text_col))).alias("term"))
-              .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    """Long table ``(id, term, tf BIGINT, sq BIGINT)``: raw term counts per
+    document and the document's ``Σ tf²`` carried on every term row.
 
-
-def squared_norms(tf: DataFrame) -> DataFrame:
-    """``(id, sq)`` with ``sq = Σ tf²`` over all terms of a document."""
-    return tf.groupBy("id").agg(F.sum(F.col("tf") * F.col("tf")).alias("sq"))
+    ``explode`` + ``groupBy(id, term)`` stays in whole-stage codegen with a
+    map-side partial count; ``sq`` is a window over the same document. When
+    the input is already hash-partitioned by the document id (see
+    ``sources.tables.balanced``) neither step adds an exchange.
+    """
+    terms = df.select(F.col(id_col).alias("id"), F.explode(ngrams_1_2(tokens(text_col))).alias("term"))
+    tf = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return tf.withColumn("sq", F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("id")))
 
 
 def cosine_expr(dot: Column, rr: Column, jj: Column, sr: Column, sj: Column) -> Column:
@@ -73,29 +79,27 @@ def cosine_expr(dot: Column, rr: Column, jj: Column, sr: Column, sj: Column) ->
     return F.when(F.coalesce(dot, F.lit(0)) == 0, F.lit(0.0)).otherwise(py_round2(cos * F.lit(100.0)))
 
 
-def pair_similarity(pairs: DataFrame, resume_tf: DataFrame, job_tf: DataFrame,
-                    resume_sq: DataFrame | None = None, job_sq: DataFrame | None = None) -> DataFrame:
+def pair_similarity(pairs: DataFrame, resume_tf: DataFrame, job_tf: DataFrame) -> DataFrame:
     """``(resume_id, job_id, similarity_score)`` for every distinct pair.
 
     ``pairs`` needs ``resume_id, job_id``; ``*_tf`` come from
-    :func:`term_frequencies`. Pairs without a shared term get 0.0.
+    :func:`term_frequencies`. Pairs without a shared term get 0.0 (their
+    norms are irrelevant, so the per-document norms only travel with the
+    shared-term rows).
     """
-    resume_sq = squared_norms(resume_tf) if resume_sq is None else resume_sq
-    job_sq = squared_norms(job_tf) if job_sq is None else job_sq
     p = pairs.select("resume_id", "job_id").distinct()
-    jt = job_tf.select(F.col("id").alias("job_id"), "term", F.col("tf").alias("tf_j"))
-    rt = resume_tf.select(F.col("id").alias("resume_id"), "term", F.col("tf").alias("tf_r"))
+    jt = job_tf.select(F.col("id").alias("job_id"), "term", F.col("tf").alias("tf_j"),
+                       F.col("sq").alias("sj"))
+    rt = resume_tf.select(F.col("id").alias("resume_id"), "term", F.col("tf").alias("tf_r"),
+                          F.col("sq").alias("sr"))
     shared = (p.join(jt, "job_id")
                .join(rt, ["resume_id", "term"])
                .groupBy("resume_id", "job_id")
                .agg(F.sum(F.col("tf_r") * F.col("tf_j")).alias("dot"),
                     F.sum(F.col("tf_r") * F.col("tf_r")).alias("rr"),
-                    F.sum(F.col("tf_j") * F.col("tf_j")).alias("jj")))
-    rs = resume_sq.select(F.col("id").alias("resume_id"), F.col("sq").alias("sr"))
-    js = job_sq.select(F.col("id").alias("job_id"), F.col("sq").alias("sj"))
-    out = (p.join(shared, ["resume_id", "job_id"], "left")
-            .join(rs, "resume_id", "left")
-            .join(js, "job_id", "left"))
+                    F.sum(F.col("tf_j") * F.col("tf_j")).alias("jj"),
+                    F.max("sr").alias("sr"), F.max("sj").alias("sj")))
+    out = p.join(shared, ["resume_id", "job_id"], "left")
     return out.select("resume_id", "job_id",
                       cosine_expr(F.col("dot"), F.col("rr"), F.col("jj"),
                                   F.col("sr"), F.col("sj")).alias("similarity_score"))

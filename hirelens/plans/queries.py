@@ -86,7 +86,7 @@ def job_skills(spark, sf):
 
 def term_frequency(spark, sf):
     tf = term_frequencies(T.resumes(spark, sf), "resume_id", "text")
-    return tf.select(F.col("id").alias("resume_id"), "term", "tf")
+    return tf.select(F.col("id").alias("resume_id"), "term", "tf", "sq")
 
 
 def similarity(spark, sf):
@@ -237,7 +237,7 @@ def llm_requests(spark, sf):
 
 
 def _answers(spark, sf):
-    return R.parse_responses(T.view(spark, sf, "v_llm_responses"))
+    return R.parse_responses(T.balanced(T.view(spark, sf, "v_llm_responses"), "application_id"))
 
 
 def llm_validation(spark, sf):
@@ -331,7 +331,7 @@ FROM {O.v(view)}"""
 
 def _sq_term_frequency():
     return f"""WITH {O.terms_cte('rt', O.v('v_resumes'), 'resume_id')}
-SELECT id AS resume_id, term, tf FROM rt"""
+SELECT id AS resume_id, term, tf, CAST(sum(tf * tf) OVER (PARTITION BY id) AS BIGINT) AS sq FROM rt"""
 
 
 def _sim_ctes():

@@ -12,6 +12,17 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+# Runtime SQL settings the plans rely on (see ``configure``).
+RUNTIME = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Broadcast only on measured sizes: the static planner estimates text
+    # tables after explode/aggregate far too low, AQE sees the real bytes of
+    # the finished shuffle stage before it picks a broadcast.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+}
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -36,6 +47,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return configure(spark)
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the runtime SQL settings above to an existing session."""
+    for k, v in RUNTIME.items():
+        spark.conf.set(k, v)
     return spark
 
 

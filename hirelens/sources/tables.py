@@ -22,6 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def target_partitions(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism,
+               int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def balanced(df: DataFrame, key: str) -> DataFrame:
+    """Spread a text table over the cluster before per-document regex work.
+
+    A scan yields one task per file split / row group; a table stored as
+    few large files would otherwise run all its CPU-heavy text rules in a
+    handful of tasks. Only when the scan has fewer partitions than the
+    session's parallelism is it hash-partitioned by its key (deterministic
+    on retry, and reused by later joins and aggregations on that key). A
+    large table already has more splits than that and is left as read.
+    """
+    n = target_partitions(df.sparkSession)
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, key)
+
+
 # Résumés: planted contact details, headings and skills in front of each document.
 V_RESUMES = """
 SELECT doc_id AS resume_id,
@@ -69,13 +90,11 @@ FROM {benchmark}
 V_APPLICATIONS = """
 SELECT e.event_id AS application_id,
        CAST(e.user_id AS STRING) AS session_id,
-       e.event_id % d.n AS resume_id,
-       e.event_id % b.n AS job_id,
+       e.event_id % (SELECT count(*) FROM {documents}) AS resume_id,
+       e.event_id % (SELECT count(*) FROM {benchmark}) AS job_id,
        e.ts AS ts,
        e.event_type <> 'error' AS consent
-FROM {events} e,
-     (SELECT count(*) AS n FROM {documents}) d,
-     (SELECT count(*) AS n FROM {benchmark}) b
+FROM {events} e
 """
 
 # Page texts of multi-page documents: one conversation = one document, one
@@ -161,11 +180,11 @@ def view_sql(name: str) -> str:
 
 
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "v_resumes")
+    return balanced(view(spark, sf_dir, "v_resumes"), "resume_id")
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "v_jobs")
+    return balanced(view(spark, sf_dir, "v_jobs"), "job_id")
 
 
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
