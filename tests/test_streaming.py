@@ -18,7 +18,8 @@ def test_scorecard_stream_matches_batch(spark):
     r = r.select("resume_id", "filename", "extension", "text")
     r.filter("resume_id < 100").write.parquet(os.path.join(src, "a"))
     r.filter("resume_id >= 100").write.parquet(os.path.join(src, "b"))
-    q = S.write_stream(S.scorecard_stream(S.read_resumes(spark, src + "/*", max_files=1)), out, "cards")
+    q = S.write_stream(S.scorecard_stream(S.read_resumes(spark, src + "/*", max_files=1)), out,
+                       f"cards-{os.path.basename(d)}")
     q.awaitTermination(300)
     got = {x.resume_id: x.score for x in spark.read.parquet(out).collect()}
     exp = {x.resume_id: x.score for x in scorecard(r).collect()}
@@ -35,7 +36,7 @@ def test_latest_session_state(spark):
     a.filter("application_id % 2 = 1").write.parquet(os.path.join(src, "p2"))
     stream = (spark.readStream.schema(S.APPLICATION_SCHEMA).option("maxFilesPerTrigger", 1)
               .parquet(src + "/*"))
-    S.track_sessions(stream, table).awaitTermination(300)
+    S.track_sessions(stream, table, f"sessions-{os.path.basename(d)}").awaitTermination(300)
     got = {(x.session_id, x.application_id) for x in S.latest_version(spark, table).collect()}
     exp = (a.groupBy("session_id").agg(F.max(F.struct("ts", "application_id")).alias("m"))
            .select("session_id", "m.application_id").collect())
