@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import py_round_int
 from ..operators.match import analyze_match
 from ..operators.scorecard import scorecard
-from ..sources.ingest import failure_message, input_gate, resume_record
+from ..functions.text import strip
+from ..sources.ingest import failure_message, input_gate_flags, resume_record
 
 
 def safe_score(*values) -> F.Column:
@@ -29,18 +30,22 @@ def analyze(applications: DataFrame, resumes: DataFrame, jobs: DataFrame) -> Dat
     rec = resume_record(resumes.select("resume_id", "filename", "extension", "text"))
     card = scorecard(rec.select("resume_id", "filename", "extension", "text", "characters",
                                 "words", "error"))
-    card = card.select("resume_id", "filename", "extension", "characters", "words",
+    card = card.select("resume_id", F.lit(True).alias("has_resume"), "filename", "extension",
+                       "characters", "words",
                        F.col("error").alias("extract_error"),
                        F.struct("score", "rating", "checks", "sections", "missing_sections",
                                 "word_count", "filename").alias("ats_result"))
     m = analyze_match(applications, resumes, jobs)
     match_result = F.struct(*[F.col(c) for c in m.columns if c not in ("resume_id", "job_id")])
     m = m.select("resume_id", "job_id", match_result.alias("match_result"))
-    j = jobs.select("job_id", F.col("text").alias("job_description"))
-    r = resumes.select("resume_id", F.col("text").alias("resume_text"))
-    a = (applications.join(r, "resume_id", "left").join(j, "job_id", "left")
-         .join(card, "resume_id", "left").join(m, ["resume_id", "job_id"], "left"))
-    gate = F.coalesce(input_gate(F.col("resume_text"), F.col("job_description")),
+    # Gates need one flag per document, not the texts: joining texts onto
+    # every application would copy a popular résumé into each of its rows.
+    j = jobs.select("job_id", F.coalesce(strip("text"), F.lit("")).alias("job_stripped"))
+    j = j.select("job_id", F.lit(True).alias("has_job"), (F.col("job_stripped") == "").alias("job_blank"))
+    a = (applications.join(card, "resume_id", "left").join(j, "job_id", "left")
+         .join(m, ["resume_id", "job_id"], "left"))
+    gate = F.coalesce(input_gate_flags(F.coalesce(F.col("has_resume"), F.lit(False)),
+                                       F.coalesce(F.col("job_blank"), F.lit(True))),
                       failure_message(F.col("extract_error")))
     ok = gate.isNull()
     return a.select(

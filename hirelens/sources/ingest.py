@@ -126,6 +126,12 @@ def input_gate(resume_text: Column, job_text: Column) -> Column:
              .when(F.coalesce(strip(job_text), F.lit("")) == F.lit(""), F.lit(fixed.ERR_NO_JOB)))
 
 
+def input_gate_flags(has_resume: Column, job_blank: Column) -> Column:
+    """``input_gate`` from per-document flags (no text needs to travel)."""
+    return (F.when(~has_resume, F.lit(fixed.ERR_NO_RESUME))
+             .when(job_blank, F.lit(fixed.ERR_NO_JOB)))
+
+
 def failure_message(error: Column) -> Column:
     """A failed extraction/analysis shown as "Resume analysis failed: ..."."""
     return F.when(error.isNotNull(), F.concat(F.lit(fixed.ERR_ANALYSIS_PREFIX), error))
