@@ -100,8 +100,10 @@ def clean_text(text: Column | str) -> Column:
 
 
 def nonblank_stripped_lines(text: Column | str) -> Column:
-    """``[l.strip() for l in text.splitlines() if l.strip()]``."""
-    return F.transform(nonblank_lines(text), lambda l: strip(l))
+    """``[l.strip() for l in text.splitlines() if l.strip()]`` in one regex scan:
+    each match runs from a line's first to its last non-whitespace character
+    (line breaks are whitespace, so no match crosses a line)."""
+    return F.regexp_extract_all(col(text), F.lit(f"{NOT_WS}(?:[^{BREAK_CHARS}]*{NOT_WS})?"), 0)
 
 
 # ---------------------------------------------------------------------------

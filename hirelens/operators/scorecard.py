@@ -18,14 +18,19 @@ CHECK_TYPE = "struct<name:string,points:int,maximum:int,passed:boolean,message:s
 
 
 def heading_lines(text: Column | str) -> Column:
-    """Normalized lines whose stripped length is 1..50."""
-    kept = F.filter(splitlines(text), lambda l: F.length(strip(l)).between(1, 50))
+    """Normalized lines whose stripped length is 1..50 (normalization strips
+    first, so starting from the stripped lines changes nothing; long lines
+    are dropped before the costly normalization)."""
+    kept = F.filter(nonblank_stripped_lines(text), lambda l: F.length(l) <= 50)
     return F.transform(kept, normalize_heading)
 
 
 def find_sections(text: Column | str) -> Column:
     """``struct<summary, skills, experience, education, projects, certifications: boolean>``."""
-    lines = heading_lines(text)
+    return sections_from_headings(heading_lines(text))
+
+
+def sections_from_headings(lines: Column) -> Column:
     return F.struct(*[
         F.arrays_overlap(lines, F.array(*[F.lit(a) for a in aliases])).alias(name)
         for name, aliases in fixed.SECTION_ALIASES.items()
@@ -110,19 +115,23 @@ def scorecard(df: DataFrame, text_col: str = "text", filename_col: str = "filena
     regex scans the text once.
     """
     keep = keep if keep is not None else [c for c in df.columns]
-    lines = nonblank_stripped_lines(text_col)
-    feats = df.select(
+    base = df.select(
         *keep,
         word_count(text_col).alias("word_count"),
-        find_sections(text_col).alias("sections"),
+        heading_lines(text_col).alias("_heads"),
+        nonblank_stripped_lines(text_col).alias("_lines"),
         has_email(text_col).alias("_email"),
         has_phone(text_col).alias("_phone"),
         has_profile_link(text_col).alias("_link"),
         date_count(text_col).alias("_dates"),
         unusual_ratio(text_col).alias("_ratio"),
-        F.size(lines).alias("_n_lines"),
-        F.coalesce(F.array_max(F.transform(lines, lambda l: F.length(l))), F.lit(0)).alias("_longest"),
     )
+    lines = F.col("_lines")
+    feats = (base.withColumn("sections", sections_from_headings(F.col("_heads")))
+                 .withColumn("_n_lines", F.size(lines))
+                 .withColumn("_longest", F.coalesce(F.array_max(F.transform(lines, lambda l: F.length(l))),
+                                                    F.lit(0)))
+                 .drop("_heads", "_lines"))
     s = F.col("sections")
     with_checks = feats.withColumn("checks", checks(
         F.col("word_count"), s, F.col("_email"), F.col("_phone"), F.col("_link"),
