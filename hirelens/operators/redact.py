@@ -63,16 +63,27 @@ def redact_name(text: Column, name: Column) -> tuple[Column, Column]:
 
 
 def redact_pattern(text: Column, pattern: str, token: str,
-                   needs: str | None = None) -> tuple[Column, Column]:
-    """Replace every match and count them; ``needs`` is a substring every
-    match contains, checked first so most texts skip both regex scans."""
+                   needs: str | Column | None = None) -> tuple[Column, Column]:
+    """Replace every match and count them. ``needs`` is a substring every
+    match contains (or a cheaper predicate every matching text satisfies),
+    checked first so most texts skip both regex scans."""
     out, cnt = F.regexp_replace(text, pattern, token), _count(text, pattern)
     if needs is None:
         return out, cnt
-    has = text.contains(needs)
+    has = text.contains(needs) if isinstance(needs, str) else needs
     return F.when(has, out).otherwise(text), F.when(has, cnt).otherwise(F.lit(0))
 
 
+def _url_possible(text: Column) -> Column:
+    # Every URL match holds "://", or "www." / "linkedin.com/" / "github.com/"
+    # in any letter case; lower-casing keeps ASCII letters' positions.
+    low = F.lower(text)
+    return text.contains("://") | low.contains("www.") | low.contains(".com/")
+
+
+_FOUR_DIGITS = f"{D}{{4}}"
+
+
 def _digits(s: Column) -> Column:
     return F.length(F.regexp_replace(s, NOT_D, ""))
 
@@ -91,6 +102,13 @@ def redact_phone_numbers(text: Column) -> tuple[Column, Column]:
     return F.array_join(glued, ""), F.size(F.filter(found, ok)).cast("int")
 
 
+def _when_digits(text: Column, fn) -> tuple[Column, Column]:
+    """Phone candidates start with a digit: texts without one keep as they are."""
+    out, cnt = fn(text)
+    has = text.rlike(D)
+    return F.when(has, out).otherwise(text), F.when(has, cnt).otherwise(F.lit(0))
+
+
 ADDRESS_WORDS = "|".join(fixed.ADDRESS_WORDS)
 
 
@@ -149,10 +167,11 @@ def redact(df: DataFrame, text_col: str = "text", out_col: str = "redacted_text"
     text, n = redact_name(col(text_col), F.col("__name"))
     out = out.withColumns({t: text, "__c_name": n})
     passes = [("email", lambda x: redact_pattern(x, EMAIL, fixed.TOKENS["email"], "@")),
-              ("url", lambda x: redact_pattern(x, URL, fixed.TOKENS["url"])),
-              ("aadhaar", lambda x: redact_pattern(x, AADHAAR, fixed.TOKENS["aadhaar"])),
-              ("pan", lambda x: redact_pattern(x, PAN, fixed.TOKENS["pan"])),
-              ("phone", redact_phone_numbers),
+              ("url", lambda x: redact_pattern(x, URL, fixed.TOKENS["url"], _url_possible(x))),
+              ("aadhaar", lambda x: redact_pattern(x, AADHAAR, fixed.TOKENS["aadhaar"],
+                                                   x.rlike(_FOUR_DIGITS))),
+              ("pan", lambda x: redact_pattern(x, PAN, fixed.TOKENS["pan"], x.rlike("[0-9]{4}"))),
+              ("phone", lambda x: _when_digits(x, redact_phone_numbers)),
               ("address", redact_header_addresses),
               ("sensitive_fields", lambda x: redact_sensitive_lines(x, normalized=True))]
     for key, fn in passes:
