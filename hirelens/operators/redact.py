@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import (D, END, NOT_D, NOT_WS, START, WS, WS_BODY, BOUNDARY, EMAIL_CORE,
+from ..functions.text import (D, END, LINE_BREAK, NOT_D, NOT_WS, START, WS, WS_BODY, BOUNDARY,
+                              EMAIL_CORE,
                               casefold_ascii, col, collapse_ws, join_lines, nonblank_lines,
                               splitlines, strip)
 
@@ -29,10 +30,23 @@ SENSITIVE = (rf"(?iu)\A{WS}*(?:" + "|".join(fixed.SENSITIVE_LABELS) + rf"){WS}*[
 NAME_SHAPE = r"\A[A-Za-z][A-Za-z .'’-]+\z"
 
 
+_HEAD_SPLIT = 32
+
+
+def _first_nonblank_lines(text: Column, k: int) -> Column:
+    """The first ``k`` non-blank lines (unstripped). Only the first 32 lines
+    are split off; the whole text is scanned only when those hold fewer than
+    ``k`` non-blank lines and more lines follow."""
+    parts = F.split(text, LINE_BREAK, _HEAD_SPLIT + 1)
+    head = F.filter(F.slice(parts, 1, _HEAD_SPLIT), lambda l: l.rlike(NOT_WS))
+    enough = (F.size(head) >= k) | (F.size(parts) <= _HEAD_SPLIT)
+    return F.when(enough, F.slice(head, 1, k)).otherwise(F.slice(nonblank_lines(text), 1, k))
+
+
 def detect_candidate_name(text: Column | str) -> Column:
     """First of the first four non-blank lines that looks like a person's name
     (whitespace collapsed), else null."""
-    header = F.slice(nonblank_lines(text), 1, fixed.HEADER_NAME_LINES)
+    header = _first_nonblank_lines(col(text), fixed.HEADER_NAME_LINES)
     cands = F.transform(header, lambda l: collapse_ws(strip(l)))
 
     def looks_like_name(n: Column) -> Column:

@@ -37,6 +37,8 @@ GOLDEN = [
     "DOB: 01-02-1990\n  Father's Name - X\nmarital status : single",
     "12 Lake Road, Pune 411001",
     "ip 192.168.100.200 here",
+    "\n" * 40 + "x\n\n" * 20 + "Jane Doe\nmore",
+    "\n" * 40 + "Jane Doe\nmore",
 ]
 
 
