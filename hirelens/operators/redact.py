@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import (D, END, LINE_BREAK, NOT_D, NOT_WS, START, WS, WS_BODY, BOUNDARY,
+from ..functions.text import (D, END, LINE_BREAK, NOT_D, NOT_WS, START, WS, BOUNDARY,
                               EMAIL_CORE,
                               casefold_ascii, col, collapse_ws, join_lines, nonblank_lines,
                               splitlines, strip)

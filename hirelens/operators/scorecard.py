@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import (col, date_count, has_email, has_phone, has_profile_link,
-                              nonblank_stripped_lines, normalize_heading, splitlines, strip,
-                              unusual_ratio, word_count)
+from ..functions.text import (date_count, has_email, has_phone, has_profile_link,
+                              nonblank_stripped_lines, normalize_heading, unusual_ratio, word_count)
 
 CHECK_TYPE = "struct<name:string,points:int,maximum:int,passed:boolean,message:string>"
 

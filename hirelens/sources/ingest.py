@@ -79,10 +79,6 @@ def assemble_pages(pages: DataFrame, doc_col: str = "doc_id", page_col: str = "p
                       .alias("text"))
 
 
-_KIND_RANK = {"paragraph": 0, "cell": 1, "header": 2, "footer": 2}
-_HF_RANK = {"header": 0, "footer": 1}
-
-
 def assemble_parts(parts: DataFrame) -> DataFrame:
     """DOCX-style assembly from ``parts(doc_id, kind, section_no, table_no,
     row_no, cell_no, ord, text)``: non-blank paragraphs, then table rows
