@@ -167,3 +167,56 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 def as_long(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+class SliceTable:
+    """Finds which slices of many equally long sequences are keys of a fixed vocabulary.
+
+    Keys are sequences of small integers; a slice is told by its 64-bit hash."""
+
+    def __init__(self, keys: list[np.ndarray], values: np.ndarray):
+        self.longest = max((len(k) for k in keys), default=1)
+        self.pow = powers(4096)
+        self.inv = powers(4096, np.uint64(pow(int(_BASE), -1, 1 << 64)))
+        hashes = np.zeros(len(keys), np.uint64)
+        for size, own in by_length(np.array([len(k) for k in keys], np.int64)):
+            hashes[own] = self.slices(self.sums(np.array([keys[k] for k in own]).reshape(len(own), size)), 0, size)
+        size = 1 << max(10, int(np.ceil(np.log2(8 * max(1, len(keys))))))
+        self.mask = np.uint64(size - 1)
+        self.hash = np.zeros(size, np.uint64)
+        self.value = np.full(size, -1, np.int64)
+        for h, v in zip(hashes.tolist(), values.tolist()):
+            at = h & (size - 1)
+            while self.value[at] >= 0:
+                at = (at + 1) & (size - 1)
+            self.hash[at], self.value[at] = h, v
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        """Prefix sums of a (sequences, length) matrix."""
+        out = np.zeros((rows.shape[0], rows.shape[1] + 1), np.uint64)
+        np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * self.pow[: rows.shape[1]], axis=1, out=out[:, 1:])
+        return out
+
+    def slices(self, sums: np.ndarray, a: int, b: int) -> np.ndarray:
+        return mix((sums[:, b] - sums[:, a]) * self.inv[a] + np.uint64((b - a) * 0x9E3779B9))
+
+    def find(self, sums: np.ndarray, a: int, b: int) -> np.ndarray:
+        """The value of slice [a, b) of every row, -1 where it is no key."""
+        h = self.slices(sums, a, b)
+        at = (h & self.mask).astype(np.int64)
+        out = self.value[at]
+        wrong = np.flatnonzero((out >= 0) & (self.hash[at] != h))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & int(self.mask)
+            out[wrong] = self.value[at[wrong]]
+            wrong = wrong[(out[wrong] >= 0) & (self.hash[at[wrong]] != h[wrong])]
+        return out
+
+
+def by_length(lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, indices) groups."""
+    order = np.argsort(lengths, kind="stable")
+    cuts = np.flatnonzero(np.diff(lengths[order])) + 1
+    for own in np.split(order, cuts):
+        if len(own):
+            yield int(lengths[own[0]]), own
