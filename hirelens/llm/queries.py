@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelens.llm import counts, decontaminate, lines, pieces, pii, quality, simhash, substring
+from hirelens.llm import chat, counts, decontaminate, lines, pieces, pii, quality, simhash, substring
 
 # The tokenizer files are found by the public package's path(); they are parameters of the operators.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -59,6 +59,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.sql(
+        "SELECT -7L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text "
+        "FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
+    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.digests(chat.windows(talks, tokenizer(BYTE_BPE), _split_pattern()))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(_table(spark, sf_dir, "documents"))
 
@@ -70,7 +78,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op2_pii, op3_sentencepiece, op4_quality, op5_token_counts, op6_line_rules, op7_decontamination,
-    op9_substring_dedup, op10_simhash)}
+    op8_chat, op9_substring_dedup, op10_simhash)}
 
 # The digest is of the words that no repeated 35-word window covers.
 ORACLE_SQL = {
