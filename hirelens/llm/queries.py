@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelens.llm import chat, counts, decontaminate, lines, pieces, pii, quality, simhash, substring
+from hirelens.llm import chat, counts, decontaminate, lines, mixing, pieces, pii, quality, simhash, substring
 
 # The tokenizer files are found by the public package's path(); they are parameters of the operators.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(_table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
@@ -77,7 +81,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_pii, op3_sentencepiece, op4_quality, op5_token_counts, op6_line_rules, op7_decontamination,
+    op1_context_mixing, op2_pii, op3_sentencepiece, op4_quality, op5_token_counts, op6_line_rules, op7_decontamination,
     op8_chat, op9_substring_dedup, op10_simhash)}
 
 # The digest is of the words that no repeated 35-word window covers.
