@@ -131,9 +131,9 @@ def _contexts(text: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     c2 = b[0] | b[1] << np.uint32(8)
     c3 = c2 | b[2] << np.uint32(16)
     c4 = c3 | b[3] << np.uint32(24)
-    space = (text == 32) | (text == 10)
     at = np.arange(len(text))
-    begin = np.concatenate([[0], np.flatnonzero(space)[:-1] + 1]) if len(text) else at
+    after = np.flatnonzero((text == 32) | (text == 10)) + 1
+    begin = np.concatenate([at[:1], after[after < len(text)]])
     rel = at - np.repeat(begin, np.diff(np.append(begin, len(text))))
     vals = np.cumsum((text.astype(np.uint32) + np.uint32(1)) * _WORD_POWERS[np.minimum(rel, len(_WORD_POWERS) - 1)], dtype=np.uint32)
     before = np.concatenate([np.zeros(1, np.uint32), vals[:-1]])
