@@ -19,7 +19,9 @@ rows and null ids stay as they are; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ from hirelens.llm.common import SliceTable, by_length, doc_groups, mix, text_byt
 
 LIMIT = 512
 CACHE = 400_000
+GROUP = 4 << 20             # bytes of text whose new pre-tokens are settled together
 PAIRS = 1 << 20             # slots of the direct-mapped table of token pairs
 LONG = 48                   # longer pre-tokens go one at a time
 NEVER = 1 << 60
@@ -43,6 +46,18 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+LATIN = 0x250               # texts below this code point are split by the plain re module
+
+
+def _latin_pattern(pattern: str) -> re.Pattern | None:
+    """The same split for texts of code points below LATIN, with its classes spelled out."""
+    chars = {k: "".join(re.escape(chr(c)) for c in range(LATIN) if regex.match(k, chr(c))) for k in (r"\p{L}", r"\p{N}", r"\s")}
+    out = pattern.replace(r"\S", f"[^{chars[r'\s']}]").replace(r"[^\s\p{L}\p{N}]", "[^" + "".join(chars[k] for k in (r"\s", r"\p{L}", r"\p{N}")) + "]")
+    for k, own in chars.items():
+        out = out.replace(k, f"[{own}]")
+    return None if "\\p" in out else re.compile(out)
+
+
 class PrefixCounter:
     """Exact token counts of every prefix of a text under a byte-level BPE file."""
 
@@ -58,6 +73,7 @@ class PrefixCounter:
         special = [t["content"] for t in spec.get("added_tokens", ())]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pattern = regex.compile(pattern)
+        self.latin = _latin_pattern(pattern)
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         pairs = [(as_bytes(a), as_bytes(b)) for a, b in merges]
         self.rank = {p: i for i, p in enumerate(pairs)}
@@ -190,12 +206,30 @@ class PrefixCounter:
     def count(self, text: str) -> int:
         return self.counts([text])[0]
 
+    def _split(self, text: str) -> list[str]:
+        plain = self.latin is not None and not _BEYOND_LATIN.search(text)
+        return (self.latin if plain else self.pattern).findall(text)
+
     def counts(self, texts: list[str]) -> list[int]:
         """Token counts of whole texts; what is not cached is settled for all of them together."""
-        split = [[(self.pattern.findall(part), special) for part, special in self._parts(t)] for t in texts]
+        return [n for n, _ in self.answers(texts, None)]
+
+    def answers(self, texts: list[str], limit: int | None) -> list[tuple[int, int]]:
+        """(tokens, length of the longest prefix within the limit) of whole texts."""
+        split = [[(self._split(part), special) for part, special in self._parts(t)] for t in texts]
         self._learn([p for parts in split for pieces, _ in parts for p in pieces])
         known = self.cache.__getitem__
-        return [sum(sum(map(known, pieces)) + bool(special) for pieces, special in parts) for parts in split]
+        out = []
+        for text, parts in zip(texts, split):
+            own = [list(map(known, pieces)) for pieces, _ in parts]
+            total = sum(map(sum, own)) + len(parts) - 1
+            if limit is None or total <= limit:
+                out.append((total, len(text)))
+            elif len(parts) > 1:
+                out.append((total, self.longest_prefix(text, limit)))
+            else:
+                out.append((total, self._cut(parts[0][0], own[0], limit)))
+        return out
 
     def _part_prefixes(self, part: str) -> np.ndarray:
         """Counts of the prefixes of a text without special strings, by code points.
@@ -236,23 +270,25 @@ class PrefixCounter:
         """Length in code points of the longest prefix with at most ``limit`` tokens."""
         if self.special is not None and self.special.search(text):
             return int(np.flatnonzero(self.prefix_counts(text) <= limit)[-1])
-        # no token covers more than ``longest`` bytes, so the answer lies well within this head
-        head = text[: 2 * self.longest * (limit + 2)]
-        spans = [m.span() for m in self.pattern.finditer(head)]
-        pieces = [head[a:b] for a, b in spans]
+        pieces = self._split(text)
         self._learn(pieces)
-        sums = np.cumsum(np.fromiter(map(self.cache.__getitem__, pieces), np.int64, len(pieces))).tolist()
-        if not sums or sums[-1] <= limit:
-            return len(text)
+        return self._cut(pieces, list(map(self.cache.__getitem__, pieces)), limit)
+
+    def _cut(self, pieces: list[str], counts: list[int], limit: int) -> int:
+        """Length of the longest prefix within the limit: only the pre-tokens around the sum's
+        crossing are looked at prefix by prefix."""
+        sums = list(accumulate(counts))
         k = bisect_right(sums, limit)               # the first pre-token whose end is beyond the limit
-        first = max(0, k - 2)
-        start = spans[first][0]
-        done = sums[first - 1] if first else 0
-        end = spans[min(k + 1, len(spans) - 1)][1]
-        near = self._part_prefixes(head[start:end]) + done
-        return start + int(np.flatnonzero(near <= limit)[-1])
+        if k == len(sums):
+            return sum(map(len, pieces))
+        first = max(0, k - 1)
+        while first and pieces[first - 1].isspace():        # white space may be split anew
+            first -= 1
+        near = self._part_prefixes("".join(pieces[first: k + 1 + pieces[k].isspace()])) + (sums[first - 1] if first else 0)
+        return sum(map(len, pieces[:first])) + int(np.flatnonzero(near <= limit)[-1])
 
 
+_BEYOND_LATIN = re.compile(f"[^\0-{chr(LATIN - 1)}]")
 _counters: dict[tuple[str, str], PrefixCounter] = {}
 
 
@@ -276,11 +312,11 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT, p
         for batch in batches:
             data, offs = text_bytes(batch.column(1))
             raw, counts, cuts, every = data.tobytes(), [], [], []
-            for a, b in doc_groups(data, offs):
+            for a, b in doc_groups(data, offs, GROUP):
                 texts = [raw[x:y].decode() for x, y in zip(offs[a:b], offs[a + 1: b + 1])]
-                own = tokens.counts(texts)
-                counts += own
-                cuts += [len(t) if n <= limit else tokens.longest_prefix(t, limit) for t, n in zip(texts, own)]
+                own = tokens.answers(texts, limit)
+                counts += [n for n, _ in own]
+                cuts += [c for _, c in own]
                 if prefixes:
                     every += [tokens.prefix_counts(t) for t in texts]
             n = pa.array(counts, pa.int64())
