@@ -21,7 +21,7 @@ Learning, on the documents outside the held-out fold, in passes over the text:
 4. all documents are scored with the tables of all training folds.
 
 Tables have fixed sizes (``BITS``), so model and broadcast are bounded.
-The base score needs the count of every word: the ``COMMON`` most frequent ones
+The base score needs the count of every word: up to ``COMMON`` most frequent ones
 are broadcast, the others are joined by their 64-bit hash.
 
 Defined results: null or empty text is the end token alone; a null id belongs to
@@ -445,7 +445,14 @@ def score(docs: DataFrame) -> DataFrame:
     for r in both.where("o = -1").collect():
         mixer.apm = _unblock(bytes(r.cells)).reshape(mixer.apm.shape).astype(np.float64)
     model = sc.broadcast(tables_of(both))
-    common = words.orderBy(F.desc("c"), "h").limit(COMMON).collect()
+    # the counts' logarithms in steps tell from which count on at most COMMON words remain
+    step = F.floor(F.log2("c") * 16).cast("int")
+    least, kept = 1 << 30, 0
+    for r in sorted(words.groupBy(step.alias("s")).count().collect(), reverse=True):
+        if kept + r["count"] > COMMON:
+            break
+        least, kept = r.s, kept + r["count"]
+    common = words.where(step >= least).collect()
     h = np.array([r.h for r in common], np.int64).view(np.uint64)
     order = np.argsort(h)
     known = sc.broadcast((h[order], np.log10((np.array([r.c for r in common], np.float64)[order] + 0.5) / divisor)))
