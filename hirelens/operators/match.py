@@ -42,6 +42,9 @@ def analyze_match(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame, *,
                   technical=None, soft=None) -> DataFrame:
     """One row per distinct ``(resume_id, job_id)`` of ``pairs`` with the twelve
     match fields. ``resumes(resume_id, text)``, ``jobs(job_id, text)``."""
+    # only documents of some pair reach the text rules
+    pairs = pairs.select("resume_id", "job_id").distinct()
+    resumes = resumes.join(pairs.select("resume_id").distinct(), "resume_id", "left_semi")
     r_sk = document_skills(resumes, "resume_id", resume_text, "resume_", technical, soft)
     j_sk = document_skills(jobs, "job_id", job_text, "job_", technical, soft)
     r_tf = term_frequencies(resumes, "resume_id", resume_text)

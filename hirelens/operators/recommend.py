@@ -11,11 +11,13 @@ strings and missing fields into nulls, which the answer schema rejects.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import col, strip
+from ..functions.text import col
 from .redact import redact
 
 
@@ -33,15 +35,18 @@ def build_requests(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame,
     """Rows for consented applications only; the raw résumé text never
     reaches the output (only the redacted one enters the prompt)."""
     ok = pairs.filter(F.col(consent_col))
-    red = redact(resumes.select("resume_id", F.col("text").alias("resume_text")),
-                 "resume_text").drop("resume_text")
-    j = jobs.select("job_id", F.col("text").alias("job_text"))
+    # only consented documents are redacted, and texts are cut to the prompt's limits before they are joined
+    used = resumes.select("resume_id", F.col("text").alias("resume_text")).join(
+        ok.select("resume_id").distinct(), "resume_id", "left_semi")
+    red = redact(used, "resume_text").select(
+        "resume_id", F.substring("redacted_text", 1, fixed.RESUME_PROMPT_CHARS).alias("redacted_text"),
+        "total_redactions", "redactions", "candidate_name_detected")
+    j = jobs.select("job_id", F.substring("text", 1, fixed.JOB_PROMPT_CHARS).alias("job_text"))
     req = ok.join(red, "resume_id").join(j, "job_id")
-    options = F.to_json(F.struct(
-        F.struct(F.lit("low").alias("thinking_level")).alias("generation_config"),
-        F.struct(F.lit("text").alias("type"), F.lit("application/json").alias("mime_type")
-                 ).alias("response_format"),
-        F.lit(False).alias("store"), F.lit(fixed.REQUEST_TIMEOUT_MS).alias("timeout_ms")))
+    options = F.lit(json.dumps({
+        "generation_config": {"thinking_level": "low"},
+        "response_format": {"type": "text", "mime_type": "application/json", "schema": answer_json_schema()},
+        "store": False, "timeout_ms": fixed.REQUEST_TIMEOUT_MS}))
     privacy = F.struct(F.col("total_redactions"), F.col("redactions"),
                        F.col("candidate_name_detected"))
     cols = [c for c in pairs.columns if c != consent_col]
@@ -50,6 +55,21 @@ def build_requests(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame,
                       options.alias("options"), privacy.alias("privacy"))
 
 
+def answer_json_schema() -> dict:
+    """JSON schema of an answer, from the field list (types, required names, the status values)."""
+    string = {"type": "string"}
+
+    def record(fields: list[str]) -> dict:
+        own = {f: {"type": "string", "enum": fixed.EVIDENCE_STATUSES} if f == "status" else string for f in fields}
+        return {"type": "object", "properties": own, "required": fields}
+
+    kinds = {"string": string, "strings": {"type": "array", "items": string},
+             "bullets": {"type": "array", "items": record(fixed.BULLET_FIELDS)},
+             "evidence": {"type": "array", "items": record(fixed.EVIDENCE_FIELDS)}}
+    return {"type": "object", "properties": {n: kinds[k] for n, k in fixed.ANSWER_FIELDS},
+            "required": [n for n, _ in fixed.ANSWER_FIELDS]}
+
+
 # ---------------------------------------------------------------------------
 # Response validation
 # ---------------------------------------------------------------------------
@@ -96,12 +116,13 @@ def field_ok(v: Column, name: str, kind: str) -> Column:
     return _is_objects(v, path, fixed.EVIDENCE_FIELDS, status=True)
 
 
-def validation_error(output_text: Column | str) -> Column:
+def validation_error(output_text: Column | str, parsed: Column | None = None) -> Column:
     """Null for a valid answer, else why: empty, not JSON, not an object, or
     the first field (schema order) that is missing or mistyped. Extra keys
-    are ignored; list lengths are not limited."""
+    are ignored; list lengths are not limited. ``parsed``: the variant, where a
+    column already holds it."""
     t = col(output_text)
-    v = F.try_parse_json(t)
+    v = F.try_parse_json(t) if parsed is None else parsed
     err = (F.when(t.isNull() | (t == F.lit("")), F.lit(fixed.ERR_EMPTY_ANSWER))
             .when(v.isNull(), F.lit("invalid JSON"))
             .when(~F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False)),
@@ -125,10 +146,26 @@ ANSWER_SCHEMA = (
 
 def parse_responses(df: DataFrame, text_col: str = "output_text") -> DataFrame:
     """Add ``validation_error`` and ``analysis`` (typed struct, null unless valid)."""
-    err = validation_error(text_col)
-    return (df.withColumn("validation_error", err)
-              .withColumn("analysis", F.when(F.col("validation_error").isNull(),
-                                             F.from_json(col(text_col), ANSWER_SCHEMA))))
+    parsed = df.withColumn("__answer", F.try_parse_json(col(text_col)))
+    return (parsed.withColumn("validation_error", validation_error(text_col, F.col("__answer")))
+                  .withColumn("analysis", F.when(F.col("validation_error").isNull(),
+                                                 F.from_json(col(text_col), ANSWER_SCHEMA)))
+                  .drop("__answer"))
+
+
+def call_error(error: Column | str, validation: Column | str) -> Column:
+    """What went wrong with a call: its own error, or else why its answer is invalid."""
+    return F.coalesce(col(error), col(validation))
+
+
+def results(answers: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, result, error_class, message)``: every request with its answer; a valid answer is
+    wrapped with the model name and the request's privacy report, a failed one is classified."""
+    got = answers.select(*keys, "analysis", call_error("error", "validation_error").alias("__error"))
+    met = requests.select(*keys, "privacy").join(got, keys)
+    ok = F.col("__error").isNull()
+    return met.select(*keys, F.when(ok, result_wrapper(F.col("analysis"), F.col("privacy"))).alias("result"),
+                      error_class("__error").alias("error_class"), error_message("__error").alias("message"))
 
 
 def result_wrapper(analysis: Column, privacy: Column) -> Column:
@@ -186,7 +223,3 @@ def list_or_default(items: Column, key: str) -> Column:
     """The shown list, or the one-element fallback text when it is empty."""
     return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, items).otherwise(
         F.array(F.lit(fixed.EMPTY_LIST_TEXT[key])))
-
-
-def blank(text: Column) -> Column:
-    return F.coalesce(strip(text), F.lit("")) == F.lit("")

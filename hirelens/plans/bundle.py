@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import py_round_int
+from ..functions.text import clean_text, py_round_int, strip
 from ..operators.match import analyze_match
 from ..operators.scorecard import scorecard
-from ..functions.text import strip
-from ..sources.ingest import failure_message, input_gate_flags, resume_record
+from ..sources.ingest import failure_message, file_gate, input_gate_flags, resume_record
 
 
 def safe_score(*values) -> F.Column:
@@ -18,61 +17,97 @@ def safe_score(*values) -> F.Column:
     return F.coalesce(F.least(F.lit(100), F.greatest(F.lit(0), py_round_int(v))), F.lit(0)).cast("int")
 
 
+def prepare(resumes: DataFrame) -> DataFrame:
+    """Gates and clean-up of the uploaded documents: type, empty file, then the
+    cleaned text, its statistics and the no-text error. One row per document;
+    an error leaves the row without text.
+
+    ``resumes(resume_id, filename, extension, text[, length])``."""
+    size = F.col("length") if "length" in resumes.columns else F.lit(1)
+    gated = resumes.select("resume_id", "filename", "extension", "text", file_gate(F.col("extension"), size).alias("error"))
+    cleaned = gated.withColumn("text", F.when(F.col("error").isNull(), clean_text("text")))
+    return resume_record(cleaned)
+
+
+def applied(applications: DataFrame, records: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The applications with ``error``: why an application cannot be analysed.
+
+    Gates need one flag per document, not the texts: joining texts onto every
+    application would copy a popular document into each of its rows."""
+    r = records.select("resume_id", F.lit(True).alias("has_resume"), F.col("error").alias("extract_error"))
+    j = jobs.select("job_id", (F.coalesce(strip("text"), F.lit("")) == "").alias("job_blank"))
+    a = applications.join(r, "resume_id", "left").join(j, "job_id", "left")
+    error = F.coalesce(input_gate_flags(F.coalesce(F.col("has_resume"), F.lit(False)),
+                                        F.coalesce(F.col("job_blank"), F.lit(True))),
+                       failure_message(F.col("extract_error")))
+    return a.select(*applications.columns, error.alias("error"))
+
+
 def analyze(applications: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Match result + scorecard + extraction stats for every application.
+    """Match result + scorecard + extraction record for every application.
 
-    ``resumes(resume_id, filename, extension, text)``; ``jobs(job_id, text)``.
-    Per-document work (skills, terms, scorecard) runs once per document and
-    is joined to the applications; only similarity and set algebra are
-    per pair. Applications whose inputs fail a gate keep their row with an
-    ``error`` and no results.
+    ``resumes(resume_id, filename, extension, text[, length])``;
+    ``jobs(job_id, text)``. Documents pass the gates and are cleaned first;
+    match and scorecard work on the cleaned text, once per document;
+    only similarity and set algebra are per pair. Applications whose inputs
+    fail a gate keep their row with an ``error`` and no results.
     """
-    rec = resume_record(resumes.select("resume_id", "filename", "extension", "text"))
-    card = scorecard(rec.select("resume_id", "filename", "extension", "text", "characters",
-                                "words", "error"))
-    card = card.select("resume_id", F.lit(True).alias("has_resume"), "filename", "extension",
-                       "characters", "words",
-                       F.col("error").alias("extract_error"),
+    rec = prepare(resumes)
+    a = applied(applications, rec, jobs)
+    return results(a, rec, jobs)
+
+
+def results(a: DataFrame, rec: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The results of gated applications: analyses only what has no error."""
+    good = a.where("error IS NULL")
+    used = rec.join(good.select("resume_id").distinct(), "resume_id", "left_semi")
+    card = scorecard(used.select("resume_id", "filename", "extension", "text", "characters", "words", "error"))
+    card = card.select("resume_id", F.struct("filename", "extension", "characters", "words").alias("resume_data"),
                        F.struct("score", "rating", "checks", "sections", "missing_sections",
                                 "word_count", "filename").alias("ats_result"))
-    m = analyze_match(applications, resumes, jobs)
+    m = analyze_match(good, used, jobs)
     match_result = F.struct(*[F.col(c) for c in m.columns if c not in ("resume_id", "job_id")])
     m = m.select("resume_id", "job_id", match_result.alias("match_result"))
-    # Gates need one flag per document, not the texts: joining texts onto
-    # every application would copy a popular résumé into each of its rows.
-    j = jobs.select("job_id", F.coalesce(strip("text"), F.lit("")).alias("job_stripped"))
-    j = j.select("job_id", F.lit(True).alias("has_job"), (F.col("job_stripped") == "").alias("job_blank"))
-    a = (applications.join(card, "resume_id", "left").join(j, "job_id", "left")
-         .join(m, ["resume_id", "job_id"], "left"))
-    gate = F.coalesce(input_gate_flags(F.coalesce(F.col("has_resume"), F.lit(False)),
-                                       F.coalesce(F.col("job_blank"), F.lit(True))),
-                      failure_message(F.col("extract_error")))
-    ok = gate.isNull()
-    return a.select(
-        *applications.columns, "filename", "extension", "characters", "words",
-        F.when(ok, F.col("match_result")).alias("match_result"),
-        F.when(ok, F.col("ats_result")).alias("ats_result"),
-        gate.alias("error"),
+    out = a.join(card, "resume_id", "left").join(m, ["resume_id", "job_id"], "left")
+    ok = F.col("error").isNull()
+    cols = [c for c in a.columns if c != "error"]
+    return out.select(
+        *cols, F.when(ok, F.col("resume_data")).alias("resume_data"),
+        F.when(ok, F.col("match_result")).alias("match_result"), F.when(ok, F.col("ats_result")).alias("ats_result"), "error",
         F.when(ok, safe_score(F.col("match_result.overall_score"))).alias("job_match_score"),
+        F.when(ok, safe_score(F.col("match_result.technical_score"))).alias("technical_score"),
+        F.when(ok, safe_score(F.col("match_result.similarity_score"))).alias("similarity_score"),
         F.when(ok, safe_score(F.col("ats_result.score"))).alias("ats_score"))
 
 
 def latest_per_session(bundles: DataFrame, session_col: str = "session_id", ts_col: str = "ts",
                        tie_col: str = "application_id") -> DataFrame:
-    """The last bundle per session (later analyses overwrite earlier ones).
+    """The last *successful* row per session: a failed analysis leaves the one before in place.
 
     ``max`` over a struct led by (ts, tie-breaker) is an ordinary partial
     aggregate: map-side combine keeps a hot session from landing whole on
     one reducer, unlike a window sort.
     """
-    others = [c for c in bundles.columns if c not in (session_col, ts_col, tie_col)]
+    if "error" in bundles.columns:
+        bundles = bundles.where("error IS NULL")
+    others = [c for c in bundles.columns if c not in (session_col, ts_col, tie_col, "error")]
     best = F.max(F.struct(F.col(ts_col).alias(ts_col), F.col(tie_col).alias(tie_col),
                           *[F.col(c) for c in others])).alias("b")
     return bundles.groupBy(session_col).agg(best).select(session_col, "b.*")
 
 
+def latest_bundles(applications: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The session state: the last successful application of each session is chosen
+    from narrow rows and gate flags, and only those are analysed."""
+    rec = prepare(resumes)
+    keys = applied(applications, rec, jobs).select("session_id", "ts", "application_id", "resume_id", "job_id", "error")
+    last = latest_per_session(keys).withColumn("error", F.lit(None).cast("string"))
+    return results(last, rec, jobs)
+
+
 def write_bundles(bundles: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet sink, nested results kept as structs."""
+    """Parquet sink, nested results kept as structs (job and résumé by their keys; a new
+    analysis starts without a model answer)."""
     bundles.write.mode(mode).parquet(path)
 
 

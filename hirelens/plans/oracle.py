@@ -268,5 +268,64 @@ def name_candidate(x: str) -> str:
     return f"list_filter({cands}, lambda n: {cond})[1]"
 
 
+# Chained redaction. Look-arounds become literals: every run of word characters (or digits) is
+# wrapped in two control characters that the data doesn't hold, the rule is written with them, and
+# they are taken out again.
+_S, _E, _PLUS = r"\x01", r"\x02", r"\x03"
+_ND = r"\p{Nd}"
+_PAN_LETTER = r"[A-Za-z\x{130}\x{131}\x{17f}\x{212a}]"
+_RULES = {
+    "email": (W, rf"[{_S}{_E}]+[A-Za-z0-9._%+-][A-Za-z0-9._%+\-{_S}{_E}]*@[{_S}{_E}]*[A-Za-z0-9.-][A-Za-z0-9.\-{_S}{_E}]*"
+                 rf"\.{_S}[A-Za-z]{{2,}}{_E}"),
+    "url": (W, rf"{_S}(?i:https?){_E}+://{NWS}+|{_S}(?i:www){_E}+\.{NWS}+|{_S}(?i:linkedin|github){_E}+\.{_S}(?i:com){_E}+/{NWS}+"),
+    "aadhaar": (_ND, rf"{_S}{_ND}{{4}}(?:{_ND}{{4}}|{_E}+{WS}?{_S}{_ND}{{4}}){{2}}{_E}"),
+    "pan": (W, rf"{_S}{_PAN_LETTER}{{5}}[0-9]{{4}}{_PAN_LETTER}{_E}"),
+}
+_PHONE = rf"\+?{_S}[{_ND} ().\-{_S}{_E}]*{_E}"
+
+
+def _wrapped(x: str, run: str) -> str:
+    return f"regexp_replace({x}, '({run}+)', chr(1) || '\\1' || chr(2) || chr(2), 'g')"
+
+
+def _plain(x: str) -> str:
+    return f"translate({x}, chr(1) || chr(2), '')"
+
+
+def redaction_ctes(src: str) -> str:
+    """CTEs ending in ``red(resume_id, name, text, c_<key>..., total)``."""
+    name_rx = "'(?i)' || regexp_escape(name)"
+    out = [f"r_0 AS (SELECT resume_id, text AS t, {name_candidate('text')} AS name FROM {src})",
+           f"""r_name AS (SELECT resume_id, name,
+       CASE WHEN name IS NULL THEN t ELSE regexp_replace(t, {name_rx}, {lit(fixed.TOKENS['name'])}, 'g') END AS t,
+       CASE WHEN name IS NULL THEN 0 ELSE len(regexp_extract_all(t, {name_rx})) END AS c_name FROM r_0)"""]
+    last = "r_name"
+    for key, (run, rule) in _RULES.items():
+        out.append(f"w_{key} AS (SELECT * EXCLUDE (t), {_wrapped('t', run)} AS w FROM {last})")
+        out.append(f"""r_{key} AS (SELECT * EXCLUDE (w), {_plain(f"regexp_replace(w, {lit(rule)}, {lit(fixed.TOKENS[key])}, 'g')")} AS t,
+       len(regexp_extract_all(w, {lit(rule)})) AS c_{key} FROM w_{key})""")
+        last = f"r_{key}"
+    # a plus sign right after a digit is no part of a number
+    out.append(f"""w_phone AS (SELECT * EXCLUDE (t),
+       regexp_replace({_wrapped('t', _ND)}, '{_E}\\+{_S}', chr(2) || chr(3) || chr(1), 'g') AS w FROM {last})""")
+    out.append(f"""m_phone AS (SELECT *, regexp_split_to_array(w, {lit(_PHONE)}) AS ps,
+       list_transform(regexp_extract_all(w, {lit(_PHONE)}), lambda m: CASE WHEN length(translate(m, chr(1) || chr(2) || '+', '')) >= 10
+            AND length(regexp_replace(m, '\\P{{Nd}}', '', 'g')) BETWEEN 10 AND 13 THEN {lit(fixed.TOKENS['phone'])} ELSE m END) AS ms
+       FROM w_phone)""")
+    out.append(f"""r_phone AS (SELECT * EXCLUDE (w, ps, ms), replace({_plain("array_to_string(list_transform(ps, lambda p, i: p || coalesce(ms[i], '')), '')")},
+       chr(3), '+') AS t, len(list_filter(ms, lambda m: m = {lit(fixed.TOKENS['phone'])})) AS c_phone FROM m_phone)""")
+    lines = splitlines("t")
+    out.append(f"""r_address AS (SELECT * EXCLUDE (t), array_to_string(list_transform({lines}, lambda l, i: CASE WHEN i <= {fixed.HEADER_ADDRESS_LINES}
+            AND {address_line('l')} THEN {lit(fixed.TOKENS['address'])} ELSE l END), chr(10)) AS t,
+       len(list_filter(list_slice({lines}, 1, {fixed.HEADER_ADDRESS_LINES}), lambda l: {address_line('l')})) AS c_address FROM r_phone)""")
+    hit = f"regexp_matches(l, {lit(SENSITIVE)})"
+    out.append(f"""r_sensitive_fields AS (SELECT * EXCLUDE (t), array_to_string(list_transform({lines}, lambda l: CASE WHEN {hit}
+            THEN {lit(fixed.TOKENS['sensitive_fields'])} ELSE l END), chr(10)) AS text,
+       len(list_filter({lines}, lambda l: {hit})) AS c_sensitive_fields FROM r_address)""")
+    total = " + ".join(f"c_{k}" for k in fixed.REDACTION_KEYS)
+    out.append(f"red AS (SELECT *, {total} AS total FROM r_sensitive_fields)")
+    return ",\n".join(out)
+
+
 def v(name: str) -> str:
     return f"({view_sql(name)})"

@@ -26,7 +26,7 @@ from ..operators.skills import with_skills
 from ..sources import ingest
 from ..sources import tables as T
 from . import oracle as O
-from .bundle import analyze, latest_per_session
+from .bundle import analyze, applied, latest_bundles, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -187,42 +187,51 @@ def page_assembly(spark, sf):
 def part_assembly(spark, sf):
     d = ingest.assemble_parts(T.parts(spark, sf))
     return d.select("doc_id", _long(char_count("text")).alias("characters"),
-                    _long(word_count("text")).alias("words"), F.sha2("text", 256).alias("text_sha"))
+                    _long(word_count("text")).alias("words"),
+                    ingest.no_text_error(F.lit(".docx"), F.col("text")).alias("error"),
+                    F.sha2("text", 256).alias("text_sha"))
 
 
 def input_gates(spark, sf):
+    """Gates of the applications whose résumés are the assembled page texts."""
     pages = ingest.assemble_pages(T.view(spark, sf, "v_pages_text"))
     res = pages.select(F.col("doc_id").alias("resume_id"),
-                       ingest.failure_message(ingest.no_text_error(F.lit(".pdf"), F.col("text")))
-                       .alias("extract_error"), F.col("text").alias("resume_text"))
-    j = T.jobs(spark, sf).select("job_id", F.col("text").alias("job_text"))
-    a = T.applications(spark, sf).join(res, "resume_id", "left").join(j, "job_id", "left")
-    err = F.coalesce(ingest.input_gate(F.col("resume_text"), F.col("job_text")), F.col("extract_error"))
-    return a.select("application_id", err.alias("error"))
+                       ingest.no_text_error(F.lit(".pdf"), F.col("text")).alias("error"))
+    return applied(T.applications(spark, sf), res, T.jobs(spark, sf)).select("application_id", "error")
+
+
+def resume_gates(spark, sf):
+    """Gates, clean-up and extraction record of every uploaded résumé."""
+    r = prepare(_uploads(spark, sf))
+    return r.select("resume_id", "error", _long(F.col("characters")).alias("characters"),
+                    _long(F.col("words")).alias("words"), F.sha2("text", 256).alias("text_sha"))
 
 
 # ---------------------------------------------------------------------------
 # Bundle and session state
 # ---------------------------------------------------------------------------
-def _bundles(spark, sf):
-    return analyze(T.applications(spark, sf), _resumes(spark, sf), T.jobs(spark, sf))
+def _uploads(spark, sf):
+    """Uploaded documents: résumés with their size; every 29th file is empty."""
+    r = _resumes(spark, sf)
+    return r.withColumn("length", F.when(F.col("resume_id") % 29 == 3, 0).otherwise(F.octet_length("text")))
+
+
+_SCORES = ["job_match_score", "technical_score", "similarity_score", "ats_score"]
 
 
 def bundle(spark, sf):
-    b = _bundles(spark, sf)
+    b = analyze(T.applications(spark, sf), _uploads(spark, sf), T.jobs(spark, sf))
     return b.select("application_id", "session_id", "resume_id", "job_id",
-                    _long(F.col("job_match_score")).alias("job_match_score"),
-                    _long(F.col("ats_score")).alias("ats_score"),
+                    *[_long(F.col(c)).alias(c) for c in _SCORES],
                     F.col("match_result.overall_score").alias("overall_score"),
-                    F.col("ats_result.rating").alias("rating"), "error")
+                    F.col("ats_result.rating").alias("rating"),
+                    _long(F.col("resume_data.characters")).alias("characters"), "error")
 
 
 def latest_bundle(spark, sf):
-    b = _bundles(spark, sf).select("session_id", "ts", "application_id", "resume_id", "job_id",
-                                   "job_match_score", "ats_score")
-    return latest_per_session(b).select("session_id", "application_id", "resume_id", "job_id",
-                                        _long(F.col("job_match_score")).alias("job_match_score"),
-                                        _long(F.col("ats_score")).alias("ats_score"))
+    b = latest_bundles(T.applications(spark, sf), _uploads(spark, sf), T.jobs(spark, sf))
+    return b.select("session_id", "application_id", "resume_id", "job_id",
+                    *[_long(F.col(c)).alias(c) for c in _SCORES])
 
 
 # ---------------------------------------------------------------------------
@@ -237,7 +246,7 @@ def llm_requests(spark, sf):
 
 
 def _answers(spark, sf):
-    return R.parse_responses(T.balanced(T.view(spark, sf, "v_llm_responses"), "application_id"))
+    return R.parse_responses(T.view(spark, sf, "v_llm_responses"))
 
 
 def llm_validation(spark, sf):
@@ -265,9 +274,19 @@ def llm_display(spark, sf):
 
 
 def llm_errors(spark, sf):
-    a = T.view(spark, sf, "v_llm_responses")
-    return a.select("application_id", R.error_class("error").alias("error_class"),
-                    R.error_message("error").alias("message"))
+    a = _answers(spark, sf)
+    err = R.call_error("error", "validation_error")
+    return a.select("application_id", R.error_class(err).alias("error_class"), R.error_message(err).alias("message"))
+
+
+def llm_result(spark, sf):
+    """Requests joined to their answers: wrapped result or classified error."""
+    req = R.build_requests(T.applications(spark, sf), T.resumes(spark, sf), T.jobs(spark, sf))
+    r = R.results(_answers(spark, sf), req, ["application_id"])
+    return r.select("application_id", F.col("result.model").alias("model"),
+                    F.col("result.analysis.target_role").alias("target_role"),
+                    _long(F.col("result.privacy.total_redactions")).alias("total_redactions"),
+                    "error_class", "message")
 
 
 QUERIES: dict[str, Query] = {
@@ -289,6 +308,7 @@ QUERIES: dict[str, Query] = {
     "page_assembly": page_assembly,
     "part_assembly": part_assembly,
     "input_gates": input_gates,
+    "resume_gates": resume_gates,
     "bundle": bundle,
     "latest_bundle": latest_bundle,
     "llm_requests": llm_requests,
@@ -297,6 +317,7 @@ QUERIES: dict[str, Query] = {
     "llm_evidence": llm_evidence,
     "llm_display": llm_display,
     "llm_errors": llm_errors,
+    "llm_result": llm_result,
 }
 
 
@@ -322,10 +343,14 @@ def _sq_text_predicates():
 SELECT resume_id, email, phone, link, dates, ratio, n_lines, longest FROM feat"""
 
 
+# NFKC + casefold for the characters the views plant beyond ASCII (full-width letters).
+_NORM = "translate(lower(text), 'ｐｙｔｈｏｎｓｑｌ', 'pythonsql')"
+
+
 def _sq_skills(view, id_col):
     return f"""
-SELECT {id_col}, array_to_string({O.skill_list('lower(text)', fixed.TECHNICAL_SKILLS)}, '|') AS technical_skills,
-       array_to_string({O.skill_list('lower(text)', fixed.SOFT_SKILLS)}, '|') AS soft_skills
+SELECT {id_col}, array_to_string({O.skill_list(_NORM, fixed.TECHNICAL_SKILLS)}, '|') AS technical_skills,
+       array_to_string({O.skill_list(_NORM, fixed.SOFT_SKILLS)}, '|') AS soft_skills
 FROM {O.v(view)}"""
 
 
@@ -334,21 +359,27 @@ def _sq_term_frequency():
 SELECT id AS resume_id, term, tf, CAST(sum(tf * tf) OVER (PARTITION BY id) AS BIGINT) AS sq FROM rt"""
 
 
-def _sim_ctes():
-    return f"""a AS (SELECT * FROM {O.v('v_applications')}),
+def _sim_ctes(res=None, apps=None):
+    """Cosine of the two idf-weighted count vectors of each pair: weights and norms from the
+    definition (idf = 1 + ln(3 / (1 + documents with the term)) over the pair's two documents)."""
+    idf = "(1 + ln(CAST(3 AS DOUBLE) / (1 + {n})))"
+    one, two = idf.format(n=1), idf.format(n=2)
+    return f"""a AS (SELECT * FROM {apps or O.v('v_applications')}),
 p AS (SELECT DISTINCT resume_id, job_id FROM a),
-{O.terms_cte('rt', O.v('v_resumes'), 'resume_id')},
+{O.terms_cte('rt', res or O.v('v_resumes'), 'resume_id')},
 {O.terms_cte('jt', O.v('v_jobs'), 'job_id')},
-rs AS (SELECT id, sum(tf * tf) AS sq FROM rt GROUP BY id),
-js AS (SELECT id, sum(tf * tf) AS sq FROM jt GROUP BY id),
-sh AS (SELECT p.resume_id, p.job_id, sum(rt.tf * jt.tf) AS dot, sum(rt.tf * rt.tf) AS rr,
-              sum(jt.tf * jt.tf) AS jj
-       FROM p JOIN jt ON jt.id = p.job_id JOIN rt ON rt.id = p.resume_id AND rt.term = jt.term
+rv AS (SELECT p.resume_id, p.job_id, sqrt(sum(power(rt.tf * CASE WHEN jt.term IS NULL THEN {one} ELSE {two} END, 2))) AS norm,
+              sum(CASE WHEN jt.term IS NULL THEN 0 ELSE rt.tf * {two} * jt.tf * {two} END) AS dot
+       FROM p JOIN rt ON rt.id = p.resume_id LEFT JOIN jt ON jt.id = p.job_id AND jt.term = rt.term
+       GROUP BY p.resume_id, p.job_id),
+jv AS (SELECT p.resume_id, p.job_id, sqrt(sum(power(jt.tf * CASE WHEN rt.term IS NULL THEN {one} ELSE {two} END, 2))) AS norm
+       FROM p JOIN jt ON jt.id = p.job_id LEFT JOIN rt ON rt.id = p.resume_id AND rt.term = jt.term
        GROUP BY p.resume_id, p.job_id),
 sim AS (SELECT p.resume_id, p.job_id,
-               {O.cosine('sh.dot', 'sh.rr', 'sh.jj', 'rs.sq', 'js.sq')} AS similarity_score
-        FROM p LEFT JOIN sh ON sh.resume_id = p.resume_id AND sh.job_id = p.job_id
-               LEFT JOIN rs ON rs.id = p.resume_id LEFT JOIN js ON js.id = p.job_id)"""
+               CASE WHEN coalesce(dot, 0) = 0 THEN CAST(0 AS DOUBLE) ELSE round(CAST(100 AS DOUBLE) * dot / (rv.norm * jv.norm), 2) END
+                 AS similarity_score
+        FROM p LEFT JOIN rv ON rv.resume_id = p.resume_id AND rv.job_id = p.job_id
+               LEFT JOIN jv ON jv.resume_id = p.resume_id AND jv.job_id = p.job_id)"""
 
 
 def _sq_similarity():
@@ -360,17 +391,17 @@ def _pct(req, res):
     return f"CASE WHEN len({req}) = 0 THEN CAST(0 AS DOUBLE) ELSE {O.py_round2(x)} END"
 
 
-def _match_ctes():
+def _match_ctes(res=None, apps=None):
     tech, soft = fixed.TECHNICAL_SKILLS, fixed.SOFT_SKILLS
     acc = ("((CASE WHEN len(jt_sk) > 0 THEN technical_score * CAST(55 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
            " + CASE WHEN len(js_sk) > 0 THEN soft_skill_score * CAST(15 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)"
            " + similarity_score * CAST(30 AS DOUBLE))")
     w = "(CASE WHEN len(jt_sk) > 0 THEN 55 ELSE 0 END + CASE WHEN len(js_sk) > 0 THEN 15 ELSE 0 END + 30)"
-    return f"""{_sim_ctes()},
-rsk AS (SELECT resume_id, {O.skill_list('lower(text)', tech)} AS rt_sk,
-               {O.skill_list('lower(text)', soft)} AS rs_sk FROM {O.v('v_resumes')}),
-jsk AS (SELECT job_id, {O.skill_list('lower(text)', tech)} AS jt_sk,
-               {O.skill_list('lower(text)', soft)} AS js_sk FROM {O.v('v_jobs')}),
+    return f"""{_sim_ctes(res, apps)},
+rsk AS (SELECT resume_id, {O.skill_list(_NORM, tech)} AS rt_sk,
+               {O.skill_list(_NORM, soft)} AS rs_sk FROM {res or O.v('v_resumes')}),
+jsk AS (SELECT job_id, {O.skill_list(_NORM, tech)} AS jt_sk,
+               {O.skill_list(_NORM, soft)} AS js_sk FROM {O.v('v_jobs')}),
 m0 AS (SELECT sim.resume_id, sim.job_id, sim.similarity_score, jt_sk, rt_sk, js_sk, rs_sk,
               {_pct('jt_sk', 'rt_sk')} AS technical_score, {_pct('js_sk', 'rs_sk')} AS soft_skill_score
        FROM sim JOIN rsk ON rsk.resume_id = sim.resume_id JOIN jsk ON jsk.job_id = sim.job_id),
@@ -481,12 +512,12 @@ def _sq_part_assembly():
       FROM parts WHERE kind = 'cell' GROUP BY doc_id, table_no, row_no"""
     other = """SELECT doc_id, CASE WHEN kind = 'paragraph' THEN 0 ELSE 2 END, CASE WHEN kind = 'paragraph' THEN 0 ELSE section_no END,
         CASE WHEN kind = 'footer' THEN 1 ELSE 0 END, ord, text FROM parts WHERE kind <> 'cell'"""
-    agg = f"coalesce(string_agg(text, chr(10) ORDER BY rnk, k1, k2, k3), '')"
+    agg = f"coalesce(string_agg(CASE WHEN {O.strip('text')} <> '' THEN text END, chr(10) ORDER BY rnk, k1, k2, k3), '')"
     return f"""WITH parts AS ({T.PARTS_SQL}),
-allp AS (SELECT * FROM ({rows} UNION ALL {other}) WHERE {O.strip('text')} <> ''),
+allp AS ({rows} UNION ALL {other}),
 d AS (SELECT doc_id, {O.clean_text(agg)} AS text FROM allp GROUP BY doc_id)
 SELECT doc_id, CAST(length(text) AS BIGINT) AS characters, {O.word_count('text')} AS words,
-       sha256(text) AS text_sha FROM d"""
+       CASE WHEN text = '' THEN {_lit(fixed.ERR_NO_TEXT_DOCX)} END AS error, sha256(text) AS text_sha FROM d"""
 
 
 def _sq_input_gates():
@@ -500,29 +531,62 @@ SELECT a.application_id,
 FROM a LEFT JOIN pg ON pg.doc_id = a.resume_id LEFT JOIN j ON j.job_id = a.job_id"""
 
 
+def _records_sql():
+    """Gated and cleaned uploads: (resume_id, extension, text, error)."""
+    gate = _gate_sql("extension", "size")
+    return f"""(SELECT resume_id, extension, gate, clean AS text, coalesce(gate, CASE WHEN clean = '' THEN
+       CASE WHEN extension = '.pdf' THEN {_lit(fixed.ERR_NO_TEXT_PDF)} ELSE {_lit(fixed.ERR_NO_TEXT_DOCX)} END END) AS error
+FROM (SELECT resume_id, extension, {gate} AS gate, {O.clean_text('text')} AS clean
+      FROM (SELECT *, CASE WHEN resume_id % 29 = 3 THEN 0 ELSE octet_length(encode(text)) END AS size FROM {O.v('v_resumes')})))"""
+
+
+def _sq_resume_gates():
+    return f"""
+SELECT resume_id, error, CASE WHEN gate IS NULL THEN CAST(length(text) AS BIGINT) END AS characters,
+       CASE WHEN gate IS NULL THEN {O.word_count('text')} END AS words,
+       CASE WHEN gate IS NULL THEN sha256(text) END AS text_sha
+FROM {_records_sql()}"""
+
+
 def _bundle_ctes():
-    card_src = f"(SELECT resume_id, extension, text FROM {O.v('v_resumes')})"
-    return f"""{_match_ctes()},
-{O.features_cte(card_src)},
+    apps = f"""(SELECT a0.*, coalesce(
+           CASE WHEN rec.resume_id IS NULL THEN {_lit(fixed.ERR_NO_RESUME)}
+                WHEN coalesce({O.strip('j0.text')}, '') = '' THEN {_lit(fixed.ERR_NO_JOB)} END,
+           {_lit(fixed.ERR_ANALYSIS_PREFIX)} || rec.error) AS error
+      FROM {O.v('v_applications')} a0 LEFT JOIN rec ON rec.resume_id = a0.resume_id
+           LEFT JOIN {O.v('v_jobs')} j0 ON j0.job_id = a0.job_id)"""
+    good = "(SELECT resume_id, extension, text FROM rec WHERE error IS NULL)"
+    return f"""rec AS {_records_sql()},
+apps AS {apps},
+{_match_ctes(good, '(SELECT * FROM apps WHERE error IS NULL)')},
+{O.features_cte(good)},
 {O.score_cte()},
-b AS (SELECT a.application_id, a.session_id, a.resume_id, a.job_id, a.ts,
+b AS (SELECT apps.application_id, apps.session_id, apps.resume_id, apps.job_id, apps.ts, apps.error,
              CAST(least(100, greatest(0, round_even(m.overall_score, 0))) AS BIGINT) AS job_match_score,
+             CAST(least(100, greatest(0, round_even(m.technical_score, 0))) AS BIGINT) AS technical_score,
+             CAST(least(100, greatest(0, round_even(m.similarity_score, 0))) AS BIGINT) AS similarity_score,
              CAST(least(100, greatest(0, card.score)) AS BIGINT) AS ats_score,
-             m.overall_score, {O.rating('card.score')} AS rating
-      FROM a JOIN m ON m.resume_id = a.resume_id AND m.job_id = a.job_id
-             JOIN card ON card.resume_id = a.resume_id)"""
+             m.overall_score, CASE WHEN apps.error IS NULL THEN {O.rating('card.score')} END AS rating,
+             CASE WHEN apps.error IS NULL THEN CAST(length(rec.text) AS BIGINT) END AS characters
+      FROM apps LEFT JOIN m ON apps.error IS NULL AND m.resume_id = apps.resume_id AND m.job_id = apps.job_id
+             LEFT JOIN card ON apps.error IS NULL AND card.resume_id = apps.resume_id
+             LEFT JOIN rec ON rec.resume_id = apps.resume_id)"""
+
+
+def _scores_sql():
+    return ", ".join(f"CASE WHEN error IS NULL THEN {c} END AS {c}" for c in _SCORES)
 
 
 def _sq_bundle():
     return f"""WITH {_bundle_ctes()}
-SELECT application_id, session_id, resume_id, job_id, job_match_score, ats_score, overall_score, rating,
-       CAST(NULL AS VARCHAR) AS error FROM b"""
+SELECT application_id, session_id, resume_id, job_id, {_scores_sql()},
+       overall_score, rating, characters, error FROM b"""
 
 
 def _sq_latest_bundle():
     return f"""WITH {_bundle_ctes()}
-SELECT session_id, application_id, resume_id, job_id, job_match_score, ats_score
-FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, application_id DESC) AS rn FROM b)
+SELECT session_id, application_id, resume_id, job_id, {', '.join(_SCORES)}
+FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, application_id DESC) AS rn FROM b WHERE error IS NULL)
 WHERE rn = 1"""
 
 
@@ -599,17 +663,55 @@ SELECT application_id, json_extract_string(output_text, '$.target_role') AS targ
 FROM ok"""
 
 
-def _sq_llm_errors():
-    rate = " OR ".join([f"contains(error, {_lit(fixed.RATE_LIMIT_CODE)})"] +
-                       [f"contains(lower(error), {_lit(m)})" for m in fixed.RATE_LIMIT_MARKERS])
-    cls = (f"CASE WHEN error IS NULL THEN NULL WHEN {rate} THEN 'rate_limit' "
-           f"WHEN contains(error, {_lit(fixed.KEY_MARKER)}) THEN 'missing_key' ELSE 'other' END")
-    return f"""
-SELECT application_id, error_class,
+def _errors_cte():
+    rate = " OR ".join([f"contains(err, {_lit(fixed.RATE_LIMIT_CODE)})"] +
+                       [f"contains(lower(err), {_lit(m)})" for m in fixed.RATE_LIMIT_MARKERS])
+    cls = (f"CASE WHEN err IS NULL THEN NULL WHEN {rate} THEN 'rate_limit' "
+           f"WHEN contains(err, {_lit(fixed.KEY_MARKER)}) THEN 'missing_key' ELSE 'other' END")
+    return f"""{_answers_cte()},
+errs AS (SELECT application_id, error_class,
        CASE error_class WHEN 'rate_limit' THEN {_lit(fixed.MSG_RATE_LIMIT)}
                         WHEN 'missing_key' THEN {_lit(fixed.MSG_NO_KEY)}
-                        WHEN 'other' THEN {_lit(fixed.ERR_LLM_PREFIX)} || error END AS message
-FROM (SELECT application_id, error, {cls} AS error_class FROM {O.v('v_llm_responses')})"""
+                        WHEN 'other' THEN {_lit(fixed.ERR_LLM_PREFIX)} || err END AS message
+FROM (SELECT application_id, err, {cls} AS error_class
+      FROM (SELECT application_id, coalesce(error, validation_error) AS err FROM ans)))"""
+
+
+def _sq_llm_errors():
+    return f"WITH {_errors_cte()}\nSELECT application_id, error_class, message FROM errs"
+
+
+def _sq_redaction():
+    cols = ", ".join(f"CAST(c_{k} AS BIGINT) AS {k}" for k in fixed.REDACTION_KEYS)
+    return f"""WITH {O.redaction_ctes(O.v('v_resumes'))}
+SELECT resume_id, sha256(text) AS text_sha, {cols}, CAST(total AS BIGINT) AS total_redactions,
+       name IS NOT NULL AS candidate_name_detected
+FROM red"""
+
+
+def _requests_ctes():
+    head, mid, tail = map(_lit, (fixed.PROMPT_HEAD, fixed.PROMPT_MIDDLE, fixed.PROMPT_TAIL))
+    return f"""{O.redaction_ctes(O.v('v_resumes'))},
+req AS (SELECT a.application_id, a.resume_id, a.job_id, red.total,
+               {head} || substr(red.text, 1, {fixed.RESUME_PROMPT_CHARS}) || {mid} || substr(j.text, 1, {fixed.JOB_PROMPT_CHARS}) || {tail} AS prompt
+        FROM {O.v('v_applications')} a JOIN red ON red.resume_id = a.resume_id JOIN {O.v('v_jobs')} j ON j.job_id = a.job_id
+        WHERE a.consent)"""
+
+
+def _sq_llm_requests():
+    return f"""WITH {_requests_ctes()}
+SELECT application_id, resume_id, job_id, {_lit(fixed.MODEL_NAME)} AS model, sha256(prompt) AS prompt_sha,
+       CAST(length(prompt) AS BIGINT) AS prompt_chars, CAST(total AS BIGINT) AS total_redactions
+FROM req"""
+
+
+def _sq_llm_result():
+    return f"""WITH {_requests_ctes()},
+{_errors_cte()}
+SELECT req.application_id, CASE WHEN error_class IS NULL THEN {_lit(fixed.MODEL_NAME)} END AS model,
+       CASE WHEN error_class IS NULL THEN json_extract_string(output_text, '$.target_role') END AS target_role,
+       CASE WHEN error_class IS NULL THEN CAST(total AS BIGINT) END AS total_redactions, error_class, message
+FROM req JOIN ans ON ans.application_id = req.application_id JOIN errs ON errs.application_id = req.application_id"""
 
 
 ORACLE: dict[str, Callable[[], str]] = {
@@ -630,6 +732,10 @@ ORACLE: dict[str, Callable[[], str]] = {
     "page_assembly": _sq_page_assembly,
     "part_assembly": _sq_part_assembly,
     "input_gates": _sq_input_gates,
+    "resume_gates": _sq_resume_gates,
+    "redaction": _sq_redaction,
+    "llm_requests": _sq_llm_requests,
+    "llm_result": _sq_llm_result,
     "bundle": _sq_bundle,
     "latest_bundle": _sq_latest_bundle,
     "llm_validation": _sq_llm_validation,

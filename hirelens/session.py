@@ -8,8 +8,6 @@ same plans.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings the plans rely on (see ``configure``).
@@ -60,13 +58,11 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a fresh scratch folder is
-    created and registered; on a cluster the configured one is always used.
-    """
+    It must be set: a folder made up here would lie on one machine."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not d:
-        d = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="hirelens-ckpt-")
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d

@@ -15,9 +15,14 @@ from ..functions import fixed
 from ..functions.text import char_count, clean_text, col, strip, word_count
 
 
-def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+def read_files(spark: SparkSession, path: str, recursive: bool = True,
+               inventory: DataFrame | None = None) -> DataFrame:
     """``binaryFile`` source: ``path, modificationTime, length, content``.
 
+    At scale pass ``inventory(path, length)``, the store's own listing: its
+    zero-byte files are added as they stand, and no path list passes through
+    the driver. Without one (small folders):
+
     No ``pathGlobFilter``: it is case-sensitive and would silently drop the
     files the extension gate must report. The file scan skips zero-byte
     files, so files that the file index listed but the scan did not return
@@ -27,8 +32,13 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     scan = (spark.read.format("binaryFile")
             .option("recursiveFileLookup", str(recursive).lower())
             .load(path))
-    listed = spark.createDataFrame([(p,) for p in scan.inputFiles()], "listed string")
     norm = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    if inventory is not None:
+        none = inventory.where("length = 0").select(
+            norm(F.col("path")).alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"),
+            F.lit(0).cast("long").alias("length"), F.lit(b"").cast("binary").alias("content"))
+        return scan.select(norm(F.col("path")).alias("path"), "modificationTime", "length", "content").unionByName(none)
+    listed = spark.createDataFrame([(p,) for p in scan.inputFiles()], "listed string")
     listed = listed.select(norm(F.col("listed")).alias("path"))
     empty = (listed.join(scan.select(norm(F.col("path")).alias("path")), "path", "left_anti")
              .select("path", F.lit(None).cast("timestamp").alias("modificationTime"),
@@ -84,8 +94,10 @@ def assemble_parts(parts: DataFrame) -> DataFrame:
     row_no, cell_no, ord, text)``: non-blank paragraphs, then table rows
     (non-blank stripped cells joined by " | ", empty rows dropped), then per
     section its header then footer paragraphs; joined with LF and cleaned.
+    ``(doc_id, text)``; documents without text get ''. A group holds one
+    document's parts.
     """
-    p = parts.repartition("doc_id")
+    p = parts
     rows = (p.filter(F.col("kind") == "cell")
              .groupBy("doc_id", "table_no", "row_no")
              .agg(F.array_sort(F.collect_list(F.when(strip("text") != F.lit(""), F.struct(
@@ -99,9 +111,9 @@ def assemble_parts(parts: DataFrame) -> DataFrame:
               .select("doc_id", rank.alias("rank"),
                       F.when(F.col("kind") == "paragraph", 0).otherwise(F.col("section_no")).alias("k1"),
                       hf.alias("k2"), F.col("ord").alias("k3"), "text"))
-    allp = rows.unionByName(other).filter(strip("text") != F.lit(""))
-    agg = allp.groupBy("doc_id").agg(F.array_sort(F.collect_list(
-        F.struct("rank", "k1", "k2", "k3", F.col("text").alias("t")))).alias("parts"))
+    # blank parts are dropped inside the group, so a document of blank parts stays with ''
+    keep = F.when(strip("text") != F.lit(""), F.struct("rank", "k1", "k2", "k3", F.col("text").alias("t")))
+    agg = rows.unionByName(other).groupBy("doc_id").agg(F.array_sort(F.collect_list(keep)).alias("parts"))
     return agg.select("doc_id", clean_text(F.array_join(F.transform("parts", lambda s: s["t"]), "\n"))
                       .alias("text"))
 
@@ -110,7 +122,7 @@ def resume_record(df: DataFrame, text_col: str = "text", ext_col: str = "extensi
     """Extraction result: ``characters`` and ``words`` of the cleaned text, and
     the no-text error keyed by extension."""
     return (df.withColumn("characters", char_count(text_col))
-              .withColumn("words", word_count(text_col))
+              .withColumn("words", F.when(F.col(text_col).isNotNull(), word_count(text_col)))
               .withColumn("error", F.coalesce(
                   F.col("error") if "error" in df.columns else F.lit(None).cast("string"),
                   no_text_error(F.col(ext_col), F.col(text_col)))))

@@ -22,32 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def target_partitions(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism,
-               int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+SPREAD = "spark.hirelens.spread"
 
 
-def balanced(df: DataFrame, key: str) -> DataFrame:
-    """Spread a text table over the cluster before per-document regex work.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a text table by its key, if the session asks for it.
 
-    A scan yields one task per file split / row group; a table stored as
-    few large files would otherwise run all its CPU-heavy text rules in a
-    handful of tasks. Only when the scan has fewer partitions than the
-    session's parallelism is it hash-partitioned by its key (deterministic
-    on retry, and reused by later joins and aggregations on that key). A
-    large table already has more splits than that and is left as read.
+    A table stored as one row group is one task, whatever its size; a session
+    (the benchmark's, over such files) may set ``spark.hirelens.spread`` to a
+    number of partitions. Unset, the default, a table is left as it is read and
+    its text is never shuffled.
     """
-    n = target_partitions(df.sparkSession)
-    if df.rdd.getNumPartitions() >= n:
-        return df
-    return df.repartition(n, key)
+    n = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(n), key) if n else df
 
 
 # Résumés: planted contact details, headings and skills in front of each document.
 V_RESUMES = """
 SELECT doc_id AS resume_id,
        CASE doc_id % 5 WHEN 0 THEN '.docx' WHEN 1 THEN '.txt' ELSE '.pdf' END AS extension,
-       concat_ws(chr(10),
+       CASE WHEN doc_id % 23 = 9 THEN concat(' ', chr(10), chr(9)) ELSE concat_ws(chr(10),
          CASE doc_id % 4 WHEN 0 THEN 'Priya Nair' WHEN 1 THEN 'JOHN B SMITH'
                          WHEN 2 THEN 'Curriculum Vitae' ELSE 'Senior Data Engineer' END,
          CASE WHEN doc_id % 2 = 0 THEN concat('user', CAST(doc_id AS VARCHAR(20)), '@example.com') END,
@@ -63,45 +57,47 @@ SELECT doc_id AS resume_id,
                          WHEN 1 THEN 'Java | Spring Boot | REST API | leadership'
                          WHEN 2 THEN 'C++ and C#, Linux, problem-solving'
                          WHEN 3 THEN 'JavaScript, react.js, node.js, html5, css3'
-                         WHEN 4 THEN 'machine learning, pandas, sklearn, communication' END,
+                         WHEN 4 THEN 'machine learning, pandas, sklearn, communication'
+                         WHEN 5 THEN 'ＰＹＴＨＯＮ, ＳＱＬ' END,
          CASE WHEN doc_id % 5 <> 2 THEN 'Work Experience' END,
          CASE WHEN doc_id % 2 = 0 THEN 'Jan 2019 - March 2021' WHEN doc_id % 3 = 0 THEN '2020' END,
          CASE WHEN doc_id % 7 <> 1 THEN 'Education' END,
          CASE WHEN doc_id % 8 = 0 THEN 'Certifications' WHEN doc_id % 8 = 1 THEN 'Key Projects' END,
-         text) AS text
+         text) END AS text
 FROM {documents}
 """
 
 # Jobs: planted requirement lines in front of each benchmark text.
 V_JOBS = """
 SELECT item_id AS job_id,
-       concat_ws(chr(10),
+       CASE WHEN item_id % 13 = 6 THEN concat(' ', chr(10)) ELSE concat_ws(chr(10),
          CASE item_id % 5 WHEN 0 THEN 'We need Python, SQL, AWS and Docker.'
                           WHEN 1 THEN 'Java developer: Spring Boot, REST API, Git, Kubernetes.'
                           WHEN 2 THEN 'Embedded engineer: C, C++, Linux.'
                           WHEN 3 THEN 'Front end: JavaScript, TypeScript, React, HTML, CSS.' END,
          CASE item_id % 3 WHEN 0 THEN 'Teamwork and communication required.'
                           WHEN 1 THEN 'Leadership, problem solving.' END,
-         text) AS text
+         text) END AS text
 FROM {benchmark}
 """
 
-# Applications (résumé, job, session, time, consent) derived from the event log.
+# Applications (résumé, job, session, time, consent) derived from the event log. A résumé
+# meets one or two jobs; a third of the résumés meet job 0; seven ids have no résumé.
 V_APPLICATIONS = """
-SELECT e.event_id AS application_id,
-       CAST(e.user_id AS STRING) AS session_id,
-       e.event_id % (SELECT count(*) FROM {documents}) AS resume_id,
-       e.event_id % (SELECT count(*) FROM {benchmark}) AS job_id,
-       e.ts AS ts,
-       e.event_type <> 'error' AS consent
-FROM {events} e
+SELECT application_id, session_id, resume_id,
+       CASE WHEN resume_id % 3 = 0 THEN 0 ELSE (resume_id + application_id % 2) % jobs END AS job_id,
+       ts, consent
+FROM (SELECT e.event_id AS application_id, CAST(e.user_id AS STRING) AS session_id,
+             e.event_id % ((SELECT count(*) FROM {documents}) + 7) AS resume_id,
+             (SELECT count(*) FROM {benchmark}) AS jobs, e.ts AS ts, e.event_type <> 'error' AS consent
+      FROM {events} e) x
 """
 
 # Page texts of multi-page documents: one conversation = one document, one
 # turn = one page; some pages are blank.
 V_PAGES_TEXT = """
 SELECT conv_id AS doc_id, CAST(turn AS INT) AS page_no,
-       CASE WHEN (conv_id + turn) % 6 = 5 THEN concat(' ', chr(9), ' ') ELSE text END AS text
+       CASE WHEN (conv_id + turn) % 6 = 5 OR conv_id % 10 = 4 THEN concat(' ', chr(9), ' ') ELSE text END AS text
 FROM {conversations}
 """
 
@@ -180,11 +176,11 @@ def view_sql(name: str) -> str:
 
 
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balanced(view(spark, sf_dir, "v_resumes"), "resume_id")
+    return spread(view(spark, sf_dir, "v_resumes"), "resume_id")
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balanced(view(spark, sf_dir, "v_jobs"), "job_id")
+    return view(spark, sf_dir, "v_jobs")
 
 
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,8 +195,9 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(F.col("turn") % 4 == 1, "cell")
              .when(F.col("turn") % 4 == 3, "header")
              .otherwise("footer"))
-    c = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("turn"),
-                 kind.alias("kind"), "text")
+    # all parts of every tenth document are blank
+    c = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("turn"), kind.alias("kind"),
+                 F.when(F.col("conv_id") % 10 == 3, F.lit(" \t")).otherwise(F.col("text")).alias("text"))
     cells = (c.filter(F.col("kind") == "cell")
               .select("doc_id", "kind", F.lit(0).alias("section_no"), F.lit(0).alias("table_no"),
                       F.col("turn").alias("row_no"),
@@ -214,13 +211,15 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.unionByName(other)
 
 
-PARTS_SQL = """
+_PARTS_FROM = """(SELECT conv_id, turn, role, CASE WHEN conv_id % 10 = 3 THEN concat(' ', chr(9)) ELSE text END AS text
+      FROM conversations)"""
+PARTS_SQL = f"""
 SELECT conv_id AS doc_id, 'cell' AS kind, 0 AS section_no, 0 AS table_no, CAST(turn AS INT) AS row_no,
        CAST(i - 1 AS INT) AS cell_no, 0 AS ord, string_split(text, chr(10))[i] AS text
-FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM conversations
+FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {_PARTS_FROM}
       WHERE role <> 'user' AND turn % 4 = 1)
 UNION ALL
 SELECT conv_id, CASE WHEN role = 'user' THEN 'paragraph' WHEN turn % 4 = 3 THEN 'header' ELSE 'footer' END,
        CAST(turn % 2 AS INT), 0, 0, 0, CAST(turn AS INT), text
-FROM conversations WHERE role = 'user' OR turn % 4 <> 1
+FROM {_PARTS_FROM} WHERE role = 'user' OR turn % 4 <> 1
 """

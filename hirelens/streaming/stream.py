@@ -2,10 +2,10 @@
 
 Extraction stats, the scorecard and redaction are row-local projections,
 so they run unchanged on a ``readStream`` source. The only state the
-reference keeps -- the latest analysis per session -- is maintained with
-``foreachBatch``: each micro-batch is reduced to its latest row per
-session and merged into a parquet table (a partial-aggregate ``max`` over
-(ts, application_id), so a hot session never gathers on one task).
+reference keeps -- the latest successful analysis per session -- is a
+streaming aggregate (``max`` over (ts, application_id), partial, so a hot
+session never gathers on one task) in Spark's state store; a micro-batch
+writes the sessions it changed, and readers take each session's last row.
 Checkpoints live under the folder named by ``spark.checkpoint.dir``.
 """
 
@@ -14,8 +14,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.redact import redact
 from ..operators.scorecard import scorecard
@@ -24,7 +22,7 @@ from ..session import checkpoint_dir
 
 RESUME_SCHEMA = "resume_id long, filename string, extension string, text string"
 APPLICATION_SCHEMA = ("application_id long, session_id string, resume_id long, job_id long, "
-                      "ts timestamp, job_match_score int, ats_score int")
+                      "ts timestamp, job_match_score int, ats_score int, error string")
 
 
 def read_resumes(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -50,55 +48,22 @@ def write_stream(df: DataFrame, out_path: str, name: str, available_now: bool =
     return w.start()
 
 
-def latest_session_sink(table_path: str):
-    """``foreachBatch`` handler keeping the last bundle per session in parquet.
-
-    Each batch writes a new version folder (old versions are left for the
-    cleanup policy); the merge is ``latest_per_session`` over the previous
-    version united with the batch, so replays of a batch are idempotent.
-    """
+def _write_changed(table_path: str):
+    """``foreachBatch`` handler: a folder per batch with the sessions it changed (a replay
+    overwrites the same folder)."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        name = f"v{batch_id:012d}"
-        target = os.path.join(table_path, name)
-        if name in _list(spark, table_path):
-            return
-        prev = None
-        versions = sorted(d for d in _list(spark, table_path) if d.startswith("v") and d < name)
-        if versions:
-            try:
-                prev = spark.read.parquet(os.path.join(table_path, versions[-1]))
-            except AnalysisException:
-                prev = None
-        rows = batch.select(*[c.split()[0] for c in APPLICATION_SCHEMA.split(", ")])
-        merged = rows if prev is None else prev.unionByName(rows)
-        latest_per_session(merged).write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(os.path.join(table_path, f"batch={batch_id}"))
 
     return handle
 
 
-def _list(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder of the cluster file system (HDFS, object store, local)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    return [st.getPath().getName() for st in fs.listStatus(p)
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
-
-
-def latest_version(spark: SparkSession, table_path: str) -> DataFrame:
-    versions = sorted(d for d in _list(spark, table_path) if d.startswith("v"))
-    return spark.read.parquet(os.path.join(table_path, versions[-1]))
+def latest_sessions(spark: SparkSession, table_path: str) -> DataFrame:
+    """The state as it stands: each session's row of the last batch that changed it."""
+    return latest_per_session(spark.read.parquet(table_path).drop("batch"))
 
 
 def track_sessions(applications: DataFrame, table_path: str, name: str = "sessions"):
+    """Keep the last successful application per session (rows with an ``error`` don't count)."""
     ckpt = os.path.join(checkpoint_dir(applications.sparkSession), "streams", name)
-    return (applications.writeStream.foreachBatch(latest_session_sink(table_path))
+    return (latest_per_session(applications).writeStream.outputMode("update").foreachBatch(_write_changed(table_path))
             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-
-
-def with_event_time_watermark(applications: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Bound state for late applications when they are aggregated by time."""
-    return applications.withWatermark("ts", delay).withColumn("day", F.to_date("ts"))

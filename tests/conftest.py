@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from hirelens.session import checkpoint_dir, get_session
-    s = get_session("local[4]", 8)
+    s = get_session("local[4]", 8, extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="hirelens-test-")})
     checkpoint_dir(s)
     yield s
     s.stop()

@@ -1,6 +1,6 @@
-"""Scorecard branches and the whole fixture vs the brute-force judge."""
+"""Scorecard branches with the points written out by hand; the oracle SQL judges the
+scorecard of every résumé of the fixture (test_entry)."""
 
-import pyref
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
@@ -14,6 +14,10 @@ def _card(spark, rows):
     return scorecard(df).orderBy("resume_id").collect()
 
 
+def _points(card):
+    return [c.points for c in card.checks]
+
+
 def _words(n):
     return " ".join(["word"] * n)
 
@@ -21,10 +25,10 @@ def _words(n):
 def test_word_count_branches(spark):
     counts = [49, 50, 99, 100, 149, 150, 249, 250, 1000, 1001, 1500, 1501]
     rows = _card(spark, [(_words(n), ".pdf") for n in counts])
-    exp = [pyref.scorecard_points(_words(n), ".pdf") for n in counts]
-    assert [[c.points for c in r.checks] for r in rows] == exp
     assert [r.checks[0].points for r in rows] == [0, 10, 10, 20, 20, 20, 20, 20, 20, 20, 20, 20]
     assert [r.checks[10].points for r in rows] == [3, 3, 3, 3, 3, 7, 7, 10, 10, 7, 7, 3]
+    # one line, readable characters, supported format, nothing else
+    assert _points(rows[0]) == [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 3, 5, 5, 0]
 
 
 def test_ratio_lines_dates_format(spark):
@@ -44,30 +48,22 @@ def test_ratio_lines_dates_format(spark):
         ("Professional Summary\nSKILLS:\nWork Experience\nEducation\nKey Projects\nuser@example.com", ".pdf"),
     ]
     rows = _card(spark, texts)
-    for r, (t, e) in zip(rows, texts):
-        assert [c.points for c in r.checks] == pyref.scorecard_points(t, e), t[:40]
-        assert r.score == sum(c.points for c in r.checks)
-        assert 3 <= r.score <= 100
-    assert rows[0].checks[12].points == 0
-    assert rows[1].checks[12].points == 5 and rows[2].checks[12].points == 3
+    assert all(r.score == sum(_points(r)) and 3 <= r.score <= 100 for r in rows)
+    assert [r.checks[12].points for r in rows[:3]] == [0, 5, 3]
+    assert [r.checks[11].points for r in rows[:4]] == [5, 5, 0, 5]
+    assert [r.checks[13].points for r in rows[3:9]] == [0, 3, 3, 5, 5, 3]
+    assert [r.checks[9].points for r in rows[9:12]] == [5, 10, 10]
     assert rows[3].checks[11].message == ".PDF is a supported format."
     assert rows[11].checks[2].passed  # a year range also passes as a phone number
     assert rows[12].missing_sections == ["certifications"]
+    assert _points(rows[12])[1] == 7 and all(p > 0 for p in _points(rows[12])[4:9])
 
 
-def test_fixture_against_judge(spark):
-    r = T.resumes(spark, SF_SMALL)
-    df = r.withColumn("filename", F.lit("x")).select("resume_id", "filename", "extension", "text")
+def test_messages_and_rows(spark):
+    df = T.resumes(spark, SF_SMALL).withColumn("filename", F.lit("x")).select("resume_id", "filename", "extension", "text")
     card = scorecard(df).withColumn("recs", recommendations(F.col("checks"))).collect()
     for row in card:
-        text = r.filter(F.col("resume_id") == row.resume_id).first().text if False else None
         assert row.rating in ("Excellent", "Good", "Needs Improvement", "Poor")
-        assert all(c.message for c in row.checks if not c.passed) == (len(row.recs) == sum(
-            1 for c in row.checks if not c.passed))
-    texts = {x.resume_id: (x.text, x.extension) for x in r.collect()}
-    for row in card:
-        t, e = texts[row.resume_id]
-        assert [c.points for c in row.checks] == pyref.scorecard_points(t, e)
-        assert dict(zip(row.sections.__fields__, row.sections)) == pyref.sections(t)
-    long = check_rows(scorecard(df), ["resume_id"])
-    assert long.count() == 14 * len(card)
+        failed = [c for c in row.checks if not c.passed]
+        assert all(c.message for c in failed) and len(row.recs) == len(failed)
+    assert check_rows(scorecard(df), ["resume_id"]).count() == 14 * len(card)

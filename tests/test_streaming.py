@@ -31,13 +31,14 @@ def test_latest_session_state(spark):
     src, table = os.path.join(d, "apps"), os.path.join(d, "latest")
     a = T.applications(spark, SF_SMALL).select(
         "application_id", "session_id", "resume_id", "job_id", "ts",
-        F.lit(1).alias("job_match_score"), F.lit(2).alias("ats_score"))
+        F.lit(1).alias("job_match_score"), F.lit(2).alias("ats_score"),
+        F.when(F.col("application_id") % 5 == 0, "failed").alias("error"))
     a.filter("application_id % 2 = 0").write.parquet(os.path.join(src, "p1"))
     a.filter("application_id % 2 = 1").write.parquet(os.path.join(src, "p2"))
     stream = (spark.readStream.schema(S.APPLICATION_SCHEMA).option("maxFilesPerTrigger", 1)
               .parquet(src + "/*"))
     S.track_sessions(stream, table, f"sessions-{os.path.basename(d)}").awaitTermination(300)
-    got = {(x.session_id, x.application_id) for x in S.latest_version(spark, table).collect()}
-    exp = (a.groupBy("session_id").agg(F.max(F.struct("ts", "application_id")).alias("m"))
+    got = {(x.session_id, x.application_id) for x in S.latest_sessions(spark, table).collect()}
+    exp = (a.where("error IS NULL").groupBy("session_id").agg(F.max(F.struct("ts", "application_id")).alias("m"))
            .select("session_id", "m.application_id").collect())
     assert got == {(x[0], x[1]) for x in exp}
