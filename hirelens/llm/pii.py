@@ -8,7 +8,8 @@
    values each, so candidates are counted per distinct feature vector (a grid
    bounded by the features, not by the data) over *all* documents. Trees are
    fitted to that table; weak labels say whether a candidate holds a base span
-   of its kind. Trees become CASE expressions.
+   of its kind or a strong cue (``weak_cue``: a spelled-out at sign, an address of
+   colon groups, a number right after its cue word). Trees become CASE expressions.
 3. Calibrated thresholds. Per kind, the least score at which the held-out fold
    of vectors reaches ``PRECISION`` with a Wilson bound; without one, none.
    Selected wide spans are added unless they touch a base span or a better one.
@@ -131,6 +132,15 @@ def features() -> list[F.Column]:
         F.col("m").rlike(r"\p{L}").cast("int").alias("letters")]
 
 
+def weak_cue() -> F.Column:
+    """Format or context that speaks for a wide candidate on its own (columns kind, m, before)."""
+    n = F.length(_digits())
+    return F.when(F.col("kind") == 0, F.col("m").rlike(r"[\[(]at[\])]")) \
+        .when(F.col("kind") == 1, F.col("m").rlike("(?:[0-9A-Fa-f]{1,4}:){4,}")) \
+        .when(F.col("kind") == 2, F.col("before").rlike(r"(?i)(?:card|visa|credit)[^0-9\n]{0,12}$") & n.between(13, 19)) \
+        .otherwise(F.col("before").rlike(r"(?i)(?:tel|phone|call|fax|mobile?)[^0-9\n]{0,12}$") & n.between(7, 15))
+
+
 def labelled(found: DataFrame) -> DataFrame:
     """Wide candidates with their features, weak label, and whether they touch any base span.
 
@@ -146,7 +156,7 @@ def labelled(found: DataFrame) -> DataFrame:
     kind_down = Window.partitionBy("key", "kind").orderBy("start").rangeBetween(0, Window.unboundedFollowing)
     kind_up = Window.partitionBy("key", "kind").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     met = met.withColumn("_kend", F.max(base_end).over(kind_up)).withColumn("_kstart", F.min(base_start).over(kind_down))
-    y = (F.coalesce("_kend", F.lit(-1)) > F.col("start")) | (F.coalesce("_kstart", F.lit(1 << 62)) < F.col("end"))
+    y = (F.coalesce("_kend", F.lit(-1)) > F.col("start")) | (F.coalesce("_kstart", F.lit(1 << 62)) < F.col("end")) | weak_cue()
     return met.select("key", "m", "start", "end", "wide", *features(), touch.alias("touch"), y.cast("int").alias("y"),
                       (F.pmod(F.xxhash64("key"), F.lit(5)) == 0).alias("held"))
 
