@@ -169,8 +169,8 @@ def fit(x: np.ndarray, y: np.ndarray, depth: int = DEPTH, rounds: int = ROUNDS,
 # ------------------------------------------------------------ on Spark
 
 def fold() -> F.Column:
-    """crc32 of the id's decimal text, modulo 5."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    """crc32 of the id's decimal text (of the empty text without an id), modulo 5."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
 
 
 def _batch_statistics(col) -> np.ndarray:
