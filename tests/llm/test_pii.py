@@ -66,8 +66,12 @@ def test_base_spans_against_brute_force(spark):
 def test_wide_spans_are_added_where_the_corpus_supports_them(spark):
     rng = random.Random(2)
     texts = [f"please call {rng.randint(200, 999)} now: +1 (683) 555-{rng.randint(1000, 9999)} thanks" for _ in range(300)]
-    texts += ["call: 1 (683) 555-0199 thanks"] * 3
+    texts += [f"write to user{k} [at] mail{k % 7} [dot] com soon" for k in range(400)]
+    texts += ["version 1.2.3 of 2024, figures 12 34 and 100 200"] * 50
     got = pii.personal_data(rows_of(spark, texts)).collect()
+    assert sum(r.n_added for r in got if 300 <= r.doc_id < 700) == 400
+    assert all(r.spans == "" for r in got if r.doc_id >= 700)
+    assert all(r.spans.startswith("email:9:") for r in got if 300 <= r.doc_id < 700)
     assert all(r.n_phone == 1 for r in got if r.doc_id < 300)
     for r in got:       # added spans never touch a base span
         spans = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s]
