@@ -105,7 +105,6 @@ MONTH_PATTERN = (
 )
 
 # Substrings that mark a professional link.
-PROFILE_MARKERS = ["linkedin.com", "github.com", "portfolio", "http://", "https://", "www."]
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: scorecard check names and messages.
@@ -265,7 +264,6 @@ EVIDENCE_FIELDS = ["requirement", "status", "evidence", "recommendation"]
 EVIDENCE_STATUSES = ["matched", "partial", "missing"]
 ERR_EMPTY_ANSWER = "Gemini returned an empty response."
 ERR_LLM_PREFIX = "Gemini analysis failed: "
-ERR_NO_KEY = "GEMINI_API_KEY is not configured."
 
 # Display defaults for absent answer keys, and status icons.
 BULLET_DEFAULTS = {"original": "Not found", "improved": "Not generated",

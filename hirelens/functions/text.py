@@ -192,13 +192,11 @@ def has_profile_link(text: Column | str) -> Column:
     return col(text).rlike(r"(?iu)linkedin\.com|github\.com|portfolio|https?://|www\.")
 
 
-DATE = (f"(?iu){START}(?:{fixed.MONTH_PATTERN}){WS}+(?:19|20){D}{{2}}{END}"
-        f"|{START}(?:19|20){D}{{2}}{END}")
 YEAR = f"{START}(?:19|20){D}{{2}}{END}"
 
 
 def date_count(text: Column | str) -> Column:
-    """Number of non-overlapping ``DATE`` matches.
+    """Number of non-overlapping dates: a year, with a month name before it or without.
 
     Every match holds exactly one year token, and every year token (a
     4-digit 19xx/20xx run between non-word characters) lies in exactly one

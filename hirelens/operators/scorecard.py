@@ -13,7 +13,6 @@ from ..functions import fixed
 from ..functions.text import (date_count, has_email, has_phone, has_profile_link,
                               nonblank_stripped_lines, normalize_heading, unusual_ratio, word_count)
 
-CHECK_TYPE = "struct<name:string,points:int,maximum:int,passed:boolean,message:string>"
 
 
 def heading_lines(text: Column | str) -> Column:
@@ -150,11 +149,6 @@ def _sections_map(s: Column) -> Column:
     return F.create_map(*[x for n in fixed.SECTION_NAMES for x in (F.lit(n), s[n])])
 
 
-def sections_map(s: Column) -> Column:
-    """``map<string, boolean>`` in catalog order (the reference's dict)."""
-    return _sections_map(s)
-
-
 def section_lists(s: Column) -> tuple[Column, Column]:
     """Title-cased found and missing section names, catalog order."""
     names = F.array(*[F.lit(n) for n in fixed.SECTION_NAMES])
