@@ -4,13 +4,13 @@ Base rules look at one text: words, symbols, repeated lines and words in
 repeated 3-word windows. The cross-document rule hashes every normalised line
 (ASCII lower case, digits as 0, words joined by one space) and counts, per host
 (``source``), the distinct documents that hold it. A line of at least
-``MIN_LINE_WORDS`` words in more than ``max(MIN_DOCS, DOC_SHARE * documents of
-the host)`` of them is removed; a document that keeps less than ``MIN_KEPT`` of
-its words is depleted and rejected.
+``MIN_LINE_WORDS`` words in more than ``MIN_DOCS`` of them is removed, however
+large the host is; a document that keeps less than ``MIN_KEPT`` of its words is
+depleted and rejected.
 
-A host's documents are counted by partial aggregates. A frequent line meets its
-documents over a salted join (``SALTS`` copies of the few lines above the
-limits), so a line or host that holds a third of all rows is spread out.
+A line's documents are counted by partial aggregates. A frequent line meets its
+documents over a salted join (``SALTS`` copies of the lines above the limit), so
+a line or host that holds a third of all rows is spread out.
 
 Defined results: null text has no words and fails the base rule; a null source
 is a host of its own; documents are told apart by row key (id and text), so
@@ -29,7 +29,6 @@ from hirelens.llm.common import Rolling, doc_groups, hash_words, keep, mix, row_
 
 MIN_LINE_WORDS = 5
 MIN_DOCS = 20
-DOC_SHARE = 0.02
 MIN_KEPT = 0.5
 SALTS = 32
 
@@ -125,14 +124,12 @@ def _host() -> F.Column:
     return F.xxhash64("source", F.isnull("source")).alias("host")
 
 
-def _removed_lines(m: DataFrame, min_docs: int, doc_share: float) -> DataFrame:
-    """(key, hash, n): the lines above their host's limit, per document."""
+def _removed_lines(m: DataFrame, min_docs: int) -> DataFrame:
+    """(key, hash, n): the lines above the limit on their host, per document."""
     lines = m.select("key", _host(), F.explode("lines").alias("l")).select("key", "host", "l.hash", "l.n")
     # a document lists a line once; repeated rows meet here
     once = lines.groupBy("host", "hash", "key").agg(F.max("n").alias("n"))
-    hosts = m.select("key", _host()).distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    common = once.groupBy("host", "hash").agg(F.count("*").alias("held")).where(F.col("held") > min_docs).join(
-        hosts, "host").where(F.col("held") > F.lit(doc_share) * F.col("docs"))
+    common = once.groupBy("host", "hash").agg(F.count("*").alias("held")).where(F.col("held") > min_docs)
     salted = keep(common.select("host", "hash"), "common").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return lines.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(
@@ -140,10 +137,10 @@ def _removed_lines(m: DataFrame, min_docs: int, doc_share: float) -> DataFrame:
 
 
 def verdicts(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_docs: int = MIN_DOCS,
-             doc_share: float = DOC_SHARE, min_kept: float = MIN_KEPT) -> DataFrame:
+             min_kept: float = MIN_KEPT) -> DataFrame:
     """Per document: base counts, base_failed, n_line_words_removed, kept."""
     m = keep(measure(docs, min_line_words), "lines")
-    removed = _removed_lines(m, min_docs, doc_share).groupBy("key").agg(
+    removed = _removed_lines(m, min_docs).groupBy("key").agg(
         F.sum("n").alias("gone")).withColumnRenamed("key", "rkey")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
@@ -153,10 +150,9 @@ def verdicts(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_docs: in
         (~failed & (left >= F.lit(min_kept) * F.col("n_words"))).alias("kept"))
 
 
-def cleaned(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_docs: int = MIN_DOCS,
-            doc_share: float = DOC_SHARE) -> DataFrame:
-    """``docs`` with the lines above their host's limit cut from the text (all rows and columns)."""
-    removed = _removed_lines(keep(measure(docs, min_line_words), "lines"), min_docs, doc_share).groupBy("key").agg(
+def cleaned(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` with the lines above the limit on their host cut from the text (all rows and columns)."""
+    removed = _removed_lines(keep(measure(docs, min_line_words), "lines"), min_docs).groupBy("key").agg(
         F.collect_list("hash").alias("__cut")).withColumnRenamed("key", "__key")
     fields = docs.columns
     met = docs.withColumn("__own", row_key()).join(removed, F.col("__own") == F.col("__key"), "left").select(*fields, "__cut")

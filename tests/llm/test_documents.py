@@ -63,6 +63,38 @@ def test_frequent_lines_deplete_documents(spark):
     assert lines.verdicts(docs.limit(0)).count() == 0
 
 
+def line_verdicts(rows, least_words):
+    """(words removed, kept) of each row, from the production limits."""
+    def norm(line):
+        return " ".join(WORDS.findall(re.sub("[0-9]", "0", line.lower())))
+
+    held = defaultdict(set)
+    for d, t, s in rows:
+        for line in (t or "").split("\n"):
+            held[s, norm(line)].add((d, t))
+    out = {}
+    for d, t, s in rows:
+        w = WORDS.findall(t or "")
+        grams = Counter(tuple(w[k: k + 3]) for k in range(len(w) - 2))
+        repeat = {p for k in range(len(w) - 2) if grams[tuple(w[k: k + 3])] > 1 for p in (k, k + 1, k + 2)}
+        own = [(norm(line), len(WORDS.findall(line))) for line in (t or "").split("\n")]
+        gone = sum(n for line, n in own if n >= least_words and len(held[s, line]) > 20)
+        out[d, s] = gone, len(w) >= 50 and 100 * len(repeat) <= 50 * len(w) and 2 * (len(w) - gone) >= len(w)
+    return out
+
+
+def test_the_limit_does_not_grow_with_the_host(spark):
+    banner = " ".join(f"u{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = []
+    for i in range(1200):       # one line in 22 documents of 1,200, one in exactly the limit
+        own = " ".join(f"w{k}x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for k in range(55))
+        rows.append((i, f"{banner}\n{own}" if i < 22 else f"{own}\nheld by twenty {banner}" if i < 42 else own, "large"))
+    rows += [(2000 + i, f"{banner}\nw{i}", None) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.doc_id, r.source): (r.n_line_words_removed, r.kept) for r in lines.verdicts(docs).collect()}
+    assert got == line_verdicts(rows, lines.MIN_LINE_WORDS) and sum(not kept for _, kept in got.values()) == 22
+
+
 # ------------------------------------------------------------ quality classifier
 
 def test_classifier_on_held_out_labels(spark):
