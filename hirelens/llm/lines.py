@@ -3,8 +3,8 @@
 Base rules look at one text: words, symbols, repeated lines and words in
 repeated 3-word windows. The cross-document rule hashes every normalised line
 (ASCII lower case, digits as 0, words joined by one space) and counts, per host
-(``source``), the distinct documents that hold it. A line of at least
-``MIN_LINE_WORDS`` words in more than ``MIN_DOCS`` of them is removed, however
+(``source``), the distinct documents that hold it. Any line with a word counts
+(``MIN_LINE_WORDS``); one in more than ``MIN_DOCS`` documents is removed, however
 large the host is; a document that keeps less than ``MIN_KEPT`` of its words is
 depleted and rejected.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from hirelens.llm.common import Rolling, doc_groups, hash_words, keep, mix, row_key, text_bytes, word_bounds
 
-MIN_LINE_WORDS = 5
+MIN_LINE_WORDS = 1
 MIN_DOCS = 20
 MIN_KEPT = 0.5
 SALTS = 32

@@ -95,6 +95,20 @@ def test_the_limit_does_not_grow_with_the_host(spark):
     assert got == line_verdicts(rows, lines.MIN_LINE_WORDS) and sum(not kept for _, kept in got.values()) == 22
 
 
+def test_short_lines_are_counted_and_removed(spark):
+    menu = [f"{a} {b}" for a in ("Read", "Log", "Sign", "Go") for b in ("more", "in", "out", "up", "on", "by", "to", "off")]
+    rows = [(i, "\n".join(menu), "a") for i in range(21)]                          # nothing but shared lines: 64 words
+    rows += [(100 + i, "Read MORE\n" + " ".join(f"w{k}x{chr(97 + i)}" for k in range(60)) + "\n\nOk", "a") for i in range(20)]
+    rows += [(200 + i, "\n".join(menu), "b") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.doc_id, r.source): (r.n_line_words_removed, r.kept) for r in lines.verdicts(docs).collect()}
+    assert got == line_verdicts(rows, 1)
+    assert all(got[i, "a"] == (64, False) for i in range(21)) and all(got[100 + i, "a"] == (2, True) for i in range(20))
+    assert all(got[200 + i, "b"] == (0, True) for i in range(20))
+    cut = {r.doc_id: r.text for r in lines.cleaned(docs).collect()}
+    assert cut[0] == "" and cut[100].startswith("w0xa ") and cut[100].endswith("\n\nOk") and cut[200] == rows[41][1]
+
+
 # ------------------------------------------------------------ quality classifier
 
 def test_classifier_on_held_out_labels(spark):
