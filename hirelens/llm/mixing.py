@@ -47,6 +47,7 @@ CHUNK = 1 << 16                 # bytes per vectorised step: keeps its arrays in
 LOOKBACK = 1 << 12              # bytes that a part of a long text sees before its own
 COMMON = 1 << 18
 BLOCK = 1 << 17                 # cells of a table block
+MOST = 1 << 29                  # decisions after which a task gives out its cells
 ORDERS = ("o2", "o3", "o4", "word")
 BITS = {"o2": 19, "o3": 21, "o4": 22, "word": 22}
 SCALE = 14.0                    # steps of a stored log odds per unit
@@ -192,13 +193,18 @@ class Counts:
     """Hashed tables of (zeros, ones) per predictor.
 
     (context, byte) pairs are collected and sorted; each distinct pair then adds its number of
-    occurrences along the byte's path."""
+    occurrences along the byte's path. A task's cells have 32 bits: past ``MOST`` decisions it is
+    to give out its ``blocks`` (``full``) and goes on with empty cells; sums of blocks have 64."""
 
     def __init__(self, code: Code):
         self.code = code
         self.cells = [np.zeros(2 << BITS[o], np.int32) for o in ORDERS]
         self.waiting: list[list[np.ndarray]] = [[] for _ in ORDERS]
         self.n = 0
+        self.held = 0               # decisions in the cells: none can hold more
+
+    def full(self) -> bool:
+        return self.held > MOST
 
     def add(self, text: np.ndarray, offs: np.ndarray, skip: int = 0) -> None:
         for w, c in zip(self.waiting, _contexts(text, offs)):
@@ -214,6 +220,8 @@ class Counts:
                 continue
             pair = np.sort(np.concatenate(w))
             w.clear()
+            if cells is self.cells[0]:
+                self.held += int(np.bincount(pair & np.uint32(255), minlength=256) @ code.size)
             new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
             times = np.diff(np.append(new, len(pair))).astype(np.int32)
             pair = pair[new]
@@ -227,26 +235,28 @@ class Counts:
         self.n = 0
 
     def blocks(self):
-        """(predictor, block, packed cells) of the blocks that hold anything."""
+        """(predictor, block, packed cells) of the blocks that hold anything; the cells are empty then."""
         self.flush()
         for o, cells in enumerate(self.cells):
             for k, part in enumerate(np.split(cells, range(BLOCK, len(cells), BLOCK))):
                 if part.any():
                     yield o, k, _pack(part)
+            cells.fill(0)
+        self.held = 0
 
 
 def _pack(cells: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(cells.astype(np.int32).view(np.uint8).reshape(-1, 4).T))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(cells.astype(np.int64).view(np.uint8).reshape(-1, 8).T))
 
 
 def _unblock(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
 
 def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """A cell as stored: its log odds (zero where nothing was seen) times LEVELS, plus how often it was seen."""
-    n = zeros + ones
+    n = zeros.astype(np.int64) + ones
     odds = np.clip(np.rint(np.log((ones + 0.02) / (zeros + 0.02)) * n / (n + 0.15) * SCALE), -127, 127)
     return (odds * LEVELS + np.searchsorted([1, 2, 4, 8, 16, 64, 512], n, "right")).astype(np.int16)
 
@@ -356,6 +366,9 @@ def gather_contexts(docs: DataFrame, code: Code) -> DataFrame:
             for _, text, at, _, _ in texts_of(*text_bytes(batch.column(0))):
                 for part in parts_of(text, at):
                     counts.add(*part)
+                    if counts.full():
+                        for block in counts.blocks():
+                            yield _block_row(*block)
         for block in counts.blocks():
             yield _block_row(*block)
 
@@ -371,6 +384,9 @@ def learn_mixer(docs: DataFrame, code: Code, tables) -> DataFrame:
             for _, text, at, _, _ in texts_of(*text_bytes(batch.column(0))):
                 for part, offs, skip in parts_of(text, at):
                     counts.add(part, offs, skip)
+                    if counts.full():
+                        for block in counts.blocks():
+                            yield _block_row(*block)
                     d = Decisions(part, offs, code, skip)
                     mixer.learn(model, d)
                     seen += len(d.bit)

@@ -264,6 +264,42 @@ def test_long_text_in_parts_costs_the_same():
         assert (np.concatenate([p.slots[i] for p in parts]) == whole.slots[i]).all()
 
 
+def test_counts_beyond_32_bits(spark):
+    cells = np.zeros(mixing.BLOCK, np.int64)
+    cells[:8] = 2_000_000_000, 1_900_000_000, 3, 0, 0, 2_147_483_647, 0, 0
+    rows = [(o, 0, mixing._pack(cells * (o >= 0) + 7 * (o < 0)), 0.0, 0.0) for o in (0, 0, 3, -1)]
+    total = mixing.add_blocks(spark.createDataFrame(rows, mixing._ROWS))
+    sums = {r.o: mixing._unblock(bytes(r.cells)) for r in total.collect()}
+    assert sums[0][:8].tolist() == [4_000_000_000, 3_800_000_000, 6, 0, 0, 4_294_967_294, 0, 0]
+    assert (sums[3] == cells).all() and (sums[-1] == 7).all()
+    tables = mixing.tables_of(total)
+    for t, times in ((tables[0], 2), (tables[3], 1)):
+        level, odds = t & (mixing.LEVELS - 1), t >> 3
+        assert level[:4].tolist() == [7, 3 if times == 2 else 2, 7, 0]
+        assert odds[0] == round(np.log(1.9 / 2) * mixing.SCALE) and odds[1] < 0 < odds[2] == 127
+    small = mixing.log_odds(cells[0::2].astype(np.int32), cells[1::2].astype(np.int32))
+    assert (small == tables[3][: len(small)]).all()
+
+
+def test_a_task_gives_out_full_cells(spark, monkeypatch):
+    text = np.frombuffer(b"the cat sat on the mat. the dog sat.\n" * 400, np.uint8)
+    code = mixing.Code.of(np.bincount(text, minlength=256))
+    monkeypatch.setattr(mixing, "MOST", 20_000)
+    parts, got, rounds = mixing.Counts(code), defaultdict(int), 0
+    for a in range(0, len(text), 37):       # a line is a text of its own
+        parts.add(text[a: a + 37], np.array([0, 37]))
+        parts.flush()
+        if parts.full() or a + 37 == len(text):
+            rounds += 1
+            for o, k, c in parts.blocks():
+                got[o, k] = got[o, k] + mixing._unblock(c)
+    whole = mixing.Counts(code)
+    whole.add(text, np.arange(0, len(text) + 1, 37))
+    want = {(o, k): mixing._unblock(c) for o, k, c in whole.blocks()}
+    assert not whole.held and not any(c.any() for c in whole.cells)
+    assert rounds > 2 and set(got) == set(want) and all((got[x] == want[x]).all() for x in want)
+
+
 # ------------------------------------------------------------ pipeline
 
 def test_pipeline_against_its_operators(spark):
