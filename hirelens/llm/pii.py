@@ -12,7 +12,8 @@
    colon groups, a number right after its cue word). Trees become CASE expressions.
 3. Calibrated thresholds. Per kind, the least score at which the held-out fold
    of vectors reaches ``PRECISION`` with a Wilson bound; without one, none.
-   Selected wide spans are added unless they touch a base span or a better one.
+   Selected wide spans are added where they reach beyond the base spans (which stay)
+   and overlap no better added one.
 
 The patterns are written without backtracking loops (possessive repeats, a
 look-behind for the start of a run), which leaves their leftmost matches as they
@@ -142,22 +143,24 @@ def weak_cue() -> F.Column:
 
 
 def labelled(found: DataFrame) -> DataFrame:
-    """Wide candidates with their features, weak label, and whether they touch any base span.
+    """Wide candidates with their features, weak label, and whether base spans cover them wholly.
 
-    Base and wide spans of a text meet by sorting: a base span touches a later start if the
-    furthest base end so far lies beyond it, or an earlier one likewise from behind."""
+    Base and wide spans of a text meet by sorting: base spans that overlap or adjoin form runs,
+    and a candidate is covered if the run begun last before it ends no earlier."""
     own = found.withColumn("ok", F.when(F.col("wide"), F.lit(None)).otherwise(valid_base())).where("wide OR ok")
-    up = Window.partitionBy("key").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("key").orderBy("start").rangeBetween(0, Window.unboundedFollowing)
+    order = Window.partitionBy("key").orderBy("start", "wide", "end", "kind")
     base_end, base_start = F.when(~F.col("wide"), F.col("end")), F.when(~F.col("wide"), F.col("start"))
-    met = own.withColumn("_end", F.max(base_end).over(up)).withColumn("_start", F.min(base_start).over(down))
-    touch = (F.coalesce("_end", F.lit(-1)) > F.col("start")) | (F.coalesce("_start", F.lit(1 << 62)) < F.col("end"))
+    far = F.coalesce(F.max(base_end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    met = own.withColumn("_new", (~F.col("wide") & (far < F.col("start"))).cast("int")) \
+        .withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))) \
+        .withColumn("_end", F.max(base_end).over(Window.partitionBy("key", "_run")))
+    covered = F.coalesce("_end", F.lit(-1)) >= F.col("end")
     # the label asks for a base span of the same kind inside the candidate
     kind_down = Window.partitionBy("key", "kind").orderBy("start").rangeBetween(0, Window.unboundedFollowing)
     kind_up = Window.partitionBy("key", "kind").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     met = met.withColumn("_kend", F.max(base_end).over(kind_up)).withColumn("_kstart", F.min(base_start).over(kind_down))
     y = (F.coalesce("_kend", F.lit(-1)) > F.col("start")) | (F.coalesce("_kstart", F.lit(1 << 62)) < F.col("end")) | weak_cue()
-    return met.select("key", "m", "start", "end", "wide", *features(), touch.alias("touch"), y.cast("int").alias("y"),
+    return met.select("key", "m", "start", "end", "wide", *features(), covered.alias("covered"), y.cast("int").alias("y"),
                       (F.pmod(F.xxhash64("key"), F.lit(5)) == 0).alias("held"))
 
 
@@ -219,14 +222,18 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     limit = F.lit(2.0)
     for kind, cut in limits.items():
         limit = F.when(F.col("kind") == kind, F.lit(cut)).otherwise(limit)
-    taken = wide.where("NOT touch").withColumn("score", sql_score(model)).where(F.col("score") >= limit - F.lit(1e-9))
-    # of added spans that overlap each other (one island) the best stays
+    taken = wide.where("NOT covered").withColumn("score", sql_score(model)).where(F.col("score") >= limit - F.lit(1e-9))
+    # added spans that overlap, one after the other, form an island; from the best on, each stays that overlaps none that stays
     so_far = Window.partitionBy("key").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     island = taken.withColumn("_new", (F.coalesce(F.max("end").over(so_far), F.lit(-1)) <= F.col("start")).cast("int")) \
         .withColumn("_island", F.sum("_new").over(Window.partitionBy("key").orderBy("start", "end", "kind")))
-    best = island.groupBy("key", "_island").agg(F.max(F.struct(
+    ranked = F.sort_array(F.collect_list(F.struct(
         "score", (F.col("end") - F.col("start")).alias("size"), (-F.col("start")).alias("first"), (-F.col("kind")).alias("k"),
-        F.struct("kind", "start", "end").alias("s"))).alias("b")).select("key", "b.s.*", F.lit(False).alias("base"))
+        F.struct("kind", "start", "end").alias("s"))), asc=False)
+    best = island.groupBy("key", "_island").agg(ranked.alias("r")).select("key", F.explode(F.expr(
+        "aggregate(r, cast(array() AS array<struct<kind:int,start:bigint,end:bigint>>), (got, x) -> "
+        "CASE WHEN exists(got, y -> y.start < x.s.end AND y.end > x.s.start) THEN got ELSE concat(got, array(x.s)) END)")).alias("s")) \
+        .select("key", "s.*", F.lit(False).alias("base"))
     return scanned, base.unionByName(best.select("key", "kind", F.col("start"), F.col("end"), "base"))
 
 

@@ -79,6 +79,31 @@ def test_wide_spans_are_added_where_the_corpus_supports_them(spark):
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_wide_spans_reach_beyond_base_spans(spark):
+    texts = [f"ask m\u00fcller{k}@firma{k % 5}.de now" for k in range(300)] + [f"ask a{k}@mail.example [dot] com now" for k in range(300)]
+    texts += [f"ask b{k}@mail{k % 7}.com now" for k in range(300)]
+    docs = rows_of(spark, texts)
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    for i, t in enumerate(texts):
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in base(t))
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[i].n_email == 1
+        assert got[i].n_added == (i < 600) and (i < 600 or got[i].spans == want)
+        assert i >= 600 or f"email:4:{len(t) - 4}" in got[i].spans.split(",")
+    assert {r.text for r in pii.redact(docs).collect()} == {"ask <EMAIL> now"}
+
+
+def test_only_spans_that_overlap_a_better_one_give_way(spark, monkeypatch):
+    # kinds 0..3 overlap in a chain: 0-10, 8-20, 18-30, 28-40 and one alone at 50
+    rows = [(1, 0, 0, 10, 0.95), (1, 1, 8, 20, 0.99), (1, 2, 18, 30, 0.96), (1, 3, 28, 40, 0.94), (1, 0, 50, 60, 0.93)]
+    wide = spark.createDataFrame([(k, "x", a, b, True, kind, s, False) for k, kind, a, b, s in rows],
+                                 "key long, m string, start long, end long, wide boolean, kind int, s double, covered boolean")
+    monkeypatch.setattr(pii, "labelled", lambda found: wide)
+    monkeypatch.setattr(pii, "train", lambda found: (None, {k: 0.9 for k in range(4)}))
+    monkeypatch.setattr(pii, "sql_score", lambda model: pii.F.col("s"))
+    _, chosen = pii.spans(rows_of(spark, [""]))
+    assert sorted((r.start, r.end, r.kind) for r in chosen.collect()) == [(8, 20, 1), (28, 40, 3), (50, 60, 0)]
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     texts = ["mail a@b.co or call +1 683 555 0123!", "clean", None, "", "mail a@b.co or call +1 683 555 0123!", "4111 1111 1111 1111"]
     docs = rows_of(spark, texts)
