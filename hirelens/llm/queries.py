@@ -6,10 +6,12 @@ derives the contract's digest columns from the operator's output.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelens.llm import chat, counts, decontaminate, lines, mixing, pieces, pii, quality, simhash, substring
+from hirelens.llm import chat, counts, decontaminate, lines, mixing, pieces, pii, quality, runs, simhash, substring
 
 # The tokenizer files are found by the public package's path(); they are parameters of the operators.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -80,9 +82,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _periodic_tail(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """The contract's planted period: (first word, period) for a tenth of the ids. No id: no tail."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    return a, 1 + (n - a) // (3 + g % 8)
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(_table(spark, sf_dir, "documents"), rewrite=_periodic_tail)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_context_mixing, op2_pii, op3_sentencepiece, op4_quality, op5_token_counts, op6_line_rules, op7_decontamination,
-    op8_chat, op9_substring_dedup, op10_simhash)}
+    op8_chat, op9_substring_dedup, op10_simhash, op12_runs)}
 
 # The digest is of the words that no repeated 35-word window covers.
 ORACLE_SQL = {
