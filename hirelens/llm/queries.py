@@ -11,7 +11,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelens.llm import chat, counts, decontaminate, lines, mixing, pieces, pii, quality, runs, simhash, substring
+from hirelens.llm import chat, counts, decontaminate, lines, mixing, pieces, pii, quality, runs, simhash, sketch, substring
 
 # The tokenizer files are found by the public package's path(); they are parameters of the operators.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -82,6 +82,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.edited_and_next(_table(spark, sf_dir, "documents"))
+
+
 def _periodic_tail(doc_id: int | None, n: int) -> tuple[int, int] | None:
     """The contract's planted period: (first word, period) for a tenth of the ids. No id: no tail."""
     h = zlib.crc32(str(doc_id).encode())
@@ -98,7 +102,7 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_context_mixing, op2_pii, op3_sentencepiece, op4_quality, op5_token_counts, op6_line_rules, op7_decontamination,
-    op8_chat, op9_substring_dedup, op10_simhash, op12_runs)}
+    op8_chat, op9_substring_dedup, op10_simhash, op11_sketch, op12_runs)}
 
 # The digest is of the words that no repeated 35-word window covers.
 ORACLE_SQL = {
