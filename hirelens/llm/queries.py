@@ -11,7 +11,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelens.llm import chat, counts, decontaminate, lines, mixing, pieces, pii, quality, runs, simhash, sketch, substring
+from hirelens.llm import align, chat, counts, decontaminate, lines, mixing, pieces, pii, quality, runs, simhash, sketch, substring
 
 # The tokenizer files are found by the public package's path(); they are parameters of the operators.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -100,9 +100,14 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(_table(spark, sf_dir, "documents"), rewrite=_periodic_tail)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(_table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE), _split_pattern(), tokenizer(PIECES))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_context_mixing, op2_pii, op3_sentencepiece, op4_quality, op5_token_counts, op6_line_rules, op7_decontamination,
-    op8_chat, op9_substring_dedup, op10_simhash, op11_sketch, op12_runs)}
+    op8_chat, op9_substring_dedup, op10_simhash, op11_sketch, op12_runs,
+    op13_alignment)}
 
 # The digest is of the words that no repeated 35-word window covers.
 ORACLE_SQL = {
