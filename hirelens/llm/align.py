@@ -10,13 +10,17 @@ outwards, until a shared one is found; both halves are treated alike. An interva
 a shared end inside is a *group*: the smallest aligned unit. All intervals of a
 batch of texts take their steps together, so a level is a few array operations.
 
+No token of either kind holds a space behind another character, so a single space between
+two other characters always starts a new token of both. Texts are cut there into *units*
+(words, mostly); a unit is encoded, aligned and its pairs are counted once per worker,
+and kept in a cache of bounded size. A text's result is put together from its units.
+
 Links are all A-B pairs of token occurrences in one group; they are counted per distinct
-group and pair of ids, never listed. Over the corpus each id pair has the number
+unit and pair of ids, never listed. Over the corpus each id pair has the number
 of documents that link it:
 
-1. ``tokens``: every text's tokens, kept as a table (packed), each row with an id.
-2. ``pair_documents``: distinct pairs of each document, summed per task, then by Spark.
-3. ``with_links``: each document's links get their pairs' counts. The most common pairs (at
+1. ``pair_documents``: distinct pairs of each document, summed per task, then by Spark.
+2. ``aligned``: each document's links get their pairs' counts. The most common pairs (at
    most ``COMMON``, by a histogram of counts) and the highest count of each A id (at most
    the vocabulary) are sent to the tasks; all rarer pairs are joined, so that no
    join key has more rows than the threshold and no task holds the whole table.
@@ -30,19 +34,22 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import Rolling, as_long, doc_groups, keep, mix, ragged, text_bytes
+from hirelens.llm.common import doc_groups, keep, ragged, text_bytes
 
-COMMON = 1 << 20                # pairs sent to every task at most (12 bytes each)
+COMMON = 1 << 20                # pairs sent to every task at most (16 bytes each)
+UNITS = 600_000                 # units that a worker's cache holds at most, and
+UNIT_PAIRS = 6_000_000          # their distinct pairs (a unit beyond both stands alone in it)
 _HELD = 1 << 22                 # pairs a task sums up before it hands them on
-_BLOCK = 1 << 22                # pairs of groups worked on at once
+_GROUP = 4 << 20                # bytes of texts worked on at once
 
 
 # ------------------------------------------------------------ tokenizers
@@ -106,24 +113,22 @@ class Pieces:
             bytes([int(self.model.id_to_piece(i)[1:-1], 16)]) if self.model.is_byte(i)
             else self.model.id_to_piece(i).replace("▁", " ").encode() for i in range(n)])
 
+        # a space (as U+2581) behind another character would let tokens cross the cuts between units
+        self.cuts = not any(re.search("[^▁]▁", self.model.id_to_piece(i)) for i in range(n) if not self.model.is_control(i))
+
     def ids(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
 
-_loaded: dict[tuple, tuple[ByteBPE, Pieces]] = {}
-
-
-def loaded(a_path: str, pattern: str, b_path: str) -> tuple[ByteBPE, Pieces]:
-    """The worker's tokenizers."""
-    if (a_path, pattern, b_path) not in _loaded:
-        _loaded[a_path, pattern, b_path] = ByteBPE(a_path, pattern), Pieces(b_path)
-    return _loaded[a_path, pattern, b_path]
+def _offsets(lists: list[list]) -> np.ndarray:
+    offs = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum([len(x) for x in lists], out=offs[1:])
+    return offs
 
 
 def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    offs = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum([len(x) for x in lists], out=offs[1:])
-    return np.array([i for x in lists for i in x], np.int64), offs
+    offs = _offsets(lists)
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(offs[-1])), offs
 
 
 def _same_bytes(entries: Entries, ids: np.ndarray, offs: np.ndarray, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -138,19 +143,41 @@ def _same_bytes(entries: Entries, ids: np.ndarray, offs: np.ndarray, data: np.nd
     return fits
 
 
-def encode_both(a: ByteBPE, b: Pieces, texts: list[str]):
-    """(ids, offsets) under A and B; a text whose bytes do not come back has no tokens."""
-    raw = [b" " + t.encode() if t else b"" for t in texts]
+def _cut_at(entries: Entries, ids: np.ndarray, begin: np.ndarray) -> np.ndarray | None:
+    """First tokens of the parts that start at the given bytes, if tokens end there and sizes agree."""
+    ends = np.append(0, np.cumsum(entries.size[ids]))
+    at = np.searchsorted(ends, begin)
+    return at if ends[-1] == begin[-1] and np.array_equal(ends[at], begin) else None
+
+
+def encode_both(a: ByteBPE, b: Pieces, units: list[str], texts: list[str]):
+    """(ids, offsets) under A and B, and whether the bytes come back (what does not has no tokens).
+
+    ``units`` have no blank at either end: joined by spaces they are encoded in one call, in
+    which tokens end where units do. ``texts`` are encoded one by one."""
+    raw = [b" " + t.encode() if t else b"" for t in chain(units, texts)]
     begin = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) for r in raw], out=begin[1:])
     data = np.frombuffer(b"".join(raw), np.uint8)
-    sides = [_joined([x if t else [] for x, t in zip(k.ids(texts), texts)]) for k in (a, b)]
+    sides = []
+    for k in (a, b):
+        blocks = []
+        for x in range(0, len(units), 4096):
+            own = units[x: x + 4096]
+            ids = np.array(k.ids([" ".join(own)])[0], np.int64)
+            at = _cut_at(k.entries, ids, begin[x: x + len(own) + 1] - begin[x])
+            blocks.append((ids, at) if at is not None else _joined(k.ids(own)))     # some unit's bytes do not come back
+        if texts:
+            blocks.append(_joined([y if t else [] for y, t in zip(k.ids(texts), texts)]))
+        ids = np.concatenate([i for i, _ in blocks]) if blocks else np.zeros(0, np.int64)
+        offs = np.concatenate([[0], *[np.diff(o) for _, o in blocks]]).cumsum().astype(np.int64)
+        sides.append((ids, offs))
     fits = np.logical_and(*(_same_bytes(k.entries, *side, data, begin) for k, side in zip((a, b), sides)))
     out = []
     for ids, offs in sides:
         own = np.repeat(fits, np.diff(offs))
         out += [ids[own], np.concatenate([[0], np.cumsum(np.where(fits, np.diff(offs), 0))])]
-    return out
+    return *out, fits
 
 
 # ------------------------------------------------------------ divide and conquer
@@ -256,159 +283,232 @@ def _counted(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray):
     return key >> 32, key & 0xFFFFFFFF, number
 
 
-def distinct_groups(a_ids, b_ids, groups) -> tuple[np.ndarray, np.ndarray]:
-    """(one group of each kind, the kind of every group)."""
-    a_lo, a_hi, b_lo, b_hi = groups
-    one = Rolling(mix(a_ids.astype(np.uint64) + np.uint64(1))).run(a_lo, a_hi)
-    two = Rolling(mix(b_ids.astype(np.uint64) + np.uint64(1 << 40))).run(b_lo, b_hi)
-    _, kinds, own = np.unique(mix(one * np.uint64(3) + two), return_index=True, return_inverse=True)
-    return kinds, own
-
-
 def pairs_of(a_ids, b_ids, groups, n_b: int):
-    """Blocks of (group, pair, links): the distinct id pairs of each group, a * n_b + b."""
+    """(group, pair, links): the distinct id pairs of each group, a * n_b + b."""
     a_lo, a_hi, b_lo, b_hi = groups
     ga, ia, ma = _counted(a_ids, a_lo, a_hi)
     gb, ib, mb = _counted(b_ids, b_lo, b_hi)
     first_b = np.searchsorted(gb, np.arange(groups.shape[1] + 1))
     many = np.diff(first_b)[ga]                         # partners of each distinct A id
-    total = np.cumsum(many)
-    x = 0
-    while x < len(ga):                                  # blocks of bounded size (one A id's partners at least)
-        y = max(x + 1, int(np.searchsorted(total, (total[x - 1] if x else 0) + _BLOCK, "right")))
-        left = np.repeat(np.arange(x, y), many[x:y])
-        right = ragged(first_b[ga[x:y]], many[x:y])
-        yield ga[left], ia[left] * n_b + ib[right], ma[left] * mb[right]
-        x = y
+    left = np.repeat(np.arange(len(ga)), many)
+    right = ragged(first_b[ga], many)
+    return ga[left], ia[left] * n_b + ib[right], ma[left] * mb[right]
 
 
-# ------------------------------------------------------------ tables
-
-_TOKENS = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a binary, b binary")
-
-
-def _packer(n: int):
-    kind = np.uint16 if n <= 1 << 16 else np.uint32
-    pack = zstandard.ZstdCompressor(level=3)
-    return lambda ids, offs: [pack.compress(ids.astype(kind)[x:y].tobytes()) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())]
+def _summed(keys: np.ndarray, values: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with their summed values; without values the keys are sorted and counted."""
+    if values is not None:
+        by = np.argsort(keys, kind="stable")
+        keys, values = keys[by], values[by]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[new], np.diff(np.append(new, len(keys))) if values is None else np.add.reduceat(values, new)
+
+
+# ------------------------------------------------------------ units
+
+class _Column:
+    """A numpy column that grows at its end."""
+
+    def __init__(self, kind=np.int64):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.empty(max(self.n, len(values)) + 1024, self.held.dtype)])
+        self.held[self.n: self.n + len(values)] = values
+        self.n += len(values)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+class Units:
+    """The worker's tokenizers and what it knows of the units it has met."""
+
+    def __init__(self, a_path: str, pattern: str, b_path: str):
+        self.a, self.b = ByteBPE(a_path, pattern), Pieces(b_path)
+        self.n_b = len(self.b.entries)
+        self.span = len(self.a.entries) * self.n_b
+        self.n_ids = max(len(self.a.entries), self.n_b)
+        self.counts = None                              # (pairs, counts, highest by A id), once known; groups are shown then
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.shown: list[bytes] = []
+        self.n_a, self.n_b_, self.n_groups, self.n_links = (_Column() for _ in range(4))
+        self.fits = _Column(bool)
+        self.first_pair, self.pair, self.links = _Column(), _Column(), _Column()
+        self.first_pair.add(np.zeros(1, np.int64))
+        self.n_best, self.count_sum, self.rare = _Column(), _Column(), _Column(bool)
+
+    def know(self, pairs: np.ndarray, counts: np.ndarray, best: np.ndarray) -> None:
+        """From now on units are learnt with the counts of their pairs."""
+        if self.counts is None or self.counts[0] is not pairs:
+            self.counts = pairs, counts, best
+            self.clear()
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(unit numbers, offsets) of texts; an empty text has no units."""
+        if len(self.number) > UNITS or self.pair.n > UNIT_PAIRS:
+            self.clear()
+        if not self.b.cuts:
+            split = [[" " + t] if t else [] for t in texts]
+            return self._numbers(list(chain.from_iterable(split))), _offsets(split)
+        split = [t.split(" ") if t else [] for t in texts]
+        flat, offs = list(chain.from_iterable(split)), _offsets(split)
+        number = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(number < 0)
+        # a blank beside a cut is no cut, as the space may belong to it; such units are never known
+        odd = [i for i in missing.tolist() if not flat[i] or flat[i][0].isspace() or flat[i][-1].isspace()]
+        again = np.unique(np.searchsorted(offs, odd, "right") - 1).tolist()
+        parts, at = [], 0
+        for k in [*again, len(texts)]:                  # the texts between those to be cut anew stay
+            s, e = offs[at], offs[k]
+            here = missing[np.searchsorted(missing, s): np.searchsorted(missing, e)]
+            number[here] = self._numbers([flat[i] for i in here.tolist()])
+            parts.append(number[s:e])
+            if k < len(texts):
+                split[k] = [" " + u for u in _CUT.split(texts[k])]      # no plain unit starts like this
+                parts.append(self._numbers(split[k]))
+            at = k + 1
+        return np.concatenate(parts), _offsets(split) if again else offs
+
+    def _numbers(self, units: list[str]) -> np.ndarray:
+        known = self.number
+        new = {u for u in units if u not in known}
+        if new:
+            plain, odd = [u for u in new if u[0] != " "], [u for u in new if u[0] == " "]
+            self._learn(plain, odd)
+            known.update(zip(plain + odd, range(len(known), len(known) + len(new))))
+        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+
+    def _learn(self, plain: list[str], odd: list[str]) -> None:
+        """``odd`` ones stand after a space that is no part of them."""
+        units = plain + odd
+        a_ids, a_offs, b_ids, b_offs, fits = encode_both(self.a, self.b, plain, [u[1:] for u in odd])
+        groups, first = align(self.a, self.b, a_ids, a_offs, b_ids, b_offs)
+        if self.counts is not None:
+            self.shown += group_strings(self.n_ids, a_ids, b_ids, groups, first)
+        links = np.append(0, np.cumsum((groups[1] - groups[0]) * (groups[3] - groups[2])))
+        for column, values in ((self.n_a, np.diff(a_offs)), (self.n_b_, np.diff(b_offs)), (self.n_groups, np.diff(first)),
+                               (self.n_links, np.diff(links[first])), (self.fits, fits)):
+            column.add(values)
+        group, pair, times = pairs_of(a_ids, b_ids, groups, self.n_b)
+        unit = (np.searchsorted(first, group, "right") - 1)
+        by = np.lexsort((pair, unit))
+        unit, pair, times = unit[by], pair[by], times[by]
+        new = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (pair[1:] != pair[:-1])])) if len(pair) else by
+        times = np.add.reduceat(times, new) if len(new) else times
+        unit, pair = unit[new], pair[new]
+        base = self.pair.n
+        self.pair.add(pair)
+        self.links.add(times)
+        self.first_pair.add(base + np.searchsorted(unit, np.arange(1, len(units) + 1)))
+        if self.counts is not None:
+            known, counts, best = self.counts
+            at = np.minimum(np.searchsorted(known, pair), max(len(known) - 1, 0))
+            hit = known[at] == pair if len(known) else np.zeros(len(pair), dtype=bool)
+            n = np.where(hit, counts[at] if len(known) else 0, 0)
+            sums = np.zeros((3, len(units)), np.int64)
+            np.add.at(sums[0], unit, np.where(hit & (n == best[pair // self.n_b]), times, 0))
+            np.add.at(sums[1], unit, n * times)
+            np.add.at(sums[2], unit, ~hit)
+            for column, values in ((self.n_best, sums[0]), (self.count_sum, sums[1]), (self.rare, sums[2] > 0)):
+                column.add(values)
+
+    def fitting(self, units: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same without the units of texts of which some unit's bytes do not come back."""
+        text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+        bad = np.bincount(text[~self.fits.all[units]], minlength=len(offs) - 1) > 0
+        stay = ~bad[text]
+        return units[stay], np.concatenate([[0], np.cumsum(np.where(bad, 0, np.diff(offs)))])
+
+
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_loaded: dict[tuple, Units] = {}
+
+
+def loaded(a_path: str, pattern: str, b_path: str) -> Units:
+    if (a_path, pattern, b_path) not in _loaded:
+        _loaded[a_path, pattern, b_path] = Units(a_path, pattern, b_path)
+    return _loaded[a_path, pattern, b_path]
 
 
-def _unpacked(col, n: int) -> tuple[np.ndarray, np.ndarray]:
-    kind = np.uint16 if n <= 1 << 16 else np.uint32
-    open_ = zstandard.ZstdDecompressor().decompress
-    raw = [open_(x) for x in col.to_pylist()]
-    offs = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum([len(r) // kind().itemsize for r in raw], out=offs[1:])
-    return np.frombuffer(b"".join(raw), kind).astype(np.int64), offs
+def _sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    total = np.append(0, np.cumsum(values))
+    return total[offs[1:]] - total[offs[:-1]]
 
 
-def tokens(docs: DataFrame, a_path: str, pattern: str, b_path: str) -> DataFrame:
-    """Per document its tokens under both tokenizers (packed), the number and digest of its groups."""
-    def run(batches):
-        a, b = loaded(a_path, pattern, b_path)
-        n_ids, row = max(len(a.entries), len(b.entries)), TaskContext.get().partitionId() << 33
-        pack_a, pack_b = _packer(len(a.entries)), _packer(len(b.entries))
-        for batch in batches:
-            data, offs = text_bytes(batch.column(1))
-            raw = data.tobytes()
-            for x, y in doc_groups(data, offs):
-                texts = [raw[s:e].decode() for s, e in zip(offs[x:y], offs[x + 1: y + 1])]
-                a_ids, a_offs, b_ids, b_offs = encode_both(a, b, texts)
-                groups, first = align(a, b, a_ids, a_offs, b_ids, b_offs)
-                links = np.append(0, np.cumsum((groups[1] - groups[0]) * (groups[3] - groups[2])))
-                shown = [hashlib.sha256(s).hexdigest() if s else "" for s in group_strings(n_ids, a_ids, b_ids, groups, first)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(row, row + y - x)), batch.column(0).slice(x, y - x), pa.array(np.diff(a_offs)),
-                    pa.array(np.diff(b_offs)), pa.array(np.diff(first)), pa.array(np.diff(links[first])),
-                    pa.array(shown, pa.string()), pa.array(pack_a(a_ids, a_offs), pa.binary()), pa.array(pack_b(b_ids, b_offs), pa.binary())],
-                    ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b"])
-                row += y - x
+# ------------------------------------------------------------ tables
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _TOKENS)
+def _groups_of_texts(batch):
+    """(first row, texts) of a batch of (doc_id, text), of bounded bytes."""
+    data, offs = text_bytes(batch.column(1))
+    raw = data.tobytes()
+    for x, y in doc_groups(data, offs, _GROUP):
+        yield x, [raw[s:e].decode() for s, e in zip(offs[x:y], offs[x + 1: y + 1])]
 
 
 def groups(docs: DataFrame, a_path: str, pattern: str, b_path: str) -> DataFrame:
     """(doc_id, groups): the aligned token groups of every document, in order."""
     def run(batches):
-        a, b = loaded(a_path, pattern, b_path)
+        units = loaded(a_path, pattern, b_path)
+        a, b = units.a, units.b
         for batch in batches:
-            data, offs = text_bytes(batch.column(1))
-            raw = data.tobytes()
-            for x, y in doc_groups(data, offs):
-                texts = [raw[s:e].decode() for s, e in zip(offs[x:y], offs[x + 1: y + 1])]
-                a_ids, a_offs, b_ids, b_offs = encode_both(a, b, texts)
+            for x, texts in _groups_of_texts(batch):
+                a_ids, a_offs, b_ids, b_offs, _ = encode_both(a, b, [], texts)
                 found, first = align(a, b, a_ids, a_offs, b_ids, b_offs)
                 sides = [pa.ListArray.from_arrays(pa.array(np.append(lo, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32)))
                          for lo, ids in ((found[0], a_ids), (found[2], b_ids))]
                 both = pa.StructArray.from_arrays(sides, ["a", "b"])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(x, y - x), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), both)], ["doc_id", "groups"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, groups array<struct<a: array<int>, b: array<int>>>")
-
-
-def _batches_of_tokens(batches, a: ByteBPE, b: Pieces, most: int = 1 << 19):
-    """(record batch slice, ids, groups, ...) of at most ``most`` tokens of A (or one text)."""
-    for batch in batches:
-        size = np.append(0, np.cumsum(batch.column("n_a").to_numpy()))
-        x = 0
-        while x < batch.num_rows:
-            y = max(x + 1, int(np.searchsorted(size, size[x] + most, "right")) - 1)
-            own = batch.slice(x, y - x)
-            a_ids, a_offs = _unpacked(own.column("a"), len(a.entries))
-            b_ids, b_offs = _unpacked(own.column("b"), len(b.entries))
-            found, first = align(a, b, a_ids, a_offs, b_ids, b_offs)
-            text = np.repeat(np.arange(y - x), np.diff(first))
-            yield own, a_ids, b_ids, found, text
-            x = y
-
-
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = (np.concatenate(x) for x in zip(*held))
-    by = np.argsort(keys, kind="stable")
-    keys, counts = keys[by], counts[by]
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[new], np.add.reduceat(counts, new)
+                    batch.column(0).slice(x, len(texts)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), both)], ["doc_id", "groups"])
 
+    return _texts(docs).mapInArrow(run, "doc_id long, groups array<struct<a: array<int>, b: array<int>>>")
 
-def pair_documents(kept: DataFrame, a_path: str, pattern: str, b_path: str) -> DataFrame:
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def pair_documents(docs: DataFrame, a_path: str, pattern: str, b_path: str) -> DataFrame:
     """(pair, n): the number of documents that link each pair of ids, pair = a * size of B + b."""
     def run(batches):
-        a, b = loaded(a_path, pattern, b_path)
-        n_b = len(b.entries)
-        span = len(a.entries) * n_b
+        units = loaded(a_path, pattern, b_path)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def handed_on():
-            keys, counts = _merged(held)
+            keys, counts = _summed(*(np.concatenate(x) for x in zip(*held)))
             held.clear()
             for x in range(0, len(keys), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[x: x + (1 << 18)]), pa.array(counts[x: x + (1 << 18)])], ["pair", "n"])
 
-        for _, a_ids, b_ids, found, text in _batches_of_tokens(batches, a, b):
-            if not found.shape[1]:
-                continue
-            kinds, own = distinct_groups(a_ids, b_ids, found)
-            seen = np.unique(text * len(kinds) + own)           # distinct kinds of groups of each text
-            text, own = seen // len(kinds), seen % len(kinds)
-            by = np.argsort(own, kind="stable")
-            text, first = text[by], np.searchsorted(own[by], np.arange(len(kinds) + 1))
-            marks = []
-            for kind, pair, _ in pairs_of(a_ids, b_ids, found[:, kinds], n_b):
-                many = np.diff(first)[kind]
-                marks.append(np.unique(text[ragged(first[kind], many)] * span + np.repeat(pair, many)))
-            marks = np.unique(np.concatenate(marks)) if len(marks) > 1 else marks[0]
-            keys, counts = np.unique(marks % span, return_counts=True)
-            held.append((keys, counts))
-            if sum(len(k) for k, _ in held) > _HELD:
-                held[:] = [_merged(held)]
-                if len(held[0][0]) > _HELD // 2:
-                    yield from handed_on()
+        for batch in batches:
+            for _, texts in _groups_of_texts(batch):
+                own, offs = units.fitting(*units.of(texts))
+                if not len(own):
+                    continue
+                some = len(units.number)
+                seen = np.unique(np.repeat(np.arange(len(texts)), np.diff(offs)) * some + own)  # distinct units of each text
+                text, own = seen // some, seen % some
+                first, n = units.first_pair.all, len(texts)
+                x = 0
+                while x < len(seen):                            # blocks of whole texts
+                    y = x + int(np.searchsorted(text[x:], text[min(x + (1 << 18), len(seen)) - 1], "right"))
+                    many = np.diff(first)[own[x:y]]
+                    marks = units.pair.all[ragged(first[own[x:y]], many)] * n + np.repeat(text[x:y], many)
+                    held.append(_summed(np.unique(marks) // n, None))
+                    x = y
+                if sum(len(k) for k, _ in held) > _HELD:
+                    held[:] = [_summed(*(np.concatenate(x) for x in zip(*held)))]
+                    if len(held[0][0]) > _HELD // 2:
+                        yield from handed_on()
         if held:
             yield from handed_on()
 
-    return kept.select("n_a", "a", "b").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return _texts(docs).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def _threshold(pairs: DataFrame, most: int) -> int:
@@ -423,77 +523,70 @@ def _threshold(pairs: DataFrame, most: int) -> int:
     return least
 
 
-def with_links(kept: DataFrame, pairs: DataFrame, a_path: str, pattern: str, b_path: str, common: int = COMMON) -> DataFrame:
-    """(row, n_best, count_sum) of every row of ``kept`` that has links."""
-    spark = kept.sparkSession
-    a, b = loaded(a_path, pattern, b_path)
-    n_b = len(b.entries)
+_FOUND = ("row long, pair long, links long, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
+          "n_best long, count_sum long, groups_sha256 string")
+
+
+def aligned(docs: DataFrame, a_path: str, pattern: str, b_path: str, common: int = COMMON) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every document."""
+    spark = docs.sparkSession
+    pairs = keep(pair_documents(docs, a_path, pattern, b_path), "pairs")
+    n_b, n_a = len(loaded(a_path, pattern, b_path).b.entries), len(loaded(a_path, pattern, b_path).a.entries)
     least = _threshold(pairs, common)
-    often = pairs.where(F.col("n") >= least).toPandas()
-    often = often.sort_values("pair")
+    often = pairs.where(F.col("n") >= least).toPandas().sort_values("pair")     # at most ``common`` rows
     a_of = F.floor(F.col("pair") / n_b).cast("long")
     highest = pairs.groupBy(a_of.alias("a")).agg(F.max("n").alias("best"))
-    best = np.zeros(len(a.entries), np.int64)
-    for r in highest.collect():                                 # at most one row for each id of A
+    best = np.zeros(n_a, np.int64)
+    for r in highest.collect():                                                 # at most one row for each id of A
         best[r.a] = r.best
     sent = spark.sparkContext.broadcast((often["pair"].to_numpy(np.int64), often["n"].to_numpy(np.int64), best))
 
     def run(batches):
-        a, b = loaded(a_path, pattern, b_path)
-        known, known_n, best = sent.value
-        for batch, a_ids, b_ids, found, text in _batches_of_tokens(batches, a, b):
-            if not found.shape[1]:
-                continue
-            rows = batch.column("row").to_numpy()
-            kinds, own = distinct_groups(a_ids, b_ids, found)
-            sums = np.zeros((2, len(kinds)), np.int64)          # n_best and count_sum of each kind of group
-            rare = []
-            for kind, pair, links in pairs_of(a_ids, b_ids, found[:, kinds], n_b):
-                at = np.minimum(np.searchsorted(known, pair), max(len(known) - 1, 0))
-                hit = known[at] == pair if len(known) else np.zeros(len(pair), dtype=bool)
-                n = known_n[at[hit]]
-                np.add.at(sums[0], kind[hit], np.where(n == best[pair[hit] // n_b], links[hit], 0))
-                np.add.at(sums[1], kind[hit], links[hit] * n)
-                rare.append((kind[~hit], pair[~hit], links[~hit]))
-            n_best, count_sum = (np.bincount(text, s[own], len(rows)) if s.max(initial=0) * max(1, len(own)) < 1 << 52
-                                 else _exact_sums(text, s[own], len(rows)) for s in sums)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(rows), pa.array(-1 - rows), pa.array(np.zeros(len(rows), np.int64)),
-                pa.array(n_best.astype(np.int64)), pa.array(count_sum.astype(np.int64))], ["row", "pair", "links", "n_best", "count_sum"])
-            kind, pair, links = (np.concatenate(x) for x in zip(*rare))
-            if not len(kind):
-                continue
-            times = np.unique(text * len(kinds) + own, return_counts=True)
-            where, k, times = times[0] // len(kinds), times[0] % len(kinds), times[1]
-            by = np.argsort(kind, kind="stable")
-            kind, pair, links = kind[by], pair[by], links[by]
-            lo = np.searchsorted(kind, k)
-            many = np.searchsorted(kind, k, "right") - lo
-            at = ragged(lo, many)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(rows[np.repeat(where, many)]), pa.array(pair[at]), pa.array(links[at] * np.repeat(times, many)),
-                pa.array(np.zeros(len(at), np.int64)), pa.array(np.zeros(len(at), np.int64))], ["row", "pair", "links", "n_best", "count_sum"])
-
-    found = kept.select("row", "n_a", "a", "b").mapInArrow(run, "row long, pair long, links long, n_best long, count_sum long")
+        units = loaded(a_path, pattern, b_path)
+        units.know(*sent.value)
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for x, texts in _groups_of_texts(batch):
+                own, offs = units.fitting(*units.of(texts))
+                n, shown = len(texts), units.shown
+                rows, numbers, cuts = np.arange(row, row + len(texts)), own.tolist(), offs.tolist()
+                digests = [hashlib.sha256(b";".join([shown[u] for u in numbers[s:e]])).hexdigest() if e > s else ""
+                           for s, e in zip(cuts[:-1], cuts[1:])]
+                sums = [_sums(c.all[own], offs) for c in (units.n_a, units.n_b_, units.n_groups, units.n_links,
+                                                          units.n_best, units.count_sum)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows), pa.array(-1 - rows), pa.array(np.zeros(n, np.int64)), batch.column(0).slice(x, n),
+                     *map(pa.array, sums), pa.array(digests, pa.string())], _names)
+                row += n
+                yield from _rare(units, own, offs, rows)
+
+    def _rare(units: Units, own, offs, rows):
+        text = np.repeat(np.arange(len(rows)), np.diff(offs))
+        stay = units.rare.all[own]
+        some = max(1, len(units.number))
+        seen, times = np.unique(text[stay] * some + own[stay], return_counts=True)
+        first, known = units.first_pair.all, units.counts[0]
+        for x in range(0, len(seen), 1 << 16):
+            u, t = seen[x: x + (1 << 16)] % some, seen[x: x + (1 << 16)] // some
+            many = np.diff(first)[u]
+            at = ragged(first[u], many)
+            pair = units.pair.all[at]
+            place = np.minimum(np.searchsorted(known, pair), max(len(known) - 1, 0))
+            out = known[place] != pair if len(known) else np.ones(len(pair), dtype=bool)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[np.repeat(t, many)[out]]), pa.array(pair[out]),
+                 pa.array((units.links.all[at] * np.repeat(times[x: x + (1 << 16)], many))[out]),
+                 *[pa.nulls(int(out.sum()), pa.int64())] * 7, pa.nulls(int(out.sum()), pa.string())], _names)
+
+    _names = [c.split()[0] for c in _FOUND.split(", ")]
+    found = _texts(docs).mapInArrow(run, _FOUND)
     # rows of sums have a pair of their own below zero, so they meet nothing and spread evenly
     rare = pairs.where(F.col("n") < least).withColumn("a", a_of).join(F.broadcast(highest), "a").select(
         "pair", "n", (F.col("n") == F.col("best")).alias("is_best"))
-    return found.join(rare, "pair", "left").groupBy("row").agg(
-        F.sum(F.col("n_best") + F.when(F.col("is_best"), F.col("links")).otherwise(0)).alias("n_best"),
-        F.sum(F.col("count_sum") + F.col("links") * F.coalesce("n", F.lit(0))).alias("count_sum"))
-
-
-def _exact_sums(text: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, np.int64)
-    np.add.at(out, text, values)
-    return out
-
-
-def aligned(docs: DataFrame, a_path: str, pattern: str, b_path: str, common: int = COMMON) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every document."""
-    kept = keep(tokens(docs, a_path, pattern, b_path), "tokens")
-    pairs = keep(pair_documents(kept, a_path, pattern, b_path), "pairs")
-    links = with_links(kept, pairs, a_path, pattern, b_path, common)
-    return kept.drop("a", "b").join(links, "row", "left").select(
-        "doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"),
-        F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups_sha256")
+    zero = F.lit(0).cast("long")
+    plain = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    out = found.join(rare, "pair", "left").groupBy("row").agg(
+        *[F.max(c).alias(c) for c in plain],
+        F.sum(F.coalesce("n_best", zero) + F.when(F.col("is_best"), F.col("links")).otherwise(zero)).alias("n_best"),
+        F.sum(F.coalesce("count_sum", zero) + F.col("links") * F.coalesce("n", zero)).alias("count_sum"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
