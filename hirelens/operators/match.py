@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import py_round2
-from .similarity import pair_similarity, term_frequencies
+from ..session import is_small, keep
+from .similarity import counted_terms, pair_similarity, term_rows
 from .skills import match_percentage, matched, missing, with_skills
 
 MATCH_COLUMNS = [
@@ -30,27 +31,25 @@ def overall_score(tech: Column, soft: Column, sim: Column,
     return py_round2(acc / weight.cast("double"))
 
 
-def document_skills(df: DataFrame, id_col: str, text_col: str, prefix: str,
-                    technical=None, soft=None) -> DataFrame:
-    """``(id_col, {prefix}technical_skills, {prefix}soft_skills)`` once per document."""
-    base = df.select(id_col, text_col)
-    return with_skills(base, text_col, prefix, technical, soft).drop(text_col)
+def match_features(df: DataFrame, text_col: str = "text", technical=None, soft=None) -> DataFrame:
+    """``technical_skills, soft_skills, terms, sq`` in place of the text: all that a match needs
+    of a document, from one scan and without an exchange."""
+    x = with_skills(df, text_col, "", technical, soft)
+    return x.withColumn("__c", counted_terms(text_col)).withColumns(
+        {"terms": F.col("__c.terms"), "sq": F.col("__c.sq")}).drop("__c", text_col)
 
 
-def analyze_match(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame, *,
-                  resume_text: str = "text", job_text: str = "text",
-                  technical=None, soft=None) -> DataFrame:
-    """One row per distinct ``(resume_id, job_id)`` of ``pairs`` with the twelve
-    match fields. ``resumes(resume_id, text)``, ``jobs(job_id, text)``."""
-    # only documents of some pair reach the text rules
+def match_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row per distinct ``(resume_id, job_id)`` with the twelve match fields, from stored
+    :func:`match_features` tables: only ids, skills and terms are joined, never a text."""
     pairs = pairs.select("resume_id", "job_id").distinct()
-    resumes = resumes.join(pairs.select("resume_id").distinct(), "resume_id", "left_semi")
-    r_sk = document_skills(resumes, "resume_id", resume_text, "resume_", technical, soft)
-    j_sk = document_skills(jobs, "job_id", job_text, "job_", technical, soft)
-    r_tf = term_frequencies(resumes, "resume_id", resume_text)
-    j_tf = term_frequencies(jobs, "job_id", job_text)
-    sim = pair_similarity(pairs, r_tf, j_tf)
-    p = sim.join(r_sk, "resume_id").join(j_sk, "job_id")
+    small = is_small(jobs, F.size("terms") + 1)
+    sim = pair_similarity(pairs, term_rows(resumes, "resume_id"), term_rows(jobs, "job_id"), small)
+    r_sk = resumes.select("resume_id", F.col("technical_skills").alias("resume_technical_skills"),
+                          F.col("soft_skills").alias("resume_soft_skills"))
+    j_sk = jobs.select("job_id", F.col("technical_skills").alias("job_technical_skills"),
+                       F.col("soft_skills").alias("job_soft_skills"))
+    p = sim.join(r_sk, "resume_id").join(F.broadcast(j_sk) if small else j_sk, "job_id")
     jt, rt = F.col("job_technical_skills"), F.col("resume_technical_skills")
     js, rs = F.col("job_soft_skills"), F.col("resume_soft_skills")
     p = p.select(
@@ -65,3 +64,13 @@ def analyze_match(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame, *,
     return p.withColumn("overall_score", overall_score(
         F.col("technical_score"), F.col("soft_skill_score"), F.col("similarity_score"),
         F.size(jt) > 0, F.size(js) > 0)).select("resume_id", "job_id", *MATCH_COLUMNS)
+
+
+def analyze_match(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame, *,
+                  resume_text: str = "text", job_text: str = "text",
+                  technical=None, soft=None) -> DataFrame:
+    """:func:`match_pairs` from texts: ``resumes(resume_id, text)``, ``jobs(job_id, text)``.
+    The documents' features are stored first, so each text is read once."""
+    r = keep(match_features(resumes.select("resume_id", resume_text), resume_text, technical, soft), "resume-features")
+    j = keep(match_features(jobs.select("job_id", job_text), job_text, technical, soft), "job-features")
+    return match_pairs(pairs, r, j)

@@ -13,8 +13,8 @@ depend on summation order.
 
 Plan shape (driven by the pair table, never by an all-pairs term join):
 
-    terms per document       explode + count; Σ tf² rides along on every term row
-    resume_terms ⋉ job terms on term                (a job names few of all terms)
+    terms per document       counted in the document's row; Σ tf² rides along on every term row
+    resume_terms ⋉ job terms on term                (a job names few of all terms; broadcast if measured small)
     pairs ⋈ job_terms        on job_id              (|pairs| x terms per job)
           ⋈ resume_terms     on (resume_id, term)   (keeps shared terms only)
     → groupBy(resume_id, job_id) integer sums       (partial agg map-side)
@@ -28,9 +28,11 @@ hot résumé over its terms.
 
 from __future__ import annotations
 
+import functools
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -56,20 +58,55 @@ def ngrams_1_2(toks: Column) -> Column:
     return F.concat(toks, bigrams)
 
 
+@functools.cache
+def _count_udf():
+    # Defined inside so it is shipped by value: executors need no copy of this package on their path.
+    def counted(toks: pa.Array) -> pa.Array:
+        import numpy as np
+        import pyarrow as pa_
+        import pyarrow.compute as pc
+        n = len(toks)
+        offs = np.zeros(n + 1, np.int64)
+        np.cumsum(pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False), out=offs[1:])
+        words = toks.flatten()
+        doc = np.repeat(np.arange(n), np.diff(offs))
+        left = np.flatnonzero(doc[1:] == doc[:-1])
+        two = pc.binary_join_element_wise(words.take(pa_.array(left)), words.take(pa_.array(left + 1)), " ")
+        terms = pa_.concat_arrays([words, two]).dictionary_encode()
+        size = max(1, len(terms.dictionary))
+        key = np.concatenate([doc, doc[left]]) * size + terms.indices.to_numpy(zero_copy_only=False)
+        key, tf = np.unique(key, return_counts=True)
+        rows = pa_.StructArray.from_arrays(
+            [terms.dictionary.take(pa_.array(key % size)), pa_.array(tf.astype(np.int64))], ["term", "tf"])
+        cuts = np.searchsorted(key // size, np.arange(n + 1)).astype(np.int32)
+        sq = np.bincount(key // size, tf.astype(np.float64) ** 2, n).astype(np.int64)
+        return pa_.StructArray.from_arrays([pa_.ListArray.from_arrays(pa_.array(cuts), rows), pa_.array(sq)], ["terms", "sq"])
+
+    return F.arrow_udf(counted, "struct<terms: array<struct<term: string, tf: bigint>>, sq: bigint>")
+
+
+def counted_terms(text: Column | str) -> Column:
+    """``struct<terms: array<struct<term, tf>>, sq>``: the text's 1-2-grams with their counts and
+    ``Σ tf²``; no terms for a null text. Counted for a whole Arrow batch at once."""
+    return _count_udf()(tokens(text))
+
+
+def term_rows(df: DataFrame, id_col: str) -> DataFrame:
+    """Long form ``(id, term, tf, sq)`` of a table with ``terms`` and ``sq``."""
+    t = df.select(F.col(id_col).alias("id"), F.explode("terms").alias("t"), "sq")
+    return t.select("id", "t.term", "t.tf", "sq")
+
+
 def term_frequencies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Long table ``(id, term, tf BIGINT, sq BIGINT)``: raw term counts per
     document and the document's ``Σ tf²`` carried on every term row.
 
-    ``explode`` + ``groupBy(id, term)`` stays in whole-stage codegen with a
-    map-side partial count; ``sq`` is a window over the same document (its
-    terms are what meets in one task). Input that is hash-partitioned by the
-    document id already needs no exchange for either. (Counting inside the row
-    with array functions was tried: no exchange, but twice the time, as lambdas
-    are interpreted.)
+    A document is counted where it is read; nothing is exchanged. Ids must be unique.
+    (explode, ``groupBy(id, term)`` and a window by id took two exchanges of all terms and
+    twice the time; counting with lambdas on arrays took longer still.)
     """
-    terms = df.select(F.col(id_col).alias("id"), F.explode(ngrams_1_2(tokens(text_col))).alias("term"))
-    tf = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return tf.withColumn("sq", F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("id")))
+    c = df.select(F.col(id_col).alias(id_col), counted_terms(text_col).alias("c"))
+    return term_rows(c.select(id_col, "c.terms", "c.sq"), id_col)
 
 
 def cosine_expr(dot: Column, rr: Column, jj: Column, sr: Column, sj: Column) -> Column:
@@ -82,22 +119,24 @@ def cosine_expr(dot: Column, rr: Column, jj: Column, sr: Column, sj: Column) ->
     return F.when(F.coalesce(dot, F.lit(0)) == 0, F.lit(0.0)).otherwise(py_round2(cos * F.lit(100.0)))
 
 
-def pair_similarity(pairs: DataFrame, resume_tf: DataFrame, job_tf: DataFrame) -> DataFrame:
+def pair_similarity(pairs: DataFrame, resume_tf: DataFrame, job_tf: DataFrame, small_jobs: bool = False) -> DataFrame:
     """``(resume_id, job_id, similarity_score)`` for every distinct pair.
 
-    ``pairs`` needs ``resume_id, job_id``; ``*_tf`` come from
+    ``pairs`` needs ``resume_id, job_id``; ``*_tf`` come from :func:`term_rows` or
     :func:`term_frequencies`. Pairs without a shared term get 0.0 (their
     norms are irrelevant, so the per-document norms only travel with the
-    shared-term rows).
+    shared-term rows). ``small_jobs``: the caller has measured the jobs' terms
+    and found them fit to broadcast.
     """
     p = pairs.select("resume_id", "job_id").distinct()
+    hint = F.broadcast if small_jobs else lambda x: x
     jt = job_tf.select(F.col("id").alias("job_id"), "term", F.col("tf").alias("tf_j"),
                        F.col("sq").alias("sj"))
     rt = resume_tf.select(F.col("id").alias("resume_id"), "term", F.col("tf").alias("tf_r"),
                           F.col("sq").alias("sr"))
     # terms that no job has can't be shared; the documents' norms are on the rows already
-    rt = rt.join(jt.select("term").distinct(), "term", "left_semi")
-    shared = (p.join(jt, "job_id")
+    rt = rt.join(hint(jt.select("term").distinct()), "term", "left_semi")
+    shared = (p.join(hint(jt), "job_id")
                .join(rt, ["resume_id", "term"])
                .groupBy("resume_id", "job_id")
                .agg(F.sum(F.col("tf_r") * F.col("tf_j")).alias("dot"),

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, py_round_int, strip
-from ..operators.match import analyze_match
+from ..operators.match import match_features, match_pairs
 from ..operators.scorecard import scorecard
+from ..session import is_small, keep
 from ..sources.ingest import failure_message, file_gate, input_gate_flags, resume_record
 
 
@@ -29,46 +30,81 @@ def prepare(resumes: DataFrame) -> DataFrame:
     return resume_record(cleaned)
 
 
-def applied(applications: DataFrame, records: DataFrame, jobs: DataFrame) -> DataFrame:
+def resume_features(resumes: DataFrame) -> DataFrame:
+    """Everything the analyses need of an uploaded document, in one row without its text: gates
+    (``error``), statistics, the scorecard, skills, terms and norm. One scan, no exchange, so it
+    can be stored once per document (see :func:`store_features`) and read by every analysis.
+    What failed a gate is not analysed.
+
+    ``resumes(resume_id, filename, extension, text[, length])``."""
+    rec = prepare(resumes)
+    rec = rec.withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
+    card = scorecard(rec.select("resume_id", "filename", "extension", "text", "characters", "words", "error"))
+    x = match_features(card)
+    return x.select(
+        "resume_id", "error", F.struct("filename", "extension", "characters", "words").alias("resume_data"),
+        F.struct("score", "rating", "checks", "sections", "missing_sections", "word_count", "filename").alias("ats_result"),
+        "technical_skills", "soft_skills", "terms", "sq")
+
+
+def job_features(jobs: DataFrame) -> DataFrame:
+    """The same of a job description: whether it is blank, skills, terms and norm. ``jobs(job_id, text)``."""
+    j = jobs.select("job_id", "text", (F.coalesce(strip("text"), F.lit("")) == "").alias("job_blank"))
+    return match_features(j)
+
+
+def store_features(features: DataFrame, id_col: str, table: str, path: str, buckets: int) -> DataFrame:
+    """Write a feature table bucketed by its id and read it back: joins and aggregations by the
+    id then read it without an exchange. It replaces the table of that name and place."""
+    spark = features.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    (features.repartition(buckets, id_col).write.mode("overwrite").bucketBy(buckets, id_col).sortBy(id_col)
+     .option("path", path).saveAsTable(table))
+    return spark.table(table)
+
+
+def with_errors(applications: DataFrame, resume_flags: DataFrame, job_flags: DataFrame, small_jobs: bool = False) -> DataFrame:
     """The applications with ``error``: why an application cannot be analysed.
 
-    Gates need one flag per document, not the texts: joining texts onto every
-    application would copy a popular document into each of its rows."""
-    r = records.select("resume_id", F.lit(True).alias("has_resume"), F.col("error").alias("extract_error"))
-    j = jobs.select("job_id", (F.coalesce(strip("text"), F.lit("")) == "").alias("job_blank"))
-    a = applications.join(r, "resume_id", "left").join(j, "job_id", "left")
+    Gates need one flag per document, ``(resume_id, error)`` and ``(job_id, job_blank)``, not the texts:
+    joining texts onto every application would copy a popular document into each of its rows."""
+    r = resume_flags.select("resume_id", F.lit(True).alias("has_resume"), F.col("error").alias("extract_error"))
+    j = job_flags.select("job_id", "job_blank")
+    a = applications.join(r, "resume_id", "left").join(F.broadcast(j) if small_jobs else j, "job_id", "left")
     error = F.coalesce(input_gate_flags(F.coalesce(F.col("has_resume"), F.lit(False)),
                                         F.coalesce(F.col("job_blank"), F.lit(True))),
                        failure_message(F.col("extract_error")))
     return a.select(*applications.columns, error.alias("error"))
 
 
+def applied(applications: DataFrame, records: DataFrame, jobs: DataFrame) -> DataFrame:
+    """:func:`with_errors` from extraction records and job texts."""
+    return with_errors(applications, records, jobs.select(
+        "job_id", (F.coalesce(strip("text"), F.lit("")) == "").alias("job_blank")))
+
+
 def analyze(applications: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
     """Match result + scorecard + extraction record for every application.
 
     ``resumes(resume_id, filename, extension, text[, length])``;
-    ``jobs(job_id, text)``. Documents pass the gates and are cleaned first;
-    match and scorecard work on the cleaned text, once per document;
-    only similarity and set algebra are per pair. Applications whose inputs
+    ``jobs(job_id, text)``. Documents pass the gates, are cleaned and analysed once each and
+    their features kept; only similarity and set algebra are per pair. Applications whose inputs
     fail a gate keep their row with an ``error`` and no results.
     """
-    rec = prepare(resumes)
-    a = applied(applications, rec, jobs)
-    return results(a, rec, jobs)
-
-
-def results(a: DataFrame, rec: DataFrame, jobs: DataFrame) -> DataFrame:
-    """The results of gated applications: analyses only what has no error."""
-    good = a.where("error IS NULL")
-    used = rec.join(good.select("resume_id").distinct(), "resume_id", "left_semi")
-    card = scorecard(used.select("resume_id", "filename", "extension", "text", "characters", "words", "error"))
-    card = card.select("resume_id", F.struct("filename", "extension", "characters", "words").alias("resume_data"),
-                       F.struct("score", "rating", "checks", "sections", "missing_sections",
-                                "word_count", "filename").alias("ats_result"))
-    m = analyze_match(good, used, jobs)
+    return analyze_features(applications, keep(resume_features(resumes), "resume-features"), keep(job_features(jobs), "job-features"))
+
+
+def analyze_features(applications: DataFrame, rf: DataFrame, jf: DataFrame) -> DataFrame:
+    """:func:`analyze` from stored feature tables."""
+    return results(with_errors(applications, rf, jf, is_small(jf)), rf, jf)
+
+
+def results(a: DataFrame, rf: DataFrame, jf: DataFrame) -> DataFrame:
+    """The results of gated applications from the documents' features."""
+    m = match_pairs(a.where("error IS NULL"), rf, jf)
     match_result = F.struct(*[F.col(c) for c in m.columns if c not in ("resume_id", "job_id")])
     m = m.select("resume_id", "job_id", match_result.alias("match_result"))
-    out = a.join(card, "resume_id", "left").join(m, ["resume_id", "job_id"], "left")
+    out = a.join(m, ["resume_id", "job_id"], "left").join(rf.select("resume_id", "resume_data", "ats_result"), "resume_id", "left")
     ok = F.col("error").isNull()
     cols = [c for c in a.columns if c != "error"]
     return out.select(
@@ -99,10 +135,10 @@ def latest_per_session(bundles: DataFrame, session_col: str = "session_id", ts_c
 def latest_bundles(applications: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
     """The session state: the last successful application of each session is chosen
     from narrow rows and gate flags, and only those are analysed."""
-    rec = prepare(resumes)
-    keys = applied(applications, rec, jobs).select("session_id", "ts", "application_id", "resume_id", "job_id", "error")
+    rf, jf = keep(resume_features(resumes), "resume-features"), keep(job_features(jobs), "job-features")
+    keys = with_errors(applications, rf, jf, is_small(jf)).select("session_id", "ts", "application_id", "resume_id", "job_id", "error")
     last = latest_per_session(keys).withColumn("error", F.lit(None).cast("string"))
-    return results(last, rec, jobs)
+    return results(last, rf, jf)
 
 
 def write_bundles(bundles: DataFrame, path: str, mode: str = "overwrite") -> None:

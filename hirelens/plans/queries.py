@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import char_count, clean_text, word_count
 from ..operators import recommend as R
+from ..operators.catalog import alias_index, catalog_table, find_catalog_skills
 from ..operators.match import analyze_match
 from ..operators.redact import (detect_candidate_name, redact, redact_header_addresses,
                                 redact_sensitive_lines)
 from ..operators.scorecard import (check_rows, find_sections, recommendations, scorecard,
                                    section_lists)
-from ..operators.similarity import pair_similarity, term_frequencies
+from ..operators.similarity import counted_terms, pair_similarity, term_frequencies, term_rows
 from ..operators.skills import with_skills
+from ..session import is_small, keep
 from ..sources import ingest
 from ..sources import tables as T
 from . import oracle as O
@@ -84,6 +86,14 @@ def job_skills(spark, sf):
                     _joined("soft_skills").alias("soft_skills"))
 
 
+def catalog_skills(spark, sf):
+    """Skills by a catalog table: the fixed catalog and phrases of the benchmark texts."""
+    rows = catalog_table(spark, "technical", fixed.TECHNICAL_SKILLS).unionByName(T.view(spark, sf, "v_catalog"))
+    found = find_catalog_skills(T.resumes(spark, sf), "resume_id", "text", alias_index(rows), ["technical", "phrase"])
+    return found.select("resume_id", _joined("technical_skills").alias("technical_skills"),
+                        _joined("phrase_skills").alias("phrase_skills"))
+
+
 def term_frequency(spark, sf):
     tf = term_frequencies(T.resumes(spark, sf), "resume_id", "text")
     return tf.select(F.col("id").alias("resume_id"), "term", "tf", "sq")
@@ -91,8 +101,9 @@ def term_frequency(spark, sf):
 
 def similarity(spark, sf):
     r, j, a = T.resumes(spark, sf), T.jobs(spark, sf), T.applications(spark, sf)
-    return pair_similarity(a, term_frequencies(r, "resume_id", "text"),
-                           term_frequencies(j, "job_id", "text"))
+    terms = keep(j.select("job_id", counted_terms("text").alias("c")).select("job_id", "c.terms", "c.sq"), "job-terms")
+    return pair_similarity(a, term_frequencies(r, "resume_id", "text"), term_rows(terms, "job_id"),
+                           is_small(terms, F.size("terms") + 1))
 
 
 _LISTS = ["job_technical_skills", "resume_technical_skills", "matched_technical",
@@ -294,6 +305,7 @@ QUERIES: dict[str, Query] = {
     "text_predicates": text_predicates,
     "resume_skills": resume_skills,
     "job_skills": job_skills,
+    "catalog_skills": catalog_skills,
     "term_frequency": term_frequency,
     "similarity": similarity,
     "match": match,
@@ -354,6 +366,16 @@ SELECT {id_col}, array_to_string({O.skill_list(_NORM, fixed.TECHNICAL_SKILLS)},
 FROM {O.v(view)}"""
 
 
+def _sq_catalog_skills():
+    pattern = _lit(f"(?:^|{O.NOT_EDGE})") + " || regexp_escape(lower(c.alias)) || " + _lit(f"(?:$|{O.NOT_EDGE})")
+    return f"""WITH r AS (SELECT resume_id, text, {_NORM} AS norm FROM {O.v('v_resumes')}),
+hit AS (SELECT DISTINCT r.resume_id, c.skill FROM r JOIN {O.v('v_catalog')} c ON contains(r.norm, lower(c.alias))
+        WHERE regexp_matches(r.norm, {pattern}))
+SELECT r.resume_id, coalesce(array_to_string({O.skill_list('norm', fixed.TECHNICAL_SKILLS)}, '|'), '') AS technical_skills,
+       coalesce((SELECT string_agg(skill, '|' ORDER BY skill) FROM hit WHERE hit.resume_id = r.resume_id), '') AS phrase_skills
+FROM r"""
+
+
 def _sq_term_frequency():
     return f"""WITH {O.terms_cte('rt', O.v('v_resumes'), 'resume_id')}
 SELECT id AS resume_id, term, tf, CAST(sum(tf * tf) OVER (PARTITION BY id) AS BIGINT) AS sq FROM rt"""
@@ -719,6 +741,7 @@ ORACLE: dict[str, Callable[[], str]] = {
     "text_predicates": _sq_text_predicates,
     "resume_skills": lambda: _sq_skills("v_resumes", "resume_id"),
     "job_skills": lambda: _sq_skills("v_jobs", "job_id"),
+    "catalog_skills": _sq_catalog_skills,
     "term_frequency": _sq_term_frequency,
     "similarity": _sq_similarity,
     "match": _sq_match,

