@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import col
+from ..session import is_small, keep
 from .redact import redact
 
 
@@ -30,29 +31,58 @@ def prompt(anonymized_resume: Column | str, job_text: Column | str) -> Column:
                     F.lit(fixed.PROMPT_TAIL))
 
 
-def build_requests(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame,
-                   consent_col: str = "consent") -> DataFrame:
-    """Rows for consented applications only; the raw résumé text never
-    reaches the output (only the redacted one enters the prompt)."""
-    ok = pairs.filter(F.col(consent_col))
-    # only consented documents are redacted, and texts are cut to the prompt's limits before they are joined
-    used = resumes.select("resume_id", F.col("text").alias("resume_text")).join(
-        ok.select("resume_id").distinct(), "resume_id", "left_semi")
-    red = redact(used, "resume_text").select(
+def resume_prompts(resumes: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The prompt's part of every document, stored once: ``(resume_id, redacted_text, privacy)``, the text
+    redacted and cut to the prompt's limit. ``wanted(resume_id)``, if small by count, keeps out the others
+    (a larger list would cost an exchange of the texts, so then all are redacted where they are read)."""
+    used = resumes.select("resume_id", F.col("text").alias("resume_text"))
+    if wanted is not None and is_small(wanted):
+        used = used.join(F.broadcast(wanted), "resume_id", "left_semi")
+    privacy = F.struct("total_redactions", "redactions", "candidate_name_detected")
+    return keep(redact(used, "resume_text").select(
         "resume_id", F.substring("redacted_text", 1, fixed.RESUME_PROMPT_CHARS).alias("redacted_text"),
-        "total_redactions", "redactions", "candidate_name_detected")
-    j = jobs.select("job_id", F.substring("text", 1, fixed.JOB_PROMPT_CHARS).alias("job_text"))
-    req = ok.join(red, "resume_id").join(j, "job_id")
+        privacy.alias("privacy")), "resume-prompts")
+
+
+def job_prompts(jobs: DataFrame) -> DataFrame:
+    """The same of every job: ``(job_id, job_text)``, cut to the prompt's limit."""
+    return keep(jobs.select("job_id", F.substring("text", 1, fixed.JOB_PROMPT_CHARS).alias("job_text")), "job-prompts")
+
+
+def request_rows(pairs: DataFrame, documents: DataFrame, jobs: DataFrame, consent_col: str = "consent") -> DataFrame:
+    """Requests by reference: a narrow row per consented application whose documents exist, with the
+    model, its options and the privacy report; the prompt is named by ``resume_id`` and ``job_id``
+    (:func:`resume_prompts`, :func:`job_prompts`) and put together by :func:`with_prompts` where it is sent."""
     options = F.lit(json.dumps({
         "generation_config": {"thinking_level": "low"},
         "response_format": {"type": "text", "mime_type": "application/json", "schema": answer_json_schema()},
         "store": False, "timeout_ms": fixed.REQUEST_TIMEOUT_MS}))
-    privacy = F.struct(F.col("total_redactions"), F.col("redactions"),
-                       F.col("candidate_name_detected"))
+    ids = jobs.select("job_id")
+    ok = pairs.filter(F.col(consent_col)).join(F.broadcast(ids) if is_small(ids) else ids, "job_id", "left_semi")
     cols = [c for c in pairs.columns if c != consent_col]
-    return req.select(*cols, F.lit(fixed.MODEL_NAME).alias("model"),
-                      prompt("redacted_text", "job_text").alias("prompt"),
-                      options.alias("options"), privacy.alias("privacy"))
+    return ok.join(documents.select("resume_id", "privacy"), "resume_id").select(
+        *cols, F.lit(fixed.MODEL_NAME).alias("model"), options.alias("options"), "privacy")
+
+
+def with_prompts(requests: DataFrame, documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The requests with their ``prompt``. A document's text is exchanged once, by ``resume_id``; the
+    jobs' texts are broadcast if small by their characters. If not, they meet the narrow requests first."""
+    texts = documents.select("resume_id", "redacted_text")
+    small = is_small(jobs, F.length("job_text"), limit=32_000_000)
+    if small:
+        met = requests.join(texts, "resume_id").join(F.broadcast(jobs), "job_id")
+    else:
+        met = requests.join(jobs, "job_id").join(texts, "resume_id")
+    return met.select(*requests.columns, prompt("redacted_text", "job_text").alias("prompt"))
+
+
+def build_requests(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame,
+                   consent_col: str = "consent") -> DataFrame:
+    """Rows for consented applications only; the raw résumé text never
+    reaches the output (only the redacted one enters the prompt)."""
+    wanted = pairs.filter(F.col(consent_col)).select("resume_id").distinct()
+    documents, texts = resume_prompts(resumes, wanted), job_prompts(jobs)
+    return with_prompts(request_rows(pairs, documents, texts, consent_col), documents, texts)
 
 
 def answer_json_schema() -> dict:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import char_count, clean_text, word_count
 from ..operators import recommend as R
+from ..operators import topk
 from ..operators.catalog import alias_index, catalog_table, find_catalog_skills
 from ..operators.match import analyze_match
 from ..operators.redact import (detect_candidate_name, redact, redact_header_addresses,
@@ -106,6 +107,18 @@ def similarity(spark, sf):
                            is_small(terms, F.size("terms") + 1))
 
 
+TOP_JOBS = 5
+
+
+def best_jobs(spark, sf):
+    """The five most similar jobs of every résumé, out of all jobs."""
+    def terms(df, id_col):
+        return keep(df.select(id_col, counted_terms("text").alias("c")).select(id_col, "c.terms", "c.sq"), "terms")
+
+    best = topk.best_jobs(terms(T.resumes(spark, sf), "resume_id"), terms(T.jobs(spark, sf), "job_id"), TOP_JOBS)
+    return best.withColumn("rank", _long(F.col("rank")))
+
+
 _LISTS = ["job_technical_skills", "resume_technical_skills", "matched_technical",
           "missing_technical", "job_soft_skills", "resume_soft_skills", "matched_soft", "missing_soft"]
 
@@ -292,7 +305,10 @@ def llm_errors(spark, sf):
 
 def llm_result(spark, sf):
     """Requests joined to their answers: wrapped result or classified error."""
-    req = R.build_requests(T.applications(spark, sf), T.resumes(spark, sf), T.jobs(spark, sf))
+    a = T.applications(spark, sf)
+    jobs = T.jobs(spark, sf)
+    documents = R.resume_prompts(T.resumes(spark, sf), a.where("consent").select("resume_id").distinct())
+    req = R.request_rows(a, documents, jobs)        # by reference: no prompt is needed here
     r = R.results(_answers(spark, sf), req, ["application_id"])
     return r.select("application_id", F.col("result.model").alias("model"),
                     F.col("result.analysis.target_role").alias("target_role"),
@@ -308,6 +324,7 @@ QUERIES: dict[str, Query] = {
     "catalog_skills": catalog_skills,
     "term_frequency": term_frequency,
     "similarity": similarity,
+    "best_jobs": best_jobs,
     "match": match,
     "sections": sections,
     "ats_scorecard": ats_scorecard,
@@ -408,6 +425,15 @@ def _sq_similarity():
     return f"WITH {_sim_ctes()}\nSELECT resume_id, job_id, similarity_score FROM sim"
 
 
+def _sq_best_jobs():
+    pairs = f"(SELECT resume_id, job_id FROM (SELECT resume_id FROM {O.v('v_resumes')}) CROSS JOIN (SELECT job_id FROM {O.v('v_jobs')}))"
+    return f"""WITH {_sim_ctes(apps=pairs)}
+SELECT resume_id, job_id, similarity_score, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY similarity_score DESC, job_id) AS rank
+      FROM sim WHERE similarity_score > 0)
+WHERE rank <= {TOP_JOBS}"""
+
+
 def _pct(req, res):
     x = f"(len(list_intersect({req}, {res})) / len({req}) * CAST(100 AS DOUBLE))"
     return f"CASE WHEN len({req}) = 0 THEN CAST(0 AS DOUBLE) ELSE {O.py_round2(x)} END"
@@ -744,6 +770,7 @@ ORACLE: dict[str, Callable[[], str]] = {
     "catalog_skills": _sq_catalog_skills,
     "term_frequency": _sq_term_frequency,
     "similarity": _sq_similarity,
+    "best_jobs": _sq_best_jobs,
     "match": _sq_match,
     "sections": _sq_sections,
     "ats_scorecard": _sq_scorecard,
