@@ -44,6 +44,16 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def sql_text(s: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_name(name: str) -> str:
+    """A column's name in Spark SQL."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 # ---------------------------------------------------------------------------
 # Lines, stripping, counting
 # ---------------------------------------------------------------------------
@@ -65,10 +75,9 @@ def join_lines(text: Column | str) -> Column:
 
 
 def nonblank_lines(text: Column | str) -> Column:
-    """Lines holding a non-whitespace character, unstripped, in order (one
-    JVM regex scan instead of split + per-line lambdas)."""
-    return F.regexp_extract_all(col(text),
-                                F.lit(f"[^{BREAK_CHARS}]*[^{WS_BODY}][^{BREAK_CHARS}]*"), 0)
+    """Lines holding a non-whitespace character, unstripped, in order (a split is ten times
+    as fast as extracting runs of other characters)."""
+    return F.filter(F.split(col(text), f"[{BREAK_CHARS}]", -1), lambda l: l.rlike(NOT_WS))
 
 
 def strip(text: Column | str) -> Column:
@@ -100,10 +109,9 @@ def clean_text(text: Column | str) -> Column:
 
 
 def nonblank_stripped_lines(text: Column | str) -> Column:
-    """``[l.strip() for l in text.splitlines() if l.strip()]`` in one regex scan:
-    each match runs from a line's first to its last non-whitespace character
-    (line breaks are whitespace, so no match crosses a line)."""
-    return F.regexp_extract_all(col(text), F.lit(f"{NOT_WS}(?:[^{BREAK_CHARS}]*{NOT_WS})?"), 0)
+    """``[l.strip() for l in text.splitlines() if l.strip()]`` (the empty line that a split
+    leaves between CR and LF is dropped like any other)."""
+    return F.filter(F.transform(F.split(col(text), f"[{BREAK_CHARS}]", -1), strip), lambda l: l != F.lit(""))
 
 
 # ---------------------------------------------------------------------------

@@ -49,31 +49,37 @@ def job_prompts(jobs: DataFrame) -> DataFrame:
     return keep(jobs.select("job_id", F.substring("text", 1, fixed.JOB_PROMPT_CHARS).alias("job_text")), "job-prompts")
 
 
-def request_rows(pairs: DataFrame, documents: DataFrame, jobs: DataFrame, consent_col: str = "consent") -> DataFrame:
-    """Requests by reference: a narrow row per consented application whose documents exist, with the
-    model, its options and the privacy report; the prompt is named by ``resume_id`` and ``job_id``
-    (:func:`resume_prompts`, :func:`job_prompts`) and put together by :func:`with_prompts` where it is sent."""
-    options = F.lit(json.dumps({
+def request_options() -> Column:
+    """What every call is sent with, beside its prompt."""
+    return F.lit(json.dumps({
         "generation_config": {"thinking_level": "low"},
         "response_format": {"type": "text", "mime_type": "application/json", "schema": answer_json_schema()},
         "store": False, "timeout_ms": fixed.REQUEST_TIMEOUT_MS}))
+
+
+def request_rows(pairs: DataFrame, documents: DataFrame, jobs: DataFrame, consent_col: str = "consent") -> DataFrame:
+    """Requests by reference: a narrow row per consented application whose documents exist, with the
+    model and the privacy report; the prompt is named by ``resume_id`` and ``job_id``
+    (:func:`resume_prompts`, :func:`job_prompts`) and put together by :func:`with_prompts` where it is sent."""
     ids = jobs.select("job_id")
     ok = pairs.filter(F.col(consent_col)).join(F.broadcast(ids) if is_small(ids) else ids, "job_id", "left_semi")
     cols = [c for c in pairs.columns if c != consent_col]
     return ok.join(documents.select("resume_id", "privacy"), "resume_id").select(
-        *cols, F.lit(fixed.MODEL_NAME).alias("model"), options.alias("options"), "privacy")
+        *cols, F.lit(fixed.MODEL_NAME).alias("model"), "privacy")
 
 
 def with_prompts(requests: DataFrame, documents: DataFrame, jobs: DataFrame) -> DataFrame:
-    """The requests with their ``prompt``. A document's text is exchanged once, by ``resume_id``; the
-    jobs' texts are broadcast if small by their characters. If not, they meet the narrow requests first."""
-    texts = documents.select("resume_id", "redacted_text")
-    small = is_small(jobs, F.length("job_text"), limit=32_000_000)
-    if small:
+    """The requests with ``prompt`` and ``options``. ``requests`` are narrow rows with ``resume_id`` and
+    ``job_id``. A document's text is exchanged once, by ``resume_id``; the jobs' texts are broadcast if
+    small by their characters. If not, they meet the narrow requests first."""
+    texts = documents.select("resume_id", *[c for c in documents.columns if c != "resume_id" and c not in requests.columns])
+    if is_small(jobs, F.length("job_text"), limit=32_000_000):
         met = requests.join(texts, "resume_id").join(F.broadcast(jobs), "job_id")
     else:
         met = requests.join(jobs, "job_id").join(texts, "resume_id")
-    return met.select(*requests.columns, prompt("redacted_text", "job_text").alias("prompt"))
+    cols = [c for c in requests.columns if c not in ("model", "privacy")]
+    return met.select(*cols, F.lit(fixed.MODEL_NAME).alias("model"), prompt("redacted_text", "job_text").alias("prompt"),
+                      request_options().alias("options"), "privacy")
 
 
 def build_requests(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame,
@@ -82,7 +88,7 @@ def build_requests(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame,
     reaches the output (only the redacted one enters the prompt)."""
     wanted = pairs.filter(F.col(consent_col)).select("resume_id").distinct()
     documents, texts = resume_prompts(resumes, wanted), job_prompts(jobs)
-    return with_prompts(request_rows(pairs, documents, texts, consent_col), documents, texts)
+    return with_prompts(pairs.filter(F.col(consent_col)).drop(consent_col), documents, texts)
 
 
 def answer_json_schema() -> dict:

@@ -19,8 +19,11 @@ def heading_lines(text: Column | str) -> Column:
     """Normalized lines whose stripped length is 1..50 (normalization strips
     first, so starting from the stripped lines changes nothing; long lines
     are dropped before the costly normalization)."""
-    kept = F.filter(nonblank_stripped_lines(text), lambda l: F.length(l) <= 50)
-    return F.transform(kept, normalize_heading)
+    return short_headings(nonblank_stripped_lines(text))
+
+
+def short_headings(lines: Column) -> Column:
+    return F.transform(F.filter(lines, lambda l: F.length(l) <= 50), normalize_heading)
 
 
 def find_sections(text: Column | str) -> Column:
@@ -116,7 +119,6 @@ def scorecard(df: DataFrame, text_col: str = "text", filename_col: str = "filena
     base = df.select(
         *keep,
         word_count(text_col).alias("word_count"),
-        heading_lines(text_col).alias("_heads"),
         nonblank_stripped_lines(text_col).alias("_lines"),
         has_email(text_col).alias("_email"),
         has_phone(text_col).alias("_phone"),
@@ -125,7 +127,8 @@ def scorecard(df: DataFrame, text_col: str = "text", filename_col: str = "filena
         unusual_ratio(text_col).alias("_ratio"),
     )
     lines = F.col("_lines")
-    feats = (base.withColumn("sections", sections_from_headings(F.col("_heads")))
+    feats = (base.withColumn("_heads", short_headings(lines))
+                 .withColumn("sections", sections_from_headings(F.col("_heads")))
                  .withColumn("_n_lines", F.size(lines))
                  .withColumn("_longest", F.coalesce(F.array_max(F.transform(lines, lambda l: F.length(l))),
                                                     F.lit(0)))

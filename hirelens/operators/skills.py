@@ -8,13 +8,15 @@ time, so detection is a narrow projection evaluated once per document
 
 from __future__ import annotations
 
+import functools
+import operator
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import col, normalize_text, py_round2
+from ..functions.text import normalize_text, py_round2, sql_name, sql_text
 
 # An alias counts only when not glued to a word character, '+' or '#'.
 _EDGE = r"[\p{L}\p{N}_+#]"
@@ -37,23 +39,28 @@ def alias_pattern(aliases: list[str]) -> str:
 
 def skill_present(norm_text: Column, aliases: list[str]) -> Column:
     """Cheap ``contains`` prefilter first; the regex runs only on candidates."""
-    aliases = [_norm(a) for a in aliases if a]
-    if not aliases:
-        return F.lit(False)
-    pre = None
-    for a in aliases:
-        c = norm_text.contains(a)
-        pre = c if pre is None else (pre | c)
+    pre = functools.reduce(operator.or_, [norm_text.contains(a) for a in aliases])
     return pre & norm_text.rlike(alias_pattern(aliases))
 
 
 def find_skills(norm_text: Column | str, catalog: dict[str, list[str]]) -> Column:
-    """Sorted canonical names of the skills found in an already normalized text."""
-    t = col(norm_text)
-    hits = [F.when(skill_present(t, aliases), F.lit(name)) for name, aliases in catalog.items()]
-    if not hits:
+    """Sorted canonical names of the skills found in an already normalized text.
+
+    For a named column one SQL expression is parsed: building it from hundreds of Column
+    calls takes longer than most queries' work."""
+    catalog = {name: [_norm(a) for a in own if a] for name, own in catalog.items()}
+    catalog = {name: own for name, own in catalog.items() if own}
+    if not catalog:
         return F.array().cast("array<string>")
-    return F.array_sort(F.filter(F.array(*hits), lambda x: x.isNotNull()))
+    if isinstance(norm_text, Column):
+        hits = [F.when(skill_present(norm_text, own), F.lit(name)) for name, own in catalog.items()]
+        return F.array_sort(F.filter(F.array(*hits), lambda x: x.isNotNull()))
+    text = sql_name(norm_text)
+    hits = []
+    for name, own in catalog.items():
+        near = " OR ".join(f"contains({text}, {sql_text(a)})" for a in own)
+        hits.append(f"CASE WHEN ({near}) AND {text} RLIKE {sql_text(alias_pattern(own))} THEN {sql_text(name)} END")
+    return F.expr(f"array_sort(filter(array({', '.join(hits)}), x -> x IS NOT NULL))")
 
 
 def with_skills(df, text_col: str, prefix: str = "",
@@ -69,9 +76,8 @@ def with_skills(df, text_col: str, prefix: str = "",
     soft = fixed.SOFT_SKILLS if soft is None else soft
     norm = f"__norm_{prefix}"
     out = df.withColumn(norm, normalize_text(text_col))
-    return (out.withColumn(f"{prefix}technical_skills", find_skills(norm, technical))
-               .withColumn(f"{prefix}soft_skills", find_skills(norm, soft))
-               .drop(norm))
+    return out.withColumns({f"{prefix}technical_skills": find_skills(norm, technical),
+                            f"{prefix}soft_skills": find_skills(norm, soft)}).drop(norm)
 
 
 def match_percentage(required: Column, present: Column) -> Column:
