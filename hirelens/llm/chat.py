@@ -7,13 +7,15 @@ backslash after its first character (one more if it has some already), which
 ``parse`` takes back: any text comes out as it went in.
 
 Windows: prefix sums of the turns' tokens choose the spans. A turn starts at
-offset P of its conversation and belongs to span floor(P / STRIDE); turns of more
-than ``LONG_TURN`` tokens stand alone and separate the spans beside them. So a
-span's turns hold at most STRIDE + LONG_TURN tokens, and where one begins needs
+offset P of its conversation and belongs to span floor(P / stride); turns of more
+than ``long`` tokens stand alone and separate the spans beside them. So a
+span's turns hold at most stride + long tokens, and where one begins needs
 only the sums, not the spans before it. Every window after the first starts with
 the conversation's leading system turn, then up to ``HISTORY`` turns before the
-span (each at most ``HISTORY_TURN`` tokens). Only new assistant turns are under
-the loss mask; repeated ones are not.
+span (each at most ``history`` tokens, and as far as the budget goes). These
+three follow from what a conversation's system turn leaves of the budget, so a
+window exceeds it only if a turn with the system turn is too long by itself.
+Only new assistant turns are under the loss mask; repeated ones are not.
 
 Sums are taken per block of a range partitioning and joined with the totals of
 the blocks before, so a conversation with a third of all rows spreads over many
@@ -40,7 +42,7 @@ from hirelens.llm.counts import counter
 BUDGET = 2048
 HISTORY, HISTORY_TURN = 2, 128
 LONG_TURN = 512
-STRIDE = BUDGET - LONG_TURN - HISTORY * HISTORY_TURN - 256      # 256 for the system turn
+SYSTEM_TURN = 256               # a shorter system turn leaves no more room than one of this size
 SALTS = 16
 
 _NAMES = {"user": "INST", "assistant": "OUT", "system": "SYS"}
@@ -100,24 +102,41 @@ def _with_tokens(turns: DataFrame, path: str, pattern: str) -> DataFrame:
     return turns.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in turns.schema) + ", tokens long")
 
 
+def _limits(system: F.Column) -> dict[str, F.Column]:
+    """``stride``, ``long`` and ``history`` of a conversation whose system turn has so many tokens."""
+    room = F.greatest(F.lit(BUDGET) - F.greatest(system, F.lit(SYSTEM_TURN)), F.lit(1))
+    history = F.least(F.lit(HISTORY_TURN), F.floor(room / 8))
+    rest = room - HISTORY * history
+    long = F.least(F.lit(LONG_TURN), F.floor(rest / 2))
+    return {"stride": F.greatest(rest - long, F.lit(1)), "long_turn": long, "history": history}
+
+
 def placed_turns(conversations: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Every turn with its ordinal and its span: (c, conv_id, ord, role, text, tokens, long, longs, span)."""
+    """Every turn with its ordinal and its span: (c, conv_id, ord, role, text, tokens, long, longs, span, history)."""
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("c"),
         F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = turns.withColumn("tie", F.xxhash64("role", "text")).repartitionByRange("c", "turn", "tie") \
         .withColumn("block", F.spark_partition_id())
-    rows = keep(_with_tokens(dealt, path, pattern), "turns").withColumn("long", (F.col("tokens") > LONG_TURN).cast("int"))
+    rows = keep(_with_tokens(dealt, path, pattern), "turns")
+    head = rows.groupBy("c").agg(F.min(F.struct("turn", "tie", "role", "tokens")).alias("h")).select(
+        "c", F.when(F.col("h.role") == "system", F.col("h.tokens")).otherwise(0).alias("system"))
+    blocks = rows.groupBy("c", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).join(head, "c").select(
+        "c", "block", "n", "t", *(v.alias(k) for k, v in _limits(F.col("system")).items()))
+    blocks = keep(blocks, "blocks")
+    limits = blocks.select("c", "block", "stride", "long_turn", "history")
+    rows = rows.join(limits, ["c", "block"]).withColumn("long", (F.col("tokens") > F.col("long_turn")).cast("int"))
     inside = Window.partitionBy("c", "block").orderBy("turn", "tie").rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns({"n_": F.count("*").over(inside), "t_": F.sum("tokens").over(inside), "l_": F.sum("long").over(inside)})
     earlier = Window.partitionBy("c").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    blocks = rows.groupBy("c", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.sum("long").alias("l")).select(
+    longs = rows.select("c", "block", "long").groupBy("c", "block").agg(F.sum("long").alias("l"))
+    sums = blocks.select("c", "block", "n", "t").join(longs, ["c", "block"]).select(
         "c", "block", *(F.coalesce(F.sum(x).over(earlier), zero).alias(f"{x}0") for x in "ntl"))
-    met = local.join(blocks, ["c", "block"])
+    met = local.join(sums, ["c", "block"])
     start = F.col("t0") + F.col("t_") - F.col("tokens")
     return met.select("c", "conv_id", (F.col("n0") + F.col("n_") - 1).alias("ord"), "role", "text", "tokens", "long",
-                      (F.col("l0") + F.col("l_")).alias("longs"), F.floor(start / STRIDE).cast("long").alias("span"))
+                      (F.col("l0") + F.col("l_")).alias("longs"), F.floor(start / F.col("stride")).cast("long").alias("span"), "history")
 
 
 def windows(conversations: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -126,7 +145,7 @@ def windows(conversations: DataFrame, path: str, pattern: str) -> DataFrame:
     rows = keep(placed_turns(conversations, path, pattern), "placed")
     turn = F.struct("ord", "role", "text").alias("turn")
     spans = keep(rows.groupBy("c", "conv_id", "long", "longs", "span").agg(
-        F.min("ord").alias("first"), F.sum("tokens").alias("tokens"), F.sort_array(F.collect_list(turn)).alias("new")), "spans")
+        F.min("ord").alias("first"), F.sum("tokens").alias("tokens"), F.max("history").alias("history"), F.sort_array(F.collect_list(turn)).alias("new")), "spans")
     heads = rows.where("ord = 0 AND role = 'system'").select("c", "tokens", turn).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     lead = spans.where("first > 0").select("c", "first", (F.col("first") % SALTS).cast("int").alias("salt")).join(heads, ["c", "salt"]).select(
@@ -136,17 +155,19 @@ def windows(conversations: DataFrame, path: str, pattern: str) -> DataFrame:
     past = back.join(rows.where("NOT (ord = 0 AND role = 'system')"), ["c", "ord"]).select(
         "c", "first", F.struct(turn, "tokens").alias("t")).groupBy("c", "first").agg(F.sort_array(F.collect_list("t")).alias("past"))
     full = spans.join(lead, ["c", "first"], "left").join(past, ["c", "first"], "left").select(
-        "conv_id", "c", "first", "tokens", "new", "lead", "past")
+        "conv_id", "c", "first", "tokens", "history", "new", "lead", "past")
 
     def run(batches):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 again = []
+                tokens = row["tokens"] + (row["lead"]["tokens"] if row["lead"] else 0)
                 for t in reversed(row["past"] or ()):       # an overlong turn ends the history before it
-                    if t["tokens"] > HISTORY_TURN:
+                    if t["tokens"] > row["history"] or tokens + t["tokens"] > BUDGET:
                         break
                     again.insert(0, t)
+                    tokens += t["tokens"]
                 if row["lead"]:
                     again.insert(0, row["lead"])
                 text, loss = "<s>", []
@@ -155,7 +176,6 @@ def windows(conversations: DataFrame, path: str, pattern: str) -> DataFrame:
                     if k >= len(again) and t["role"] == "assistant":
                         loss.append({"start": len(text) + a, "end": len(text) + b})
                     text += shown
-                tokens = row["tokens"] + sum(x["tokens"] for x in again)
                 out.append({"conv_id": row["conv_id"], "c": row["c"], "first": row["first"], "n_repeated": len(again),
                             "tokens": tokens, "over_budget": tokens > BUDGET, "text": text, "loss": loss})
             yield pa.RecordBatch.from_pylist(out, schema=_WINDOW)

@@ -13,8 +13,10 @@ ends in the text decides.
 The benchmark is the query set: it is read in blocks of about ``BLOCK_BYTES``
 (a block's automaton is what a task holds), each block against all documents.
 
-Defined results: null or empty texts and items never match; items shorter than
-``MIN_BYTES`` after normalisation are not searched (single common words);
+An item of fewer than ``MIN_BYTES`` bytes would have pieces of a letter or two: it is
+searched as a whole, exactly and between word borders.
+
+Defined results: null or empty texts and items never match; every other item is searched;
 repeated documents and items each give their rows; null ids stay null; an empty
 table on either side gives no rows; extra columns are ignored.
 """
@@ -84,7 +86,11 @@ class Matcher:
         for item_id, text in items:
             pattern = normalise(text)
             m = len(pattern)
+            if not m:
+                continue
             if m < min_bytes:
+                pieces.setdefault(f" {pattern.decode('latin-1')} ", []).append((len(self.items), -1, 0, b"", None))
+                self.items.append((item_id, pattern, 0, None))
                 continue
             k = min(math.floor(error_rate * m), m // 2)
             n = k + 1 + (k + 1) % 2
@@ -104,10 +110,14 @@ class Matcher:
         """(item_id, distance) of the items found in a text."""
         if not self.items:
             return []
-        norm = normalise(text)
+        norm = b" " + normalise(text) + b" "            # so every word has borders
         spans: dict[int, list[tuple[int, int]]] = {}
+        short: set[int] = set()
         for end, (size, places) in self.automaton.iter(norm.decode("latin-1")):
             for at, offset, second, other, masks in places:
+                if offset < 0:
+                    short.add(at)
+                    continue
                 start = end + 1 - size
                 beside = norm[max(0, start - len(other) - 1): start] if second else norm[end + 1: end + 2 + len(other)]
                 if other not in beside and myers(other, masks, beside) > 1:
@@ -120,7 +130,7 @@ class Matcher:
                     own[-1] = (own[-1][0], max(own[-1][1], b))
                 else:
                     own.append((a, b))
-        found = []
+        found = [(self.items[at][0], 0) for at in sorted(short)]
         for at, places in spans.items():
             item_id, pattern, k, masks = self.items[at]
             best = k + 1

@@ -251,8 +251,29 @@ def fingerprint_hex(fp: F.Column) -> F.Column:
 
 
 def representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component (all columns, rows
-    without an id included; of rows that repeat one doc_id all stay)."""
-    gone = near_duplicates(docs, shingle, max_bits).where("component_id <> doc_id").select(
-        F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    """One row of each component, with all its columns: the one of the least doc_id; of several rows
+    of that id the one with the least key, of equal rows one. Rows without an id come last, so one
+    of them stays only if its component has no id at all."""
+    keys = [F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("__k1"),
+            F.xxhash64(F.lit(7), F.col("text"), F.col("doc_id").cast("long")).alias("__k2")]
+
+    def run(batches):
+        for batch in batches:
+            data, offs = text_bytes(batch.column(3))
+            raw = data.tobytes()
+            fp = np.fromiter((simhash(raw[a:b], shingle) for a, b in zip(offs[:-1], offs[1:])), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp.view(np.int64))], ["doc_id", "__k1", "__k2", "fp"])
+
+    rows = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, "text").mapInArrow(
+        run, "doc_id long, __k1 long, __k2 long, fp long"), "fingerprints")
+    comp = keep(components(links(rows.select("fp").distinct(), max_bits)), "components")
+    named = rows.join(comp, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("__k1"), F.col("__k2")))
+    stays = keep(named.groupBy("root").agg(first.alias("f")).select("f.__k1", "f.__k2"), "stays")
+    kept = docs.select("*", *keys).join(stays, ["__k1", "__k2"], "left_semi")
+    twins = keep(rows.groupBy("__k1", "__k2").count().where("count > 1").join(
+        stays, ["__k1", "__k2"], "left_semi").select("__k1", "__k2"), "twins")
+    if not twins.isEmpty():                             # equal rows: only these are brought together
+        kept = kept.join(twins, ["__k1", "__k2"], "left_anti").unionByName(
+            kept.join(twins, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]))
+    return kept.select(*docs.columns)

@@ -97,6 +97,18 @@ def test_simhash_against_brute_force(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_representatives_lose_no_text_and_keep_one_row_each(spark):
+    rows = [(1, "a b c d e", 0), (3, "q w e r t y", 1), (3, "a b c d e", 2), (None, "a b c d e", 3), (None, "lone row of no id", 4),
+            (9, "twice the same row", 5), (9, "twice the same row", 6), (None, "no id twice here", 7), (None, "no id twice here", 8),
+            (4, None, 9), (5, "", 10)]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    assert kept.columns == ["doc_id", "text", "n"]
+    got = sorted(str((r.doc_id, r.text)) for r in kept.collect())
+    want = [(1, "a b c d e"), (3, "q w e r t y"), (None, "lone row of no id"), (9, "twice the same row"),
+            (None, "no id twice here"), (4, None)]
+    assert got == sorted(map(str, want))
+
+
 def test_tree_shards_and_forest_lose_no_link():
     rng = np.random.default_rng(0)
     centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)

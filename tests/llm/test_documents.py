@@ -174,6 +174,8 @@ def test_contamination_against_brute_force(spark):
                 far = edit_distance_in(pattern, text)
                 if far <= int(decontaminate.ERROR_RATE * len(pattern)):
                     want.append(str((d, k, far)))
+            elif pattern and b" " + pattern + b" " in b" " + text + b" ":     # short items: exact, between word borders
+                want.append(str((d, k, 0)))
     got = [str(tuple(r)) for r in decontaminate.contaminated(table, benchmark).collect()]
     assert sorted(got) == sorted(want) and any(x[-2] != "0" for x in want)
     kept = decontaminate.clean(table, benchmark)
@@ -183,6 +185,15 @@ def test_contamination_against_brute_force(spark):
     assert decontaminate.contaminated(table, benchmark.limit(0)).count() == 0 == decontaminate.contaminated(table.limit(0), benchmark).count()
 
 
+def test_short_items_are_searched(spark):
+    docs = spark.createDataFrame([(1, "Q: what is 12\nplus 30?"), (2, "somewhat is 12 plus 30"), (3, "what is 12 plus 301"),
+                                  (4, "What is 12 + 30"), (5, "x")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "What is 12 plus 30"), (8, "..."), (9, "X")], "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
+    assert got == [(1, 7, 0), (5, 9, 0)]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [2, 3, 4]
+
+
 def test_blocks_of_a_large_benchmark_agree(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     benchmark = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")

@@ -181,3 +181,28 @@ def test_windows_and_digests(spark):
     assert not any(w.over_budget and len(chat.parse(w.text)) - w.n_repeated > 1 for w in wins)
     empty = chat.windows(talks.limit(0), BPE, public_tokenizers.PATTERN)
     assert chat.digests(empty).count() == 0
+
+
+def test_windows_keep_the_budget(spark):
+    """Only a turn that is too long by itself, with the system turn, makes a window exceed it."""
+    rng = random.Random(6)
+    rows = []
+    for c, system in enumerate((0, 10, 250, 300, 806, 1500, 1900, 2030, 2500)):
+        if system:
+            rows.append((c, 0, "system", "word " * system))
+        for t in range(1, 60):
+            n = rng.choice([1, 20, 100, 100, 100, 126, 130, 500, 515, 700]) if c % 2 else 100
+            rows.append((c, t, rng.choice(["user", "assistant"]), "word " * n))
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    size = {}
+    for r in chat.placed_turns(talks, BPE, public_tokenizers.PATTERN).collect():
+        size[r.conv_id, r.ord] = r.tokens, r.role
+    seen = 0
+    for w in chat.windows(talks, BPE, public_tokenizers.PATTERN).collect():
+        system = size[w.conv_id, 0][0] if size[w.conv_id, 0][1] == "system" else 0
+        new = len(chat.parse(w.text)) - w.n_repeated
+        own = [size[w.conv_id, w.first + k][0] for k in range(new)]
+        assert w.tokens <= chat.BUDGET or (new == 1 and own[0] + (system if w.first else 0) > chat.BUDGET) or (
+            w.first == 0 and own[0] > chat.BUDGET), (w.conv_id, w.first, w.tokens, own, system)
+        seen += new
+    assert seen == len(rows)
