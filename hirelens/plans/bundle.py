@@ -10,6 +10,7 @@ from ..operators.match import match_features, match_pairs
 from ..operators.scorecard import scorecard
 from ..session import is_small, keep
 from ..sources.ingest import failure_message, file_gate, input_gate_flags, resume_record
+from .sink import write_version
 
 
 def safe_score(*values) -> F.Column:
@@ -135,18 +136,35 @@ def latest_per_session(bundles: DataFrame, session_col: str = "session_id", ts_c
 def latest_bundles(applications: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
     """The session state: the last successful application of each session is chosen
     from narrow rows and gate flags, and only those are analysed."""
-    rf, jf = keep(resume_features(resumes), "resume-features"), keep(job_features(jobs), "job-features")
+    return latest_of_features(applications, keep(resume_features(resumes), "resume-features"), keep(job_features(jobs), "job-features"))
+
+
+def latest_of_features(applications: DataFrame, rf: DataFrame, jf: DataFrame) -> DataFrame:
+    """:func:`latest_bundles` from stored feature tables."""
     keys = with_errors(applications, rf, jf, is_small(jf)).select("session_id", "ts", "application_id", "resume_id", "job_id", "error")
     last = latest_per_session(keys).withColumn("error", F.lit(None).cast("string"))
     return results(last, rf, jf)
 
 
 def write_bundles(bundles: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet sink, nested results kept as structs (job and résumé by their keys; a new
+    """Plain Parquet files, nested results kept as structs (job and résumé by their keys; a new
     analysis starts without a model answer)."""
     bundles.write.mode(mode).parquet(path)
 
 
+def store_bundles(bundles: DataFrame, path: str) -> int:
+    """The same as a versioned table: a write that fails leaves the last bundles in place, and
+    their readers are not disturbed. Read with ``read_version``."""
+    return write_version(bundles, path)
+
+
+def with_answers(state: DataFrame, answers: DataFrame) -> DataFrame:
+    """The session state with the model's answer: ``answers(session_id, application_id, result)``. A new
+    analysis clears the answer, so only an answer to the session's last application is shown."""
+    a = answers.groupBy("session_id", "application_id").agg(F.max("result").alias("result"))
+    return state.join(a, ["session_id", "application_id"], "left")
+
+
 def to_json_rows(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """JSON export of nested results (scorecard, redaction counts)."""
     return df.select(*keys, *[F.to_json(F.col(c)).alias(c) for c in cols])

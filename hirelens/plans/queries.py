@@ -8,6 +8,7 @@ both engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +26,13 @@ from ..operators.scorecard import (check_rows, find_sections, recommendations, s
                                    section_lists)
 from ..operators.similarity import counted_terms, pair_similarity, term_frequencies, term_rows
 from ..operators.skills import with_skills
-from ..session import is_small, keep
+from ..session import is_small, keep, shared_dir
 from ..sources import ingest
 from ..sources import tables as T
 from . import oracle as O
-from .bundle import analyze, applied, latest_bundles, prepare
+from .bundle import (analyze, applied, job_features, latest_bundles, latest_of_features, prepare, resume_features,
+                     store_bundles, to_json_rows, with_answers)
+from .sink import read_version
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -258,6 +261,41 @@ def latest_bundle(spark, sf):
                     *[_long(F.col(c)).alias(c) for c in _SCORES])
 
 
+def session_state(spark, sf):
+    """The bundles as a sink holds them, with the model's answers: written twice, the second time
+    with all applications, read back, and an answer to an earlier application is gone."""
+    apps = T.applications(spark, sf)
+    path = f"{shared_dir(spark)}/session-state-{uuid.uuid4().hex}"
+    rf, jf = keep(resume_features(_uploads(spark, sf)), "resume-features"), keep(job_features(T.jobs(spark, sf)), "job-features")
+    for some in (apps.where("application_id % 2 = 0"), apps):
+        store_bundles(latest_of_features(some, rf, jf), path)
+    told = _answers(spark, sf).where("analysis IS NOT NULL AND error IS NULL").select(
+        "application_id", F.col("analysis.target_role").alias("result")).join(apps.select("application_id", "session_id"), "application_id")
+    b = with_answers(read_version(spark, path), told)
+    return b.select("session_id", "application_id", *[_long(F.col(c)).alias(c) for c in _SCORES], F.col("result").alias("target_role"))
+
+
+def json_export(spark, sf):
+    """The shown JSON documents: scorecard without its checks, and redaction counts."""
+    card = _card(spark, sf)
+    red = redact(card, "text").select("resume_id", F.struct("score", "rating", "word_count", "missing_sections", "filename").alias("ats"), "redactions")
+    return to_json_rows(red, ["resume_id"], ["ats", "redactions"])
+
+
+def file_inventory(spark, sf):
+    """The uploaded files' bodies written to folders, listed by prefix and read back."""
+    files = T.view(spark, sf, "v_files").select((F.col("file_id") % 16).cast("int").alias("folder"), F.coalesce("body", F.lit("")).alias("value"))
+    at = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    files.repartition("folder").write.partitionBy("folder").text(at)
+    uri = at if ":" in at.split("/")[0] else f"file://{at}"
+    prefixes = spark.range(16).select(F.concat(F.lit(f"{uri}/folder="), F.col("id")).alias("prefix"))
+    listed = ingest.list_files(prefixes).where(F.col("path").rlike(r"/part-[^/]*$"))
+    per = listed.groupBy(F.regexp_extract("path", "folder=([0-9]+)", 1).cast("long").alias("folder")).agg(F.sum("length").alias("bytes"))
+    held = ingest.read_files(spark, at, inventory=listed).groupBy(
+        F.regexp_extract("path", "folder=([0-9]+)", 1).cast("long").alias("folder")).agg(F.sum(F.octet_length("content")).cast("long").alias("content_bytes"))
+    return per.join(held, "folder")
+
+
 # ---------------------------------------------------------------------------
 # Language-model step (table side)
 # ---------------------------------------------------------------------------
@@ -340,6 +378,9 @@ QUERIES: dict[str, Query] = {
     "resume_gates": resume_gates,
     "bundle": bundle,
     "latest_bundle": latest_bundle,
+    "session_state": session_state,
+    "json_export": json_export,
+    "file_inventory": file_inventory,
     "llm_requests": llm_requests,
     "llm_validation": llm_validation,
     "llm_bullets": llm_bullets,
@@ -638,6 +679,34 @@ FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, app
 WHERE rn = 1"""
 
 
+def _sq_session_state():
+    """Answers count only for the session's last application."""
+    return f"""WITH {_bundle_ctes()},
+{_answers_cte()},
+last AS (SELECT session_id, application_id, {', '.join(_SCORES)}
+         FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, application_id DESC) AS rn FROM b WHERE error IS NULL)
+         WHERE rn = 1)
+SELECT last.*, json_extract_string(ok.output_text, '$.target_role') AS target_role
+FROM last LEFT JOIN ok ON ok.application_id = last.application_id AND ok.error IS NULL"""
+
+
+def _sq_json_export():
+    counts = " || ',' || ".join(f"""'"{k}":' || CAST(c_{k} AS VARCHAR)""" for k in fixed.REDACTION_KEYS)
+    missing = """'[' || CASE WHEN missing_sections = '' THEN '' ELSE '"' || replace(missing_sections, ',', '","') || '"' END || ']'"""
+    return f"""WITH {_card_ctes()},
+{O.redaction_ctes(O.v('v_resumes'))}
+SELECT card.resume_id, '{{"score":' || CAST(score AS VARCHAR) || ',"rating":"' || {O.rating('score')} || '","word_count":' || CAST(word_count AS VARCHAR)
+       || ',"missing_sections":' || {missing} || ',"filename":"resume_' || CAST(card.resume_id AS VARCHAR) || card.extension || '"}}' AS ats,
+       '{{' || {counts} || '}}' AS redactions
+FROM card JOIN red ON red.resume_id = card.resume_id"""
+
+
+def _sq_file_inventory():
+    return f"""SELECT file_id % 16 AS folder, CAST(sum(octet_length(encode(coalesce(body, ''))) + 1) AS BIGINT) AS bytes,
+       CAST(sum(octet_length(encode(coalesce(body, ''))) + 1) AS BIGINT) AS content_bytes
+FROM {O.v('v_files')} GROUP BY 1"""
+
+
 def _valid_sql(t):
     def s(path, base=t):
         return f"coalesce(json_type({base}, {_lit(path)}) = 'VARCHAR', false)"
@@ -788,6 +857,9 @@ ORACLE: dict[str, Callable[[], str]] = {
     "llm_result": _sq_llm_result,
     "bundle": _sq_bundle,
     "latest_bundle": _sq_latest_bundle,
+    "session_state": _sq_session_state,
+    "json_export": _sq_json_export,
+    "file_inventory": _sq_file_inventory,
     "llm_validation": _sq_llm_validation,
     "llm_bullets": _sq_llm_bullets,
     "llm_evidence": _sq_llm_evidence,

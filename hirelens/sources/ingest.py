@@ -47,6 +47,32 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True,
                        "content").unionByName(empty)
 
 
+def list_files(prefixes: DataFrame, prefix_col: str = "prefix") -> DataFrame:
+    """``(path, length, modificationTime)`` of every file under the given prefixes (URIs of a store
+    that pyarrow reads): an inventory for :func:`read_files`. Each prefix is listed by a task, so no
+    list passes through the driver; zero-byte files are listed like all others. A prefix that
+    does not exist has no files; files under two of the prefixes are listed once."""
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                if uri is None:
+                    continue
+                store, at = fs.FileSystem.from_uri(uri)
+                scheme = uri.split("://")[0] + "://" if "://" in uri else "file://" if uri.startswith("/") else uri.split(":")[0] + "://"
+                own = [f for f in store.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True)) if f.type == fs.FileType.File]
+                for k in range(0, len(own), 10_000):
+                    part = own[k: k + 10_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([scheme + f.path for f in part]), pa.array([f.size for f in part], pa.int64()),
+                         pa.array([f.mtime for f in part], pa.timestamp("us", tz="UTC"))], ["path", "length", "modificationTime"])
+
+    listed = prefixes.select(F.col(prefix_col).alias("prefix")).distinct().mapInArrow(
+        run, "path string, length long, modificationTime timestamp")
+    return listed.dropDuplicates(["path"])
+
+
 def file_name(path: Column | str) -> Column:
     return F.regexp_extract(col(path), r"([^/]*)$", 1)
 
