@@ -18,7 +18,8 @@ Learning, on the documents outside the held-out fold, in passes over the text:
 3. fold 0 is unseen by then: each task trains mixer and map online over its
    documents, batch by batch; the tasks' weights are averaged, the maps' and
    further context counts are added up;
-4. all documents are scored with the tables of all training folds.
+4. all documents are scored with the tables of all training folds. The model is fixed by
+   then, so a byte's cost follows from its contexts and is worked out once (``Costs``).
 
 Tables have fixed sizes (``BITS``), so model and broadcast are bounded.
 The base score needs the count of every word: up to ``COMMON`` most frequent ones
@@ -44,9 +45,10 @@ from pyspark.sql import functions as F
 from hirelens.llm.common import as_long, doc_groups, hash_words, keep, lower_ascii, mix, ragged, text_bytes, word_bounds
 
 CHUNK = 1 << 16                 # bytes per vectorised step: keeps its arrays in cache
-LOOKBACK = 1 << 12              # bytes that a part of a long text sees before its own
+MEMO = 20                       # bits of a task's table of byte costs
 COMMON = 1 << 18
 BLOCK = 1 << 17                 # cells of a table block
+TOGETHER = 64                   # tasks whose blocks are added up first
 MOST = 1 << 29                  # decisions after which a task gives out its cells
 ORDERS = ("o2", "o3", "o4", "word")
 BITS = {"o2": 19, "o3": 21, "o4": 22, "word": 22}
@@ -125,21 +127,43 @@ def _before(text: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _contexts(text: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-    """A 24-bit context per byte and predictor."""
-    first = offs[:-1]
-    b = [_before(text, first, k).astype(np.uint32) for k in (1, 2, 3, 4)]
-    c2 = b[0] | b[1] << np.uint32(8)
-    c3 = c2 | b[2] << np.uint32(16)
-    c4 = c3 | b[3] << np.uint32(24)
-    at = np.arange(len(text))
+def _word_state(text: np.ndarray, carry: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray]:
+    """(sum, length) of the word so far before each byte; ``carry`` is that of the word that goes on at the start."""
+    n = len(text)
+    at = np.arange(n)
     after = np.flatnonzero((text == 32) | (text == 10)) + 1
-    begin = np.concatenate([at[:1], after[after < len(text)]])
-    rel = at - np.repeat(begin, np.diff(np.append(begin, len(text))))
+    begin = np.concatenate([at[:1], after[after < n]])
+    size = np.diff(np.append(begin, n))
+    rel = at - np.repeat(begin, size)
+    if n:
+        rel[: size[0]] += carry[1]
     vals = np.cumsum((text.astype(np.uint32) + np.uint32(1)) * _WORD_POWERS[np.minimum(rel, len(_WORD_POWERS) - 1)], dtype=np.uint32)
-    before = np.concatenate([np.zeros(1, np.uint32), vals[:-1]])
-    word = before - before[at - rel] + rel.astype(np.uint32)
-    return [_mix32(c + np.uint32(i * 0x51ED270B & 0xFFFFFFFF)) >> np.uint32(8) for i, c in enumerate((c2, c3, c4, word))]
+    before = np.concatenate([np.zeros(1, np.uint32), vals[:-1]])[:n]
+    total = before - np.repeat(before[begin], size)
+    if n:
+        total[: size[0]] += np.uint32(carry[0])
+    return total, rel
+
+
+def _raw_contexts(text: np.ndarray, offs: np.ndarray, carry: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray]:
+    """Per byte the four bytes before it, and the 24-bit context of the word so far."""
+    first = offs[:-1]
+    b = [_before(text, first, k).astype(np.uint32) for k in (1, 2, 3, 4)]
+    total, rel = _word_state(text, carry)
+    return (b[0] | b[1] << np.uint32(8) | b[2] << np.uint32(16) | b[3] << np.uint32(24),
+            _mix32(total + rel.astype(np.uint32) + np.uint32(3 * 0x51ED270B & 0xFFFFFFFF)) >> np.uint32(8))
+
+
+def _byte_contexts(last: np.ndarray) -> list[np.ndarray]:
+    """The 24-bit contexts of the last two, three and four bytes."""
+    return [_mix32((last & np.uint32(m)) + np.uint32(i * 0x51ED270B & 0xFFFFFFFF)) >> np.uint32(8)
+            for i, m in enumerate((0xFFFF, 0xFFFFFF, 0xFFFFFFFF))]
+
+
+def _contexts(text: np.ndarray, offs: np.ndarray, carry: tuple[int, int] = (0, 0)) -> list[np.ndarray]:
+    """A 24-bit context per byte and predictor."""
+    last, word = _raw_contexts(text, offs, carry)
+    return [*_byte_contexts(last), word]
 
 
 def _mix32(x: np.ndarray) -> np.ndarray:
@@ -159,15 +183,50 @@ def _slots(order: str, context: np.ndarray, node_mix: np.ndarray) -> np.ndarray:
 class Decisions:
     """The binary decisions of normalised texts; the first ``skip`` bytes only serve as context."""
 
-    def __init__(self, text: np.ndarray, offs: np.ndarray, code: Code, skip: int = 0):
-        contexts = _contexts(text, offs)
-        text, offs = text[skip:], np.maximum(offs - skip, 0)
+    def __init__(self, text: np.ndarray, offs: np.ndarray, code: Code, skip: int = 0, carry: tuple[int, int] = (0, 0)):
+        contexts = _contexts(text, offs, carry)
+        self._take(text[skip:], [c[skip:] for c in contexts], code)
+        self.offs = np.concatenate([[0], np.cumsum(code.size.take(text[skip:]))])[np.maximum(offs - skip, 0)]
+
+    def _take(self, text: np.ndarray, contexts: list[np.ndarray], code: Code) -> np.ndarray:
         size = code.size.take(text)
         at = ragged(code.start.take(text), size)
         self.bit, self.node = code.bit.take(at), code.node.take(at)
         nodes = code.node_mix.take(at)
-        self.slots = [_slots(o, np.repeat(c[skip:], size), nodes) for o, c in zip(ORDERS, contexts)]
-        self.offs = np.concatenate([[0], np.cumsum(size)])[offs]
+        self.slots = [_slots(o, np.repeat(c, size), nodes) for o, c in zip(ORDERS, contexts)]
+        return size
+
+    @classmethod
+    def of_bytes(cls, text: np.ndarray, contexts: list[np.ndarray], code: Code) -> tuple[Decisions, np.ndarray]:
+        """The decisions of single bytes with their contexts, and the first one of each."""
+        own = cls.__new__(cls)
+        size = own._take(text, contexts, code)
+        return own, np.cumsum(size) - size
+
+
+class Costs:
+    """Log probabilities of bytes under a model that no longer changes.
+
+    A byte's cost follows from the four bytes before it, the context of the word so far and the byte:
+    64 bits. Costs once worked out stay in a direct-mapped table, told apart by all 64 bits."""
+
+    def __init__(self, code: Code, tables: list[np.ndarray], mixer: Mixer, fix: np.ndarray):
+        self.code, self.tables, self.mixer, self.fix = code, tables, mixer, fix
+        self.key = np.full(1 << MEMO, 0xFFFFFFFFFFFFFFFF, np.uint64)      # no text has four bytes 255
+        self.cost = np.zeros(1 << MEMO)
+
+    def of(self, text: np.ndarray, offs: np.ndarray, skip: int = 0, carry: tuple[int, int] = (0, 0)) -> np.ndarray:
+        last, word = (c[skip:] for c in _raw_contexts(text, offs, carry))
+        text = text[skip:]
+        key = last.astype(np.uint64) << np.uint64(32) | (word << np.uint32(8) | text).astype(np.uint64)
+        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MEMO)).astype(np.int64)
+        out = self.cost.take(slot)
+        new = np.flatnonzero(self.key.take(slot) != key)
+        if len(new):
+            d, first = Decisions.of_bytes(text[new], [*_byte_contexts(last[new]), word[new]], self.code)
+            out[new] = np.add.reduceat(self.mixer.cost(self.tables, self.fix, d), first)
+            self.key[slot[new]], self.cost[slot[new]] = key[new], out[new]
+        return out
 
 
 def texts_of(data: np.ndarray, offs: np.ndarray):
@@ -177,14 +236,19 @@ def texts_of(data: np.ndarray, offs: np.ndarray):
 
 
 def parts_of(text: np.ndarray, offs: np.ndarray):
-    """(bytes, offsets, skip): the texts at once, or a long text in parts with their look-back."""
+    """(bytes, offsets, skip, carry): the texts at once, or a long text in parts. A part starts with the
+    four bytes before it (``skip``) and carries on the word that it starts in."""
     if len(offs) > 2 or len(text) <= 2 * CHUNK:
-        yield text, offs, 0
+        yield text, offs, 0, (0, 0)
         return
+    carry, back = (0, 0), 0
     for p in range(0, len(text), CHUNK):
-        back = max(0, p - LOOKBACK)
         part = text[back: p + CHUNK]
-        yield part, np.array([0, len(part)]), p - back
+        yield part, np.array([0, len(part)]), p - back, carry
+        total, rel = _word_state(part, carry)
+        then = max(0, p + CHUNK - 4)
+        if then < len(text):
+            carry, back = (int(total[then - back]), int(rel[then - back])), then
 
 
 # ------------------------------------------------------------ counts
@@ -206,8 +270,8 @@ class Counts:
     def full(self) -> bool:
         return self.held > MOST
 
-    def add(self, text: np.ndarray, offs: np.ndarray, skip: int = 0) -> None:
-        for w, c in zip(self.waiting, _contexts(text, offs)):
+    def add(self, text: np.ndarray, offs: np.ndarray, skip: int = 0, carry: tuple[int, int] = (0, 0)) -> None:
+        for w, c in zip(self.waiting, _contexts(text, offs, carry)):
             w.append((c << np.uint32(8) | text)[skip:])
         self.n += len(text) - skip
         if self.n > 1 << 22:
@@ -382,12 +446,12 @@ def learn_mixer(docs: DataFrame, code: Code, tables) -> DataFrame:
         model, seen = tables.value, 0
         for batch in batches:
             for _, text, at, _, _ in texts_of(*text_bytes(batch.column(0))):
-                for part, offs, skip in parts_of(text, at):
-                    counts.add(part, offs, skip)
+                for part in parts_of(text, at):
+                    counts.add(*part)
                     if counts.full():
                         for block in counts.blocks():
                             yield _block_row(*block)
-                    d = Decisions(part, offs, code, skip)
+                    d = Decisions(*part[:2], code, *part[2:])
                     mixer.learn(model, d)
                     seen += len(d.bit)
         if seen:
@@ -402,7 +466,8 @@ def learn_mixer(docs: DataFrame, code: Code, tables) -> DataFrame:
 
 
 def add_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks with the same key added up, one after the other."""
+    """Blocks with the same key added up, one after the other: those of ``TOGETHER`` tasks first, then
+    their sums, so that no task adds up a block of every task."""
     def run(batches):
         key, total = None, None
         for batch in batches:
@@ -415,7 +480,9 @@ def add_blocks(blocks: DataFrame) -> DataFrame:
         if key is not None:
             yield _block_row(*key, _pack(total))
 
-    return blocks.where("cells IS NOT NULL").repartition("o", "block").sortWithinPartitions("o", "block").mapInArrow(run, _ROWS)
+    own = blocks.where("cells IS NOT NULL").withColumn("group", F.floor(F.spark_partition_id() / TOGETHER))
+    some = own.repartition("o", "block", "group").sortWithinPartitions("group", "o", "block").drop("group").mapInArrow(run, _ROWS)
+    return some.repartition("o", "block").sortWithinPartitions("o", "block").mapInArrow(run, _ROWS)
 
 
 def tables_of(blocks: DataFrame) -> list[np.ndarray]:
@@ -475,7 +542,7 @@ def score(docs: DataFrame) -> DataFrame:
     fix = mixer.refined()
 
     def run(batches):
-        tables, (common_h, common_log) = model.value, known.value
+        (common_h, common_log), costs = known.value, Costs(code, model.value, mixer, fix)
         for batch in batches:
             data, offs = text_bytes(batch.column(2))
             rid = batch.column(0).to_numpy()
@@ -498,10 +565,10 @@ def score(docs: DataFrame) -> DataFrame:
                 rare_rid.append(rid[owner[~hit]])
                 rare_h.append(all_h[~hit])
                 size[a: a + rows] = np.diff(at)
-                for part, part_offs, skip in parts_of(text, at):
-                    d = Decisions(part, part_offs, code, skip)
-                    run_sum = np.concatenate([[0], np.cumsum(mixer.cost(tables, fix, d))])
-                    log_p[a: a + rows] += run_sum[d.offs[1:]] - run_sum[d.offs[:-1]]
+                for part, part_offs, skip, carry in parts_of(text, at):
+                    run_sum = np.concatenate([[0], np.cumsum(costs.of(part, part_offs, skip, carry))])
+                    ends = np.maximum(part_offs - skip, 0)
+                    log_p[a: a + rows] += run_sum[ends[1:]] - run_sum[ends[:-1]]
             r = np.concatenate(rare_rid) if rare_rid else np.zeros(0, np.int64)
             w = as_long(np.concatenate(rare_h)) if rare_h else np.zeros(0, np.int64)
             m = len(r)

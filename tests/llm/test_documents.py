@@ -266,15 +266,40 @@ def test_mixing_beats_single_orders_and_is_a_probability():
 def test_long_text_in_parts_costs_the_same():
     rng = np.random.default_rng(3)
     raw = rng.choice(np.frombuffer(b"abc de", np.uint8), 300_000)
+    raw[70_000:170_000] = ord("x")                          # a word longer than a part
+    raw[180_000:185_000] = rng.choice(np.frombuffer(b"yz", np.uint8), 5_000)
     text, at, _, _ = mixing.normalised(raw, np.array([0, len(raw)]))
     code = mixing.Code.of(np.bincount(text, minlength=256))
     whole = mixing.Decisions(text, at, code)
-    parts = [mixing.Decisions(*p[:2], code, p[2]) for p in mixing.parts_of(text, at)]
+    parts = [mixing.Decisions(*p[:2], code, *p[2:]) for p in mixing.parts_of(text, at)]
     assert len(parts) > 2
     for i in range(len(mixing.ORDERS)):
         assert (np.concatenate([p.slots[i] for p in parts]) == whole.slots[i]).all()
 
 
+def test_costs_of_bytes_are_those_of_their_decisions(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["the", "a", "café", "x" * 70, "of", "12"] + ["w%d" % i for i in range(300)]
+    texts = [" ".join(rng.choice(words, 50)) for _ in range(60)] + ["", "the"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0] + [len(t.encode()) for t in texts])
+    text, at, _, _ = mixing.normalised(raw, offs)
+    code = mixing.Code.of(np.bincount(text, minlength=256))
+    counts, model = mixing.Counts(code), mixing.Mixer.new()
+    counts.add(text, at)
+    counts.flush()
+    tables = [mixing.log_odds(c[0::2], c[1::2]) for c in counts.cells]
+    d = mixing.Decisions(text, at, code)
+    model.learn(tables, d)
+    fix = model.refined()
+    want = np.add.reduceat(model.cost(tables, fix, d), np.cumsum(code.size[text]) - code.size[text])
+    for bits in (20, 6):                                    # also where bytes push each other out
+        monkeypatch.setattr(mixing, "MEMO", bits)
+        costs = mixing.Costs(code, tables, model, fix)
+        for _ in range(2):
+            assert (costs.of(text, at) == want).all()
+
+
 def test_counts_beyond_32_bits(spark):
     cells = np.zeros(mixing.BLOCK, np.int64)
     cells[:8] = 2_000_000_000, 1_900_000_000, 3, 0, 0, 2_147_483_647, 0, 0
