@@ -27,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import keep, text_bytes
+from hirelens.llm.common import keep, mix, text_bytes
 
 LEAF_POINTS = 2000      # wanted points of a shard
 MAX_SHARDS = 4096       # bound of the broadcast tree; larger shards split further inside their task
 SAMPLE = 16384          # bounded sample that places the vantage points
 LOCAL_LEAF = 768
+NEIGHBOURS = 1 << 23           # one-bit neighbours met at once
 
 
 # ------------------------------------------------------------ fingerprints
@@ -145,6 +146,27 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, lab: np.ndarray) -> np.ndarray:
             lab = up
 
 
+def _neighbour_labels(points: np.ndarray) -> np.ndarray:
+    """Min labels after joining all points at most two bits apart, linear in their number: two
+    such points share one of the 65 values that each can become by at most one bit, and points
+    that share one are at most two bits apart. Values are met in slices of bounded size."""
+    n = len(points)
+    lab, at = np.arange(n), np.arange(n)
+    slices = max(1, -(-65 * n // NEIGHBOURS))
+    for part in range(slices):
+        values, owners = [], []
+        for bit in range(-1, 64):
+            value = points if bit < 0 else points ^ np.uint64(1 << bit)
+            own = at if slices == 1 else np.flatnonzero(mix(value) % np.uint64(slices) == np.uint64(part))
+            values.append(value[own])
+            owners.append(own)
+        value, owner = np.concatenate(values), np.concatenate(owners)
+        by = np.argsort(value, kind="stable")
+        same = np.flatnonzero(value[by[1:]] == value[by[:-1]])
+        lab = _roots(n, owner[by[same]], owner[by[same + 1]], lab)
+    return lab
+
+
 def forest(points: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of all links among distinct ``points``."""
     rng = np.random.default_rng(11)
@@ -164,7 +186,10 @@ def forest(points: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
                 continue
         lab = np.arange(n)
         rows = max(1, (1 << 21) // n)
-        for s in range(0, n, rows):
+        dense = max_bits == 2 and n > LOCAL_LEAF            # no vantage point parts them: all lie close together
+        if dense:
+            lab = _neighbour_labels(own)
+        for s in range(0, 0 if dense else n, rows):
             near = np.bitwise_count(own[s: s + rows, None] ^ own[None, s:]) <= max_bits
             i, j = np.nonzero(near)
             keep_ = i < j

@@ -135,6 +135,21 @@ def test_tree_shards_and_forest_lose_no_link():
     assert (np.bitwise_count(a ^ b) <= 64).all()
 
 
+def test_dense_points_are_linked_by_their_neighbours(monkeypatch):
+    """Fingerprints within four bits of one centre, which no vantage point parts."""
+    rng = np.random.default_rng(5)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (5000, 4), dtype=np.uint64), axis=1)
+    points = np.unique(np.uint64(0x123456789ABCDEF0) ^ flips)
+    i, j = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 2)
+    want = simhash._roots(len(points), i, j, np.arange(len(points)))
+    for slice_ in (1 << 23, 1 << 14):
+        monkeypatch.setattr(simhash, "NEIGHBOURS", slice_)
+        assert (simhash._neighbour_labels(points) == want).all()
+        a, b = simhash.forest(points, 2)
+        lab = simhash._roots(len(points), np.searchsorted(points, a), np.searchsorted(points, b), np.arange(len(points)))
+        assert (lab == want).all()
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
