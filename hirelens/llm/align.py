@@ -349,14 +349,16 @@ class Units:
             self.counts = pairs, counts, best
             self.clear()
 
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(unit numbers, offsets) of texts; an empty text has no units."""
+    def of(self, texts: list[str], distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(unit numbers, offsets) of texts; an empty text has no units. ``distinct``: each once, in any order."""
         if len(self.number) > UNITS or self.pair.n > UNIT_PAIRS:
             self.clear()
         if not self.b.cuts:
             split = [[" " + t] if t else [] for t in texts]
             return self._numbers(list(chain.from_iterable(split))), _offsets(split)
         split = [t.split(" ") if t else [] for t in texts]
+        if distinct:
+            split = list(map(list, map(set, split)))
         flat, offs = list(chain.from_iterable(split)), _offsets(split)
         number = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
         missing = np.flatnonzero(number < 0)
@@ -371,6 +373,8 @@ class Units:
             parts.append(number[s:e])
             if k < len(texts):
                 split[k] = [" " + u for u in _CUT.split(texts[k])]      # no plain unit starts like this
+                if distinct:
+                    split[k] = list(set(split[k]))
                 parts.append(self._numbers(split[k]))
             at = k + 1
         return np.concatenate(parts), _offsets(split) if again else offs
@@ -487,16 +491,12 @@ def pair_documents(docs: DataFrame, a_path: str, pattern: str, b_path: str) -> D
 
         for batch in batches:
             for _, texts in _groups_of_texts(batch):
-                own, offs = units.fitting(*units.of(texts))
-                if not len(own):
-                    continue
-                some = len(units.number)
-                seen = np.unique(np.repeat(np.arange(len(texts)), np.diff(offs)) * some + own)  # distinct units of each text
-                text, own = seen // some, seen % some
+                own, offs = units.fitting(*units.of(texts, True))
+                text = np.repeat(np.arange(len(texts)), np.diff(offs))
                 first, n = units.first_pair.all, len(texts)
                 x = 0
-                while x < len(seen):                            # blocks of whole texts
-                    y = x + int(np.searchsorted(text[x:], text[min(x + (1 << 18), len(seen)) - 1], "right"))
+                while x < len(own):                             # blocks of whole texts
+                    y = x + int(np.searchsorted(text[x:], text[min(x + (1 << 18), len(own)) - 1], "right"))
                     many = np.diff(first)[own[x:y]]
                     marks = units.pair.all[ragged(first[own[x:y]], many)] * n + np.repeat(text[x:y], many)
                     held.append(_summed(np.unique(marks) // n, None))
