@@ -104,7 +104,17 @@ MONTH_PATTERN = (
     "aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
 )
 
-# Substrings that mark a professional link.
+# ---------------------------------------------------------------------------
+# FIXED VALUES: core patterns of e-mail addresses and profile links, and the characters
+# whose case folding differs from lower case and gives an ASCII letter.
+# ---------------------------------------------------------------------------
+EMAIL_CORE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+PROFILE_LINK = r"(?iu)linkedin\.com|github\.com|portfolio|https?://|www\."
+FOLDS_TO_ASCII: dict[str, str] = {
+    "\u00df": "ss", "\u0149": "\u02bcn", "\u017f": "s", "\u01f0": "j\u030c", "\u1e96": "h\u0331", "\u1e97": "t\u0308",
+    "\u1e98": "w\u030a", "\u1e99": "y\u030a", "\u1e9a": "a\u02be", "\u1e9e": "ss", "\ufb00": "ff", "\ufb01": "fi",
+    "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st",
+}
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: scorecard check names and messages.

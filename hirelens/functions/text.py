@@ -117,17 +117,9 @@ def nonblank_stripped_lines(text: Column | str) -> Column:
 # ---------------------------------------------------------------------------
 # Case folding and Unicode normalization
 # ---------------------------------------------------------------------------
-@functools.cache
 def _fold_to_ascii_letters() -> tuple[tuple[str, str], ...]:
-    """Characters whose ``casefold()`` differs from ``lower()`` and yields an
-    ASCII letter; derived from the running Python's Unicode tables."""
-    pairs = []
-    for cp in range(0x80, 0x110000):
-        ch = chr(cp)
-        folded = ch.casefold()
-        if folded != ch.lower() and any("a" <= x <= "z" for x in folded):
-            pairs.append((ch, folded))
-    return tuple(pairs)
+    """Characters whose ``casefold()`` differs from ``lower()`` and yields an ASCII letter."""
+    return tuple(fixed.FOLDS_TO_ASCII.items())
 
 
 def casefold_ascii(text: Column | str) -> Column:
@@ -182,7 +174,7 @@ def normalize_heading(line: Column) -> Column:
 # ---------------------------------------------------------------------------
 # Scorecard predicates
 # ---------------------------------------------------------------------------
-EMAIL_CORE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+EMAIL_CORE = fixed.EMAIL_CORE
 EMAIL = f"{BOUNDARY}{EMAIL_CORE}{END}"
 
 
@@ -197,7 +189,7 @@ def has_phone(text: Column | str) -> Column:
 
 
 def has_profile_link(text: Column | str) -> Column:
-    return col(text).rlike(r"(?iu)linkedin\.com|github\.com|portfolio|https?://|www\.")
+    return col(text).rlike(fixed.PROFILE_LINK)
 
 
 YEAR = f"{START}(?:19|20){D}{{2}}{END}"

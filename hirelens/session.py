@@ -78,15 +78,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hirelens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _kept.append(path)
+    remember(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _kept: list[str] = []
 
 
+def remember(path: str) -> None:
+    """Note an intermediate table for ``drop_kept``."""
+    _kept.append(path)
+
+
 def drop_kept(spark: SparkSession) -> int:
-    """Remove the tables that ``keep`` wrote, once the results built on them are written."""
+    """Remove the intermediate tables of this session, once the results built on them are written."""
     n = len(_kept)
     while _kept:
         path = spark._jvm.org.apache.hadoop.fs.Path(_kept.pop())

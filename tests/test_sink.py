@@ -72,3 +72,12 @@ def test_best_jobs_against_all_pairs(spark, champions):
         every = sorted((-tfidf.similarity(t, j or ""), k) for k, j in jobs)
         want = [(n + 1, k, -s) for n, (s, k) in enumerate(x for x in every if x[0] < 0) if n < 4]
         assert sorted(got.get(i, [])) == want, i
+
+
+def test_kept_tables_are_removed(spark):
+    from hirelens import session
+    session.drop_kept(spark)
+    t = session.keep(spark.range(5), "test")
+    assert t.count() == 5 and session.drop_kept(spark) == 1 and session.drop_kept(spark) == 0
+    with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND|FILE_NOT_EXIST|No such file"):
+        t.count()
