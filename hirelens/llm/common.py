@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hirelens.session import remember
+
 CHUNK_BYTES = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,10 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and
-    a lost executor costs only the tasks that were running on it."""
+    a lost executor costs only the tasks that were running on it. ``session.drop_kept``
+    removes it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    remember(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
