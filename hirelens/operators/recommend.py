@@ -109,63 +109,60 @@ def answer_json_schema() -> dict:
 # ---------------------------------------------------------------------------
 # Response validation
 # ---------------------------------------------------------------------------
-def _type(v: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+def answer_fields(parsed: Column) -> Column:
+    """The answer's fields as a struct of variants, null unless it is an object: one cast
+    instead of a walk through the object for every field."""
+    return F.try_variant_get(parsed, "$", "struct<" + ", ".join(f"{n}: variant" for n, _ in fixed.ANSWER_FIELDS) + ">")
 
 
-def _is_string(v: Column, path: str) -> Column:
-    return F.coalesce(_type(v, path) == F.lit("STRING"), F.lit(False))
+def _is_string(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == F.lit("STRING"), F.lit(False))
 
 
-def _is_strings(v: Column, path: str) -> Column:
-    t = _type(v, path)
-    arr = F.try_variant_get(v, path, "array<variant>")
-    return F.coalesce(t.startswith("ARRAY<") & F.forall(
-        arr, lambda e: F.coalesce(F.schema_of_variant(e) == F.lit("STRING"), F.lit(False))),
-        F.lit(False))
+def _is_strings(v: Column) -> Column:
+    """An array of strings; the empty one and one of nulls have the same type name."""
+    plain = F.coalesce(F.schema_of_variant(v).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
+    return plain & ~F.coalesce(F.exists(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.is_variant_null(e)), F.lit(False))
 
 
-def _is_objects(v: Column, path: str, fields: list[str], status: bool = False) -> Column:
-    t = _type(v, path)
-    arr = F.try_variant_get(v, path, "array<variant>")
+def _is_objects(v: Column, fields: list[str], status: bool = False) -> Column:
+    """An array of objects that have the fields as strings."""
+    items = F.try_variant_get(v, "$", "array<struct<" + ", ".join(f"{n}: variant" for n in fields) + ">>")
 
     def ok(e: Column) -> Column:
-        good = F.coalesce(F.schema_of_variant(e).startswith("OBJECT<"), F.lit(False))
+        good = e.isNotNull()
         for f in fields:
-            good = good & _is_string(e, f"$.{f}")
+            good = good & _is_string(e[f])
         if status:
-            good = good & F.coalesce(F.try_variant_get(e, "$.status", "string")
-                                     .isin(*fixed.EVIDENCE_STATUSES), F.lit(False))
+            good = good & F.coalesce(F.try_variant_get(e["status"], "$", "string").isin(*fixed.EVIDENCE_STATUSES), F.lit(False))
         return good
 
-    return F.coalesce(t.startswith("ARRAY<") & F.forall(arr, ok), F.lit(False))
+    return F.coalesce(F.schema_of_variant(v).startswith("ARRAY<") & F.forall(items, ok), F.lit(False))
 
 
-def field_ok(v: Column, name: str, kind: str) -> Column:
-    path = f"$.{name}"
+def field_ok(v: Column, kind: str) -> Column:
     if kind == "string":
-        return _is_string(v, path)
+        return _is_string(v)
     if kind == "strings":
-        return _is_strings(v, path)
+        return _is_strings(v)
     if kind == "bullets":
-        return _is_objects(v, path, fixed.BULLET_FIELDS)
-    return _is_objects(v, path, fixed.EVIDENCE_FIELDS, status=True)
+        return _is_objects(v, fixed.BULLET_FIELDS)
+    return _is_objects(v, fixed.EVIDENCE_FIELDS, status=True)
 
 
-def validation_error(output_text: Column | str, parsed: Column | None = None) -> Column:
+def validation_error(output_text: Column | str, parsed: Column | None = None, fields: Column | None = None) -> Column:
     """Null for a valid answer, else why: empty, not JSON, not an object, or
     the first field (schema order) that is missing or mistyped. Extra keys
-    are ignored; list lengths are not limited. ``parsed``: the variant, where a
-    column already holds it."""
+    are ignored; list lengths are not limited. ``parsed`` and ``fields``: the variant and its
+    :func:`answer_fields`, where columns already hold them."""
     t = col(output_text)
     v = F.try_parse_json(t) if parsed is None else parsed
+    own = answer_fields(v) if fields is None else fields
     err = (F.when(t.isNull() | (t == F.lit("")), F.lit(fixed.ERR_EMPTY_ANSWER))
             .when(v.isNull(), F.lit("invalid JSON"))
-            .when(~F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False)),
-                  F.lit("answer is not a JSON object")))
+            .when(own.isNull(), F.lit("answer is not a JSON object")))
     for name, kind in fixed.ANSWER_FIELDS:
-        err = err.when(~field_ok(v, name, kind),
-                       F.lit(f"invalid field: {name}"))
+        err = err.when(~field_ok(own[name], kind), F.lit(f"invalid field: {name}"))
     return err
 
 
@@ -183,10 +180,11 @@ ANSWER_SCHEMA = (
 def parse_responses(df: DataFrame, text_col: str = "output_text") -> DataFrame:
     """Add ``validation_error`` and ``analysis`` (typed struct, null unless valid)."""
     parsed = df.withColumn("__answer", F.try_parse_json(col(text_col)))
-    return (parsed.withColumn("validation_error", validation_error(text_col, F.col("__answer")))
+    parsed = parsed.withColumn("__fields", answer_fields(F.col("__answer")))
+    return (parsed.withColumn("validation_error", validation_error(text_col, F.col("__answer"), F.col("__fields")))
                   .withColumn("analysis", F.when(F.col("validation_error").isNull(),
                                                  F.from_json(col(text_col), ANSWER_SCHEMA)))
-                  .drop("__answer"))
+                  .drop("__answer", "__fields"))
 
 
 def call_error(error: Column | str, validation: Column | str) -> Column:
