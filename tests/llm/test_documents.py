@@ -5,10 +5,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+
 from conftest import SF_SMALL
+from test_pii import base
 
 import corpus_pipeline
-from hirelens.llm import decontaminate, lines, mixing, quality, simhash
+from hirelens.llm import decontaminate, lines, mixing, pieces, quality, simhash
+from hirelens.llm.pii import KINDS
+from hirelens.llm.queries import PIECES, tokenizer
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = [None, "", " \n\t", "one", "a b c a b c a b c", "x\ny\nx\n\n y\nx ", "é ü\n#$%|<>&*\nA\x85b c", "same line of five words\n" * 3,
@@ -353,4 +357,21 @@ def test_pipeline_against_its_operators(spark):
     hit = {r.doc_id for r in decontaminate.contaminated(docs, benchmark).collect()}
     want = set(classes) - hit
     assert set(out) == want and all(r.round_trip for r in out.values())
+    # the last stage's ids are the whole texts with personal data replaced, found here by plain regexes
+    coded = spark.createDataFrame([(r.doc_id, r.ids) for r in out.values()], "doc_id long, ids array<int>")
+    shown = {r.doc_id: r.text for r in pieces.decode(coded, tokenizer(PIECES)).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    replaced = 0
+    for d in want:
+        text, at = "", 0
+        found = sorted((a, -b, KINDS.index(kind), kind) for kind, a, b in base(texts[d]))
+        while found:
+            a, b, _, kind = found.pop(0)
+            end = -b
+            while found and found[0][0] < end:                  # overlapping spans become one, named after the first
+                end = max(end, -found.pop(0)[1])
+            text, at = text + texts[d][at:a] + f"<{kind.upper()}>", end
+            replaced += 1
+        assert shown[d] == text + texts[d][at:], d
+    assert replaced > 5
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.STAGES[0][0]] == [5, "quality"]
