@@ -111,6 +111,33 @@ QUERIES = {f.__name__: f for f in (
 
 # The digest is of the words that no repeated 35-word window covers.
 ORACLE_SQL = {
+    "op6_line_rules": f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+win AS (
+  SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+twice AS (SELECT doc_id, g FROM win GROUP BY doc_id, g HAVING count(*) > 1),
+again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM win JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+ln AS (
+  SELECT doc_id, source, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
+         '[^\\x20\\x09-\\x0D]+') AS lw
+  FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d)),
+own AS (SELECT doc_id, source, line, len(lw) AS n, array_to_string(lw, ' ') AS norm FROM ln WHERE len(lw) > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM own GROUP BY doc_id),
+common AS (SELECT source, norm FROM own GROUP BY source, norm HAVING count(DISTINCT doc_id) > {lines.MIN_DOCS}),
+gone AS (SELECT doc_id, sum(n) AS n FROM own JOIN common c ON c.norm = own.norm AND c.source IS NOT DISTINCT FROM own.source GROUP BY doc_id),
+x AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(ws, lambda v: length(v))), 0) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(gone.n, 0) AS BIGINT) AS n_line_words_removed
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * (n_words - n_line_words_removed) >= n_words AS kept
+FROM x
+""",
     "op9_substring_dedup": """
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
