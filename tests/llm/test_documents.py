@@ -375,3 +375,47 @@ def test_pipeline_against_its_operators(spark):
         assert shown[d] == text + texts[d][at:], d
     assert replaced > 5
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.STAGES[0][0]] == [5, "quality"]
+
+
+def naive_boosting(x, y, depth, rounds):
+    """Newton boosting with every split tried on its own rows: predicted log odds of the rows."""
+    base = np.log((y.sum() + 1) / (len(y) + 2) / (1 - (y.sum() + 1) / (len(y) + 2)))
+    z = np.full(len(y), base)
+    edges = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1]))) for j in range(x.shape[1])]
+
+    def grow(rows, g, h, level):
+        best = (1e-6, None, None)
+        whole = g[rows].sum() ** 2 / (h[rows].sum() + quality.L2)
+        for j in range(x.shape[1]) if level else ():
+            top = (-np.inf, None)
+            for e in edges[j]:
+                left, right = rows[x[rows, j] <= e], rows[x[rows, j] > e]
+                if h[left].sum() >= 1e-3 and h[right].sum() >= 1e-3:
+                    gain = sum(g[s].sum() ** 2 / (h[s].sum() + quality.L2) for s in (left, right)) - whole
+                    if gain > top[0] + 1e-12:
+                        top = gain, e
+            if top[1] is not None and top[0] > best[0] + 1e-12:
+                best = top[0], j, top[1]
+        if not level:
+            step[rows] = -quality.RATE * g[rows].sum() / (h[rows].sum() + quality.L2)
+        elif best[1] is None:
+            grow(rows, g, h, level - 1)
+        else:
+            grow(rows[x[rows, best[1]] <= best[2]], g, h, level - 1)
+            grow(rows[x[rows, best[1]] > best[2]], g, h, level - 1)
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-z))
+        step = np.zeros(len(y))
+        grow(np.arange(len(y)), p - y, p * (1 - p), depth)
+        z = z + step
+    return z
+
+
+def test_trees_against_every_split():
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        x = np.column_stack([rng.normal(size=80), rng.integers(0, 4, 80), rng.random(80) ** 3, np.zeros(80)])
+        y = ((x[:, 0] + (x[:, 1] == 2) + rng.normal(size=80) * 0.7) > 0.4).astype(float)
+        got = quality.fit(x, y, 3, 5).score(x)
+        assert got == pytest.approx(1 / (1 + np.exp(-naive_boosting(x, y, 3, 5))), abs=1e-9)
