@@ -229,7 +229,7 @@ class Lattice:
         return out[:n]
 
     def encode(self, texts: list[str], n: int):
-        """For texts: ids (flat), pieces per text, best score, and the n best scores of each."""
+        """For texts: ids (flat), pieces per text, best score, and of each its n best scores and ids."""
         parts = [self.segments(t) for t in texts]
         flat = list(itertools.chain.from_iterable(parts))
         self.learn(flat)
@@ -238,12 +238,25 @@ class Lattice:
         sizes = self.size[index]
         ids = self.ids[ragged(self.at[index], sizes)]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        best, scores = [], []
+        best, scores, coded = [], [], []
         for own, a, b in zip(parts, ends[:-1], ends[1:]):
             top = float(self.best[index[a:b]].sum())
             best.append(top)
-            scores.append([top - loss for loss, _ in self._merged(own, index[a:b], n)])
-        return ids, total[ends], best, scores
+            merged = self._merged(own, index[a:b], n)
+            scores.append([top - loss for loss, _ in merged])
+            coded.append([self._changed(ids, total, int(a), int(b), changes) for _, changes in merged])
+        return ids, total[ends], best, scores, coded
+
+    @staticmethod
+    def _changed(ids: np.ndarray, total: np.ndarray, a: int, b: int, changes: list[tuple[int, tuple]]) -> np.ndarray:
+        """The ids of segments a..b, some segments' own replaced."""
+        if not changes:
+            return ids[total[a]: total[b]]
+        out, at = [], total[a]
+        for k, own in sorted(changes):
+            out += ids[at: total[a + k]], np.array(own, np.int32)
+            at = total[a + k + 1]
+        return np.concatenate([*out, ids[at: total[b]]])
 
     def text_n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of a whole text."""
@@ -263,6 +276,12 @@ class Lattice:
         """Bytes shown by ids, one text after the other (each with its leading space)."""
         return self.shown_all[ragged(self.shown_at[ids], self.shown_len[ids])]
 
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of many texts (``ends``: where each one's ids end), without their leading space."""
+        shown = self.decode_flat(ids).tobytes()
+        at = np.concatenate([[0], np.cumsum(self.shown_len[ids])])[ends].tolist()
+        return [shown[x: y].removeprefix(b" ") for x, y in zip(at[:-1], at[1:])]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, byte pieces as bytes, without the leading space."""
         raw = b"".join(self.shown[i] for i in ids)
@@ -281,8 +300,9 @@ def lattice(path: str) -> Lattice:
 
 
 def encode(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
-    """(doc_id, ids, n_pieces, score, n_best_scores, round_trip): the best segmentation of
-    every text, the scores of its n best, and whether decoding gives the text back."""
+    """(doc_id, ids, n_pieces, score, n_best_scores, round_trip, n_best_ids, decoded): the best
+    segmentation of every text, the scores and ids of its n best, the text that ``ids`` decode to, and
+    whether all of the n best decode to the text."""
     def run(batches):
         model = lattice(path)
         for batch in batches:
@@ -290,19 +310,28 @@ def encode(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
             raw = data.tobytes()
             for a, b in doc_groups(data, offs, GROUP):
                 own = [raw[x:y] for x, y in zip(offs[a:b], offs[a + 1: b + 1])]
-                ids, ends, best, scores = model.encode([t.decode() for t in own], n)
-                shown = model.decode_flat(ids).tobytes()
-                at = np.concatenate([[0], np.cumsum(model.shown_len[ids])])[ends].tolist()
-                same = [shown[x + 1: y] == t for x, y, t in zip(at[:-1], at[1:], own)]
+                ids, ends, best, scores, coded = model.encode([t.decode() for t in own], n)
+                shown = model.decoded(ids, ends)
+                flat = list(itertools.chain.from_iterable(coded))
+                flat_ids = np.concatenate([np.zeros(0, np.int32), *flat])
+                flat_ends = np.cumsum([0, *map(len, flat)])
+                which = np.cumsum([0, *map(len, coded)])
+                all_shown = model.decoded(flat_ids, flat_ends)
+                same = [all(x == t for x in (plain, *all_shown[i:j]))
+                        for plain, t, i, j in zip(shown, own, which[:-1].tolist(), which[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
                     pa.array(np.diff(ends)), pa.array(best, pa.float64()),
-                    pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())],
-                    ["doc_id", "ids", "n_pieces", "score", "n_best_scores", "round_trip"])
+                    pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_()),
+                    pa.ListArray.from_arrays(pa.array(which.astype(np.int32)), pa.ListArray.from_arrays(
+                        pa.array(flat_ends.astype(np.int32)), pa.array(flat_ids))),
+                    pa.array([x.decode("utf-8", "replace") for x in shown], pa.string())],
+                    ["doc_id", "ids", "n_pieces", "score", "n_best_scores", "round_trip", "n_best_ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, ids array<int>, n_pieces long, score double, n_best_scores array<double>, round_trip boolean")
+        run, "doc_id long, ids array<int>, n_pieces long, score double, n_best_scores array<double>, round_trip boolean, "
+             "n_best_ids array<array<int>>, decoded string")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:

@@ -122,6 +122,18 @@ def test_encode_and_decode_tables(spark):
     assert pieces.encode(docs.limit(0), MODEL).count() == 0
 
 
+def test_n_best_segmentations_and_decoded_text(spark, model):
+    texts = [None, "", "a\n b", "the thing", " lead  and", *sample(5, 30, 5)]
+    rows = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), MODEL).collect()
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        want = model.text_n_best(text, pieces.N_BEST)
+        assert r.n_best_ids == [ids for _, ids in want] and r.n_best_ids[0] == r.ids
+        assert r.n_best_scores == pytest.approx([s for s, _ in want])
+        assert r.decoded == text.replace(pieces.SPACE, " ") and r.round_trip == (r.decoded == text)
+    assert len(rows) == len(texts) and any(len(r.n_best_ids) == pieces.N_BEST for r in rows)
+
+
 # ------------------------------------------------------------ chat
 
 CONTROL = ["</s>", "<s>", "[INST] ", "[/INST]", "\\", "[", "<", "/s>", "INST]", "[ROLE x] ", "[/ROLE]", "a", " ", "\n", "[OUT", "]", "é"]
