@@ -41,6 +41,8 @@ from ..functions.text import W, py_round2, sql_name, sql_text
 # idf of a term found in only one of the two documents, squared.
 C2 = (1.0 + math.log(1.5)) ** 2
 STOP_WORDS = list(fixed.ENGLISH_STOP_WORDS)
+# Tokens counted together: the working memory of a Python worker, whatever a batch holds.
+PART_TOKENS = 200_000
 
 
 def tokens(text: Column | str) -> Column:
@@ -64,8 +66,9 @@ def ngrams_1_2(toks: Column) -> Column:
 
 @functools.cache
 def _count_udf():
+    step = PART_TOKENS
     # Defined inside so it is shipped by value: executors need no copy of this package on their path.
-    def counted(toks: pa.Array) -> pa.Array:
+    def part(toks: pa.Array) -> pa.Array:
         import numpy as np
         import pyarrow as pa_
         import pyarrow.compute as pc
@@ -86,12 +89,26 @@ def _count_udf():
         sq = np.bincount(key // size, tf.astype(np.float64) ** 2, n).astype(np.int64)
         return pa_.StructArray.from_arrays([pa_.ListArray.from_arrays(pa_.array(cuts), rows), pa_.array(sq)], ["terms", "sq"])
 
+    def counted(toks: pa.Array) -> pa.Array:
+        import numpy as np
+        import pyarrow as pa_
+        import pyarrow.compute as pc
+        # The working arrays are ten times the tokens, so a batch is counted some documents at a time.
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False))
+        cuts = np.flatnonzero(np.diff(ends // step, prepend=0)).tolist()
+        cuts = [0, *[c for c in cuts if c > 0], len(toks)]
+        parts = [part(toks.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:])]
+        del toks
+        pa_.default_memory_pool().release_unused()
+        return parts[0] if len(parts) == 1 else pa_.concat_arrays(parts)
+
     return F.arrow_udf(counted, "struct<terms: array<struct<term: string, tf: bigint>>, sq: bigint>")
 
 
 def counted_terms(text: Column | str) -> Column:
     """``struct<terms: array<struct<term, tf>>, sq>``: the text's 1-2-grams with their counts and
-    ``Σ tf²``; no terms for a null text. Counted for a whole Arrow batch at once."""
+    ``Σ tf²``; no terms for a null text. Counted for ``PART_TOKENS`` of an Arrow batch at once; the batch itself is
+    bounded by bytes (see :mod:`~hirelens.session`)."""
     return _count_udf()(tokens(text))
 
 

@@ -18,6 +18,11 @@ and f grows with x. So a score to beat bounds what must be looked at:
    dropped if f of the shared share, the left-out terms counted in full, is below the score.
 4. The jobs left are scored exactly, the k best stay.
 
+With few jobs (``DIRECT_JOBS``, their terms fit to broadcast) bounds save nothing: step 3 for all
+terms *is* the exact score. Then the terms shared with any job are numbered where a résumé is read and
+exchanged once, as narrow rows by ``resume_id``; lists, scores and ranks need no further exchange, and
+nothing is stored.
+
 Nothing is cut off that could be a result: without k champions the score to beat is
 0 and all terms are looked up. Common terms, whose lists are long, are the first to be left
 out; a list that is still hot is split by AQE's skew join.
@@ -32,9 +37,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import is_small, keep
-from .similarity import C2, pair_similarity, term_rows
+from .similarity import C2, cosine_expr, pair_similarity, term_rows
 
 CHAMPIONS = 16
+DIRECT_JOBS = 2000
 
 
 def _bound(x: Column) -> Column:
@@ -48,6 +54,26 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
     return scores.where("similarity_score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def direct_best_jobs(resumes: DataFrame, jobs: DataFrame, k: int = 5) -> DataFrame:
+    """:func:`best_jobs` by scoring every pair that shares a term; the jobs' terms are broadcast.
+    ``resumes`` is read once, so it need not be stored."""
+    jt = term_rows(jobs.where("job_id IS NOT NULL"), "job_id")
+    lists = keep(jt.groupBy("term").agg(F.collect_list(F.struct(F.col("id").alias("job_id"), F.col("tf").alias("tf_j"),
+                                                               F.col("sq").alias("sj"))).alias("list"))
+                 .withColumn("no", F.monotonically_increasing_id()), "job-lists")
+    rt = term_rows(resumes.where("resume_id IS NOT NULL"), "resume_id")
+    shared = rt.join(F.broadcast(lists.select("term", "no")), "term").select(
+        F.col("id").alias("resume_id"), "no", "tf", "sq").repartition("resume_id")
+    met = shared.join(F.broadcast(lists.select("no", "list")), "no").select(
+        "resume_id", F.col("tf").alias("tf_r"), F.col("sq").alias("sr"), F.explode("list").alias("j")).select(
+        "resume_id", "tf_r", "sr", "j.*")
+    sums = met.groupBy("resume_id", "job_id").agg(
+        F.sum(F.col("tf_r") * F.col("tf_j")).alias("dot"), F.sum(F.col("tf_r") * F.col("tf_r")).alias("rr"),
+        F.sum(F.col("tf_j") * F.col("tf_j")).alias("jj"), F.max("sr").alias("sr"), F.max("sj").alias("sj"))
+    scores = sums.select("resume_id", "job_id", cosine_expr(*map(F.col, ("dot", "rr", "jj", "sr", "sj"))).alias("similarity_score"))
+    return _best(scores, k).select("resume_id", "job_id", "similarity_score", "rank")
+
+
 def best_jobs(resumes: DataFrame, jobs: DataFrame, k: int = 5, champions: int = CHAMPIONS) -> DataFrame:
     """``(resume_id, job_id, similarity_score, rank)`` from stored tables ``resumes(resume_id, terms, sq)``
     and ``jobs(job_id, terms, sq)`` (:func:`~hirelens.operators.match.match_features`)."""

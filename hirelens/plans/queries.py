@@ -116,9 +116,13 @@ TOP_JOBS = 5
 def best_jobs(spark, sf):
     """The five most similar jobs of every résumé, out of all jobs."""
     def terms(df, id_col):
-        return keep(df.select(id_col, counted_terms("text").alias("c")).select(id_col, "c.terms", "c.sq"), "terms")
+        return df.select(id_col, counted_terms("text").alias("c")).select(id_col, "c.terms", "c.sq")
 
-    best = topk.best_jobs(terms(T.resumes(spark, sf), "resume_id"), terms(T.jobs(spark, sf), "job_id"), TOP_JOBS)
+    resumes, jobs = terms(T.resumes(spark, sf), "resume_id"), keep(terms(T.jobs(spark, sf), "job_id"), "terms")
+    if is_small(jobs, limit=topk.DIRECT_JOBS) and is_small(jobs, F.size("terms") + 1):
+        best = topk.direct_best_jobs(resumes, jobs, TOP_JOBS)
+    else:
+        best = topk.best_jobs(keep(resumes, "terms"), jobs, TOP_JOBS)
     return best.withColumn("rank", _long(F.col("rank")))
 
 

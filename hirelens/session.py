@@ -23,6 +23,8 @@ RUNTIME = {
     # the finished shuffle stage before it picks a broadcast.
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+    # Texts sent to Python: a batch by rows alone (10,000) grows with the texts' length.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8MB",
 }
 
 DEFAULTS = {
