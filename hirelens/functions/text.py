@@ -16,6 +16,7 @@ literals, which would eat the backslashes).
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -58,20 +59,40 @@ def sql_name(name: str) -> str:
 # Lines, stripping, counting
 # ---------------------------------------------------------------------------
 BREAK_CHARS = r"\x0a-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}"
+OTHER_BREAK = r"[\x0b-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+# The characters of ``WS``.
+WS_CHARS = "".join(map(chr, (*range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b),
+                             0x2028, 0x2029, 0x202f, 0x205f, 0x3000)))
+
+
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value worked out once, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _drop_final_break(c: Column) -> Column:
+    """The text without one final line break; the pattern is tried only where the last character is one."""
+    return F.when(F.right(c, F.lit(1)).rlike(f"[{BREAK_CHARS}]"), F.regexp_replace(c, rf"(?:{LINE_BREAK})\z", "")).otherwise(c)
+
+
+def split_lines(c: Column, limit: int = -1) -> Column:
+    """Split at line breaks; without a CR each is one character."""
+    return F.when(c.contains("\r"), F.split(c, LINE_BREAK, limit)).otherwise(F.split(c, f"[{BREAK_CHARS}]", limit))
 
 
 def splitlines(text: Column | str) -> Column:
     """``str.splitlines()``: one final line break is dropped first, so there is
     no trailing empty element; '' -> []."""
     c = col(text)
-    parts = F.split(F.regexp_replace(c, rf"(?:{LINE_BREAK})\z", ""), LINE_BREAK, -1)
+    parts = let(_drop_final_break(c), split_lines)
     return F.when(c == F.lit(""), F.array().cast("array<string>")).otherwise(parts)
 
 
 def join_lines(text: Column | str) -> Column:
-    """``"\\n".join(text.splitlines())`` without materializing the lines."""
-    return F.regexp_replace(F.regexp_replace(col(text), rf"(?:{LINE_BREAK})\z", ""),
-                            LINE_BREAK, "\n")
+    """``"\\n".join(text.splitlines())`` without materializing the lines; texts with LF as their
+    only line break are not rewritten."""
+    c = _drop_final_break(col(text))
+    return let(c, lambda t: F.when(t.rlike(OTHER_BREAK), F.regexp_replace(t, LINE_BREAK, "\n")).otherwise(t))
 
 
 def nonblank_lines(text: Column | str) -> Column:
@@ -82,7 +103,7 @@ def nonblank_lines(text: Column | str) -> Column:
 
 def strip(text: Column | str) -> Column:
     """``str.strip()`` with Unicode whitespace."""
-    return F.regexp_replace(col(text), rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(col(text), F.lit(WS_CHARS))
 
 
 def collapse_ws(text: Column | str) -> Column:
@@ -104,7 +125,8 @@ def clean_text(text: Column | str) -> Column:
     """Extraction clean-up: NBSP -> space, drop ZWSP, per line collapse runs of
     space/tab and strip, drop empty lines, join with LF."""
     t = F.replace(F.replace(col(text), F.lit("\xa0"), F.lit(" ")), F.lit("\u200b"), F.lit(""))
-    lines = F.transform(splitlines(t), lambda l: strip(F.regexp_replace(l, "[ \t]+", " ")))
+    lines = F.transform(splitlines(t), lambda l: strip(F.when(
+        l.contains("  ") | l.contains("\t"), F.regexp_replace(l, "[ \t]+", " ")).otherwise(l)))
     return F.array_join(F.filter(lines, lambda l: l != F.lit("")), "\n")
 
 
@@ -128,10 +150,11 @@ def casefold_ascii(text: Column | str) -> Column:
     Exact for rules that afterwards look only at ASCII letters (headings,
     address words); full folding is :func:`normalize_text`.
     """
-    out = F.lower(col(text))
+    low = F.lower(col(text))
+    out = low
     for ch, folded in _fold_to_ascii_letters():
         out = F.replace(out, F.lit(ch), F.lit(folded))
-    return out
+    return F.when(is_ascii(text), low).otherwise(out)
 
 
 @functools.cache
@@ -175,11 +198,12 @@ def normalize_heading(line: Column) -> Column:
 # Scorecard predicates
 # ---------------------------------------------------------------------------
 EMAIL_CORE = fixed.EMAIL_CORE
-EMAIL = f"{BOUNDARY}{EMAIL_CORE}{END}"
+# A start is given up at once if its run of address characters does not end at "@".
+EMAIL = f"{BOUNDARY}(?=[A-Za-z0-9._%+-]++@){EMAIL_CORE}{END}"
 
 
 def has_email(text: Column | str) -> Column:
-    return col(text).rlike(EMAIL)
+    return col(text).contains("@") & col(text).rlike(EMAIL)
 
 
 def has_phone(text: Column | str) -> Column:
@@ -220,7 +244,7 @@ def unusual_ratio(text: Column | str) -> Column:
     """Share of characters that are neither alphanumeric, whitespace nor an
     allowed symbol; 1.0 for the empty text."""
     c = col(text)
-    unusual = F.length(F.regexp_replace(c, f"[\\p{{L}}\\p{{N}}{WS_BODY}{_allowed_class()}]", ""))
+    unusual = F.length(F.regexp_replace(c, f"[\\p{{L}}\\p{{N}}{WS_BODY}{_allowed_class()}]+", ""))
     return F.when(F.length(c) == 0, F.lit(1.0)).otherwise(unusual / F.length(c))
 
 

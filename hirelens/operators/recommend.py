@@ -177,14 +177,18 @@ ANSWER_SCHEMA = (
 )
 
 
-def parse_responses(df: DataFrame, text_col: str = "output_text") -> DataFrame:
-    """Add ``validation_error`` and ``analysis`` (typed struct, null unless valid)."""
+def parse_responses(df: DataFrame, text_col: str = "output_text", analysis: bool = True) -> DataFrame:
+    """Add ``validation_error`` and ``analysis`` (typed struct, null unless valid; not with ``analysis=False``).
+
+    Both leave through a one-element ``explode``: a filter on them would else be pushed below and
+    parse and check every answer again for each field it names."""
     parsed = df.withColumn("__answer", F.try_parse_json(col(text_col)))
     parsed = parsed.withColumn("__fields", answer_fields(F.col("__answer")))
-    return (parsed.withColumn("validation_error", validation_error(text_col, F.col("__answer"), F.col("__fields")))
-                  .withColumn("analysis", F.when(F.col("validation_error").isNull(),
-                                                 F.from_json(col(text_col), ANSWER_SCHEMA)))
-                  .drop("__answer", "__fields"))
+    parsed = parsed.withColumn("__error", validation_error(text_col, F.col("__answer"), F.col("__fields")))
+    own = [F.col("__error").alias("validation_error")]
+    if analysis:
+        own.append(F.when(F.col("__error").isNull(), F.from_json(col(text_col), ANSWER_SCHEMA)).alias("analysis"))
+    return parsed.select(*df.columns, F.explode(F.array(F.struct(*own))).alias("__own")).select(*df.columns, "__own.*")
 
 
 def call_error(error: Column | str, validation: Column | str) -> Column:

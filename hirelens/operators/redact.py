@@ -8,16 +8,18 @@ semantics with explicit Unicode classes (see ``functions.text``).
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import (D, END, LINE_BREAK, NOT_D, NOT_WS, START, WS, BOUNDARY,
-                              EMAIL_CORE,
-                              casefold_ascii, col, collapse_ws, join_lines, nonblank_lines,
-                              splitlines, strip)
+from ..functions.text import (D, END, NOT_D, NOT_WS, START, WS,
+                              EMAIL,
+                              casefold_ascii, col, collapse_ws, join_lines, let, nonblank_lines,
+                              split_lines, splitlines, strip)
 
-EMAIL = f"{BOUNDARY}{EMAIL_CORE}{END}"
 URL = (rf"(?iu){START}(?:https?://|www\.){NOT_WS}+"
        rf"|{START}(?:linkedin\.com|github\.com)/{NOT_WS}+")
 AADHAAR = f"(?<!{D}){D}{{4}}{WS}?{D}{{4}}{WS}?{D}{{4}}(?!{D})"
@@ -37,10 +39,14 @@ def _first_nonblank_lines(text: Column, k: int) -> Column:
     """The first ``k`` non-blank lines (unstripped). Only the first 32 lines
     are split off; the whole text is scanned only when those hold fewer than
     ``k`` non-blank lines and more lines follow."""
-    parts = F.split(text, LINE_BREAK, _HEAD_SPLIT + 1)
-    head = F.filter(F.slice(parts, 1, _HEAD_SPLIT), lambda l: l.rlike(NOT_WS))
-    enough = (F.size(head) >= k) | (F.size(parts) <= _HEAD_SPLIT)
-    return F.when(enough, F.slice(head, 1, k)).otherwise(F.slice(nonblank_lines(text), 1, k))
+    def first(parts: Column) -> Column:
+        def of_head(head: Column) -> Column:
+            enough = (F.size(head) >= k) | (F.size(parts) <= _HEAD_SPLIT)
+            return F.when(enough, F.slice(head, 1, k)).otherwise(F.slice(nonblank_lines(text), 1, k))
+
+        return let(F.filter(F.slice(parts, 1, _HEAD_SPLIT), lambda l: l.rlike(NOT_WS)), of_head)
+
+    return let(split_lines(text, _HEAD_SPLIT + 1), first)
 
 
 def detect_candidate_name(text: Column | str) -> Column:
@@ -123,12 +129,10 @@ def _when_digits(text: Column, fn) -> tuple[Column, Column]:
     return F.when(has, out).otherwise(text), F.when(has, cnt).otherwise(F.lit(0))
 
 
-ADDRESS_WORDS = "|".join(fixed.ADDRESS_WORDS)
-
-
 def _address_line(line: Column) -> Column:
     """An address word as a substring of the case-folded line, or a postal code."""
-    return casefold_ascii(line).rlike(ADDRESS_WORDS) | line.rlike(PIN)
+    word = let(casefold_ascii(line), lambda low: functools.reduce(operator.or_, [low.contains(w) for w in fixed.ADDRESS_WORDS]))
+    return word | line.rlike(PIN)
 
 
 def redact_header_addresses(text: Column) -> tuple[Column, Column]:
@@ -138,15 +142,27 @@ def redact_header_addresses(text: Column) -> tuple[Column, Column]:
     Only the header is split into lines; the rest of the (line-end
     normalized) text is carried over as one string.
     """
-    t = join_lines(text)
+    both = header_addresses(text)
+    return both["text"], both["n"]
+
+
+def header_addresses(text: Column) -> Column:
+    """:func:`redact_header_addresses` as one ``struct<text, n>``, worked out once."""
     n = fixed.HEADER_ADDRESS_LINES
-    head = F.substring_index(t, "\n", n)
-    tail = F.substring(t, F.length(head) + 1, 2147483647)
-    lines = F.split(head, "\n", -1)
-    out = F.transform(lines, lambda l: F.when(_address_line(l), F.lit(fixed.TOKENS["address"]))
-                      .otherwise(l))
-    cnt = F.size(F.filter(lines, _address_line))
-    return F.concat(F.array_join(out, "\n"), tail), cnt.cast("int")
+
+    def of_parts(parts: Column) -> Column:
+        rest = F.element_at(parts, -1)                  # behind the header, or the last line
+        longer = F.size(parts) > n
+        # a final line break leaves an empty last part, which is no line
+        ended = (F.size(parts) > 1) & (rest == F.lit(""))
+        tail = F.when(longer & ~ended, F.concat(F.lit("\n"), join_lines(rest))).otherwise(F.lit(""))
+        head = F.when(longer | ended, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+        marked = F.transform(head, lambda l: F.when(_address_line(l), F.lit(fixed.TOKENS["address"])))
+        return let(marked, lambda m: F.struct(
+            F.concat(F.array_join(F.zip_with(head, m, lambda l, x: F.coalesce(x, l)), "\n"), tail).alias("text"),
+            F.size(F.filter(m, lambda x: x.isNotNull())).cast("int").alias("n")))
+
+    return F.when(text.isNotNull(), let(split_lines(text, n + 1), of_parts))
 
 
 # Existence of a sensitive line in LF-only text (any line start, then the rule).
@@ -162,35 +178,51 @@ def redact_sensitive_lines(text: Column, normalized: bool = False) -> tuple[Colu
     match; texts without one only get the line re-join (which still drops a
     final empty line), done as one regex instead of split + join.
     """
-    lines = splitlines(text)
-    hit = lambda l: l.rlike(SENSITIVE)
-    out = F.array_join(F.transform(lines, lambda l: F.when(hit(l), F.lit(fixed.TOKENS["sensitive_fields"]))
-                                   .otherwise(l)), "\n")
-    cnt = F.size(F.filter(lines, hit)).cast("int")
+    both = sensitive_lines(text)
     if not normalized:
-        return out, cnt
+        return both["text"], both["n"]
     any_hit = text.rlike(_SENSITIVE_ANY)
-    return F.when(any_hit, out).otherwise(join_lines(text)), F.when(any_hit, cnt).otherwise(F.lit(0))
+    return (F.when(any_hit, both["text"]).otherwise(join_lines(text)), F.when(any_hit, both["n"]).otherwise(F.lit(0)))
+
+
+def sensitive_lines(text: Column) -> Column:
+    """:func:`redact_sensitive_lines` as one ``struct<text, n>``, worked out once."""
+    def hit(line: Column) -> Column:
+        return (line.contains(":") | line.contains("-")) & line.rlike(SENSITIVE)
+
+    def of_lines(lines: Column) -> Column:
+        marked = F.transform(lines, lambda l: F.when(hit(l), F.lit(fixed.TOKENS["sensitive_fields"])))
+        return let(marked, lambda m: F.struct(
+            F.array_join(F.zip_with(lines, m, lambda l, x: F.coalesce(x, l)), "\n").alias("text"),
+            F.size(F.filter(m, lambda x: x.isNotNull())).cast("int").alias("n")))
+
+    return F.when(text.isNotNull(), let(splitlines(text), of_lines))
 
 
 def redact(df: DataFrame, text_col: str = "text", out_col: str = "redacted_text") -> DataFrame:
     """Add ``redacted_text``, ``redactions`` (struct of eight counts),
     ``total_redactions`` and ``candidate_name_detected``."""
     t = "__t"
-    out = df.withColumn("__name", detect_candidate_name(text_col))
-    text, n = redact_name(col(text_col), F.col("__name"))
-    out = out.withColumns({t: text, "__c_name": n})
-    passes = [("email", lambda x: redact_pattern(x, EMAIL, fixed.TOKENS["email"], "@")),
+    out = df.withColumns({"__name": detect_candidate_name(text_col), t: col(text_col)})
+    passes = [("name", lambda x: redact_name(x, F.col("__name"))),
+              ("email", lambda x: redact_pattern(x, EMAIL, fixed.TOKENS["email"], "@")),
               ("url", lambda x: redact_pattern(x, URL, fixed.TOKENS["url"], _url_possible(x))),
               ("aadhaar", lambda x: redact_pattern(x, AADHAAR, fixed.TOKENS["aadhaar"],
                                                    x.rlike(_FOUR_DIGITS))),
               ("pan", lambda x: redact_pattern(x, PAN, fixed.TOKENS["pan"], x.rlike("[0-9]{4}"))),
-              ("phone", lambda x: _when_digits(x, redact_phone_numbers)),
-              ("address", redact_header_addresses),
-              ("sensitive_fields", lambda x: redact_sensitive_lines(x, normalized=True))]
+              ("phone", lambda x: _when_digits(x, redact_phone_numbers))]
     for key, fn in passes:
+        # counted first: only a text with a match is rewritten
         text, n = fn(F.col(t))
-        out = out.withColumns({t: text, f"__c_{key}": n})
+        out = out.withColumn(f"__c_{key}", n)
+        out = out.withColumn(t, F.when(F.col(f"__c_{key}") > 0, text).otherwise(F.col(t)))
+    out = out.withColumn("__h", header_addresses(F.col(t)))
+    out = out.withColumns({t: F.col("__h.text"), "__c_address": F.col("__h.n")}).drop("__h")
+    any_hit = F.col(t).rlike(_SENSITIVE_ANY)
+    out = out.withColumn("__s", F.when(any_hit, sensitive_lines(F.col(t))))
+    out = out.withColumns({
+        t: F.when(F.col("__s").isNotNull(), F.col("__s.text")).otherwise(join_lines(F.col(t))),
+        "__c_sensitive_fields": F.coalesce(F.col("__s.n"), F.lit(0))}).drop("__s")
     counts = F.struct(*[F.col(f"__c_{k}").alias(k) for k in fixed.REDACTION_KEYS])
     total = sum((F.col(f"__c_{k}") for k in fixed.REDACTION_KEYS[1:]), F.col("__c_name"))
     return (out.withColumn(out_col, F.col(t))

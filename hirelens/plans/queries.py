@@ -20,8 +20,7 @@ from ..operators import recommend as R
 from ..operators import topk
 from ..operators.catalog import alias_index, catalog_table, find_catalog_skills
 from ..operators.match import analyze_match
-from ..operators.redact import (detect_candidate_name, redact, redact_header_addresses,
-                                redact_sensitive_lines)
+from ..operators.redact import detect_candidate_name, header_addresses, redact, sensitive_lines
 from ..operators.scorecard import (check_rows, find_sections, recommendations, scorecard,
                                    section_lists)
 from ..operators.similarity import counted_terms, pair_similarity, term_frequencies, term_rows
@@ -183,11 +182,10 @@ def candidate_name(spark, sf):
 
 def header_redaction(spark, sf):
     r = T.resumes(spark, sf)
-    t1, n1 = redact_header_addresses(F.col("text"))
-    x = r.select("resume_id", t1.alias("t1"), n1.alias("address_count"))
-    t2, n2 = redact_sensitive_lines(F.col("t1"))
+    x = r.select("resume_id", header_addresses(F.col("text")).alias("a"))
+    x = x.select("resume_id", F.col("a.n").alias("address_count"), sensitive_lines(F.col("a.text")).alias("s"))
     return x.select("resume_id", _long(F.col("address_count")).alias("address_count"),
-                    _long(n2).alias("sensitive_count"), F.sha2(t2, 256).alias("text_sha"))
+                    _long(F.col("s.n")).alias("sensitive_count"), F.sha2(F.col("s.text"), 256).alias("text_sha"))
 
 
 def redaction(spark, sf):
@@ -311,12 +309,12 @@ def llm_requests(spark, sf):
                       _long(F.col("privacy.total_redactions")).alias("total_redactions"))
 
 
-def _answers(spark, sf):
-    return R.parse_responses(T.view(spark, sf, "v_llm_responses"))
+def _answers(spark, sf, analysis=True):
+    return R.parse_responses(T.llm_responses(spark, sf), analysis=analysis)
 
 
 def llm_validation(spark, sf):
-    return _answers(spark, sf).select("application_id", "validation_error")
+    return _answers(spark, sf, analysis=False).select("application_id", "validation_error")
 
 
 def llm_bullets(spark, sf):
@@ -340,7 +338,7 @@ def llm_display(spark, sf):
 
 
 def llm_errors(spark, sf):
-    a = _answers(spark, sf)
+    a = _answers(spark, sf, analysis=False)
     err = R.call_error("error", "validation_error")
     return a.select("application_id", R.error_class(err).alias("error_class"), R.error_message(err).alias("message"))
 

@@ -23,18 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 SPREAD = "spark.hirelens.spread"
+SPREAD_ROWS = 2000          # smaller shares are not worth a task
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a text table by its key, if the session asks for it.
+def spread(df: DataFrame, stored: DataFrame) -> DataFrame:
+    """Deal the rows of a table to more tasks, if its files keep them in few.
 
-    A table stored as one row group is one task, whatever its size; a session
-    (the benchmark's, over such files) may set ``spark.hirelens.spread`` to a
-    number of partitions. Unset, the default, a table is left as it is read and
-    its text is never shuffled.
-    """
-    n = df.sparkSession.conf.get(SPREAD, None)
-    return df.repartition(int(n), key) if n else df
+    A row group is read by one task, whatever its size. ``stored``, the table as it is read,
+    tells from the files' footers how many rows each task gets; if the largest share is over
+    twice an even one, ``df`` is exchanged by row number (any key may be null or frequent), else
+    nothing is shuffled. ``spark.hirelens.spread`` fixes a number of partitions."""
+    spark = df.sparkSession
+    n = spark.conf.get(SPREAD, None)
+    if not n:
+        shares = stored.groupBy(F.spark_partition_id()).count().agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
+        cores = spark.sparkContext.defaultParallelism
+        if (shares.most or 0) <= max(SPREAD_ROWS, 2 * shares.rows / cores if shares.rows else 0):
+            return df
+        n = max(2, min(4 * cores, shares.rows // SPREAD_ROWS * 4))
+    return df.withColumn("__row", F.monotonically_increasing_id()).repartition(int(n), "__row").drop("__row")
 
 
 # Résumés: planted contact details, headings and skills in front of each document.
@@ -185,13 +192,17 @@ def view_sql(name: str) -> str:
 
 
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(view(spark, sf_dir, "v_resumes"), "resume_id")
+    return spread(view(spark, sf_dir, "v_resumes"), table(spark, sf_dir, "documents"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_jobs")
 
 
+def llm_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(view(spark, sf_dir, "v_llm_responses"), table(spark, sf_dir, "events"))
+
+
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_applications")
 

@@ -170,3 +170,13 @@ def test_request_options_hold_the_answer_schema(spark):
     schema = json.loads(req.first().options)["response_format"]["schema"]
     assert schema["required"] == [n for n, _ in fixed.ANSWER_FIELDS]
     assert schema["properties"]["evidence_checks"]["items"]["properties"]["status"]["enum"] == fixed.EVIDENCE_STATUSES
+
+
+def test_answers_are_parsed_once_whatever_is_filtered(spark):
+    """Filters on the analysis stay above the parser: one parse in the plan, none beside it."""
+    from hirelens.operators import recommend as R
+    df = spark.range(3).selectExpr("id AS application_id", "concat('[', id, ']') AS output_text").repartition(2)
+    answers = R.parse_responses(df)
+    assert answers.columns == ["application_id", "output_text", "validation_error", "analysis"]
+    plan = R.evidence_rows(answers.where("analysis IS NOT NULL"), ["application_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("from_json") == 1

@@ -85,3 +85,61 @@ def test_casefold_table_is_rule_derived():
     pairs = dict(X._fold_to_ascii_letters())
     assert pairs["ß"] == "ss" and pairs["ﬁ"] == "fi" and len(pairs) == 17
     assert F is not None
+
+
+def test_strip_characters_are_the_whitespace_class(spark):
+    """The characters stripped natively are those of the pattern class, no more and no less."""
+    from hirelens.functions.text import WS, WS_CHARS
+    every = [chr(i) for i in range(0x10000) if not 0xd800 <= i < 0xe000]
+    assert "".join(c for c, hit in zip(every, one_col(spark, every, lambda x: x.rlike(WS))) if hit) == WS_CHARS
+
+
+def test_lines_and_headers_against_python(spark):
+    """Line joins, header addresses and sensitive lines of texts with every kind of line break."""
+    import random
+    import re
+
+    from hirelens.functions import fixed
+    from hirelens.functions.text import join_lines, splitlines, unusual_ratio
+    from hirelens.operators.redact import header_addresses, sensitive_lines
+
+    rng = random.Random(4)
+    parts = ["\n", "\r\n", "\r", "\x0b", "\x85", " ", "x", "Lake Road", "PIN 411001", "DOB: 1", "sex - m", "", " ", "ﬂat", "STREET ß"]
+    texts = ["", "\n", "a\n", "a\r\n", *["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(120)], None]
+    joined = [None if t is None else "\n".join(t.splitlines()) for t in texts]
+    assert one_col(spark, texts, join_lines) == joined
+    assert one_col(spark, texts, splitlines) == [None if t is None else t.splitlines() for t in texts]
+
+    def address(line):
+        return any(w in line.casefold() for w in fixed.ADDRESS_WORDS) or re.search(r"\b[1-9][0-9]{5}\b", line)
+
+    def header(t):
+        if t is None:
+            return None
+        lines = "\n".join(t.splitlines()).split("\n")
+        return ("\n".join(fixed.TOKENS["address"] if i < 12 and address(x) else x for i, x in enumerate(lines)),
+                sum(1 for x in lines[:12] if address(x)))
+
+    assert [r and tuple(r) for r in one_col(spark, texts, header_addresses)] == [header(t) for t in texts]
+    labels = re.compile(r"(?i)\s*(?:" + "|".join(fixed.SENSITIVE_LABELS) + r")\s*[:\-]")
+    want = [t and ("\n".join(fixed.TOKENS["sensitive_fields"] if labels.match(x) else x for x in t.splitlines()),
+                   sum(1 for x in t.splitlines() if labels.match(x))) for t in texts]
+    assert [r and (tuple(r) if t else t) for r, t in zip(one_col(spark, texts, sensitive_lines), texts)] == want
+    assert one_col(spark, ["a~~b^", "", "~", "ok"], unusual_ratio) == [3 / 5, 1.0, 1.0, 0.0]
+
+
+def test_a_table_in_one_row_group_is_dealt_out(spark, tmp_path):
+    """A large share of one task is dealt to more, rows unchanged; small or even tables are left as they are."""
+    from pyspark.sql import functions as F
+
+    from hirelens.sources.tables import spread
+    for n, more in ((100, False), (9000, True)):
+        at = str(tmp_path / f"t{n}")
+        spark.range(n).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("id"), F.lit("t").alias("text")).coalesce(1).write.parquet(at)
+        df = spark.read.parquet(at)
+        out = spread(df, df)
+        assert sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+        tasks = out.groupBy(F.spark_partition_id()).count().count()
+        assert (tasks > 4) if more else (tasks == 1)
+    even = spark.range(0, 40000, 1, 8)
+    assert spread(even, even) is even
