@@ -7,9 +7,10 @@ size is a table ``(family, skill, alias)`` here, and never part of the plan:
 * an alias is split into the words it spans and what it has before and after
   them (``c++`` is ``c`` and then ``++``; ``.net`` is ``.`` and then ``net``);
   the part from its first to its last word is the key of the index;
-* a text is cut into runs of word characters and of others; every phrase of as
-  many words as some alias has is looked up by an equi-join on that key, and
-  the neighbouring characters decide whether the alias stands there by itself;
+* a text is cut into runs of word characters and of others; from every word that
+  begins some key, the next characters, as many as such keys have, are looked up by an
+  equi-join on the key, and the neighbouring characters decide whether the alias stands
+  there by itself (a key that ends within a word has a word character behind it);
 * an alias without any word character is looked up among the slices of the
   runs of other characters.
 
@@ -56,26 +57,18 @@ def alias_index(catalog: DataFrame) -> DataFrame:
         "words", F.length("a").alias("length")), "alias-index")
 
 
-def _phrases(text: Column, first: Column, lengths: list[int], reach: int) -> Column:
-    """``array<struct<key, before, after>>``: the phrases of each number of words; before and after
-    hold the nearest characters, with a letter in place of the neighbouring word."""
+def _starts(text: Column, first: Column, words: int, chars: int, reach: int) -> Column:
+    """``array<struct<first, before, ahead>>``: every word with what stands before it and, itself
+    included, the next characters: of ``words`` words and the runs behind each, ``chars`` at most."""
     n = F.size(text)
-    none = F.array().cast("array<struct<key: string, before: string, after: string>>")
+    none = F.array().cast("array<struct<first: string, before: string, ahead: string>>")
 
-    def at(i: Column, words: int) -> Column:
-        span = 2 * words - 1
+    def at(i: Column) -> Column:
         before = F.when(i > 1, F.concat(F.when(i > 2, _WORD).otherwise(""), F.element_at(text, i - 1))).otherwise("")
-        after = F.when(i + span <= n, F.concat(F.element_at(text, i + span),
-                                               F.when(i + span < n, _WORD).otherwise(""))).otherwise("")
-        return F.struct(F.array_join(F.slice(text, i, span), "").alias("key"),
-                        F.right(before, F.lit(reach)).alias("before"), F.left(after, F.lit(reach)).alias("after"))
-
-    def every(words: int) -> Column:
-        starts = F.sequence(first, n - 2 * words + 2, F.lit(2))
-        return F.when(n - first + 1 >= 2 * words - 1, F.transform(starts, lambda i: at(i, words))).otherwise(none)
+        return F.struct(F.element_at(text, i).alias("first"), F.right(before, F.lit(reach)).alias("before"),
+                        F.left(F.array_join(F.slice(text, i, 2 * words + 1), ""), F.lit(chars)).alias("ahead"))
 
-    out = [every(k) for k in lengths]
-    return F.concat(*out) if out else none
+    return F.when(n >= first, F.transform(F.sequence(first, n, F.lit(2)), at)).otherwise(none)
 
 
 def _slices(text: Column, first: Column, lengths: list[int]) -> Column:
@@ -109,17 +102,28 @@ def find_catalog_skills(docs: DataFrame, id_col: str, text_col: str, index: Data
     """``(id_col, {family}_skills, ...)``: per document the sorted names of each family's skills found.
 
     ``index`` is a stored :func:`alias_index`; every document keeps its row."""
-    sizes = index.agg(F.collect_set(F.when(F.col("words") > 0, F.col("words"))).alias("words"),
-                      F.collect_set(F.when(F.col("words") == 0, F.col("length"))).alias("lengths"),
+    some = F.col("words") > 0
+    sizes = index.agg(F.coalesce(F.max(F.when(some, F.col("words"))), F.lit(0)).alias("words"),
+                      F.coalesce(F.max(F.length("key")), F.lit(0)).alias("chars"),
+                      F.collect_set(F.when(~some, F.col("length"))).alias("lengths"),
                       F.max(F.greatest(F.length("lead"), F.length("trail"))).alias("reach")).first()
+    reach = (sizes.reach or 0) + 1
     runs = F.when(F.col("__t") != "", F.regexp_extract_all("__t", F.lit(f"{W}+|{_OTHER}+"), 0))
     text = docs.select(col(id_col), normalize_text(text_col).alias("__t")).select(
         id_col, runs.alias("__r"), F.when(F.col("__t").rlike(rf"\A{W}"), 1).otherwise(2).alias("__f"))
-    found = _phrases(F.col("__r"), F.col("__f"), sorted(sizes.words), (sizes.reach or 0) + 1)
+    found = _starts(F.col("__r"), F.col("__f"), sizes.words, sizes.chars + reach, reach)
     if sizes.lengths:
-        found = F.concat(found, _slices(F.col("__r"), F.col("__f"), sorted(sizes.lengths)))
-    phrases = text.where("__r IS NOT NULL").select(id_col, F.explode(found).alias("p")).select(id_col, "p.*")
-    keys = F.broadcast(index) if is_small(index) else index
+        found = F.concat(found, F.transform(_slices(F.col("__r"), F.col("__f"), sorted(sizes.lengths)), lambda x: F.struct(
+            x["key"].alias("first"), x["before"].alias("before"), F.concat(x["key"], x["after"]).alias("ahead"))))
+    starts = text.where("__r IS NOT NULL").select(id_col, F.explode(found).alias("p")).select(id_col, "p.*")
+    hint = F.broadcast if is_small(index) else lambda x: x
+    # a word is followed up only if a key begins with it, by one row for each length of such keys
+    firsts = index.select(F.when(some, F.regexp_extract("key", rf"\A({W}+)", 1)).otherwise(F.col("key")).alias("first"),
+                          F.length("key").alias("chars")).distinct()
+    rest = F.col("chars") + 1
+    phrases = starts.join(hint(firsts), "first").select(
+        id_col, F.left("ahead", F.col("chars")).alias("key"), "before", F.substring("ahead", rest, F.lit(reach)).alias("after"))
+    keys = hint(index)
     hits = phrases.join(keys, "key").where(_stands_alone(*map(F.col, ("before", "after", "lead", "trail"))))
     sets = [F.array_sort(F.collect_set(F.when(F.col("family") == f, F.col("skill")))).alias(f"{f}_skills") for f in families]
     per_doc = hits.groupBy(id_col).agg(*sets)

@@ -92,3 +92,17 @@ def test_feature_table_bucketed_by_id(spark, tmp_path):
     two = B.analyze(apps, resumes, jobs).select("application_id", "job_match_score", "ats_score", "error")
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
     spark.sql("DROP TABLE features_test")
+
+
+def test_only_words_that_begin_a_key_are_followed_up(spark):
+    """Keys of several lengths with one first word, keys that end within a word, aliases at the text's ends;
+    one row per word goes into the lookup, not one per phrase length."""
+    from hirelens.operators.catalog import alias_index, find_catalog_skills
+    rows = [("f", "one", "data"), ("f", "three", "data lake house"), ("f", "plus", "data++"), ("f", "dot", ".net"), ("f", "sign", "§")]
+    texts = ["data lake houses", "Data  lake house", "a data lake house", "data", "data++", "data+ x", "x.net", "x .net", "§ a", "a§", "", None]
+    index = alias_index(spark.createDataFrame(rows, "family string, skill string, alias string"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = find_catalog_skills(docs, "id", "text", index, ["f"])
+    assert [r.f_skills for r in found.orderBy("id").collect()] == [
+        ["one"], ["one"], ["one", "three"], ["one"], ["plus"], [], [], ["dot"], ["sign"], [], [], []]
+    assert "first" in found._jdf.queryExecution().optimizedPlan().toString()
