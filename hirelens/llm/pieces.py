@@ -229,7 +229,8 @@ class Lattice:
         return out[:n]
 
     def encode(self, texts: list[str], n: int):
-        """For texts: ids (flat), pieces per text, best score, and of each its n best scores and ids."""
+        """For texts: ids (flat), pieces per text, best score, and of each its n best scores and the
+        ids of those after the best."""
         parts = [self.segments(t) for t in texts]
         flat = list(itertools.chain.from_iterable(parts))
         self.learn(flat)
@@ -244,7 +245,7 @@ class Lattice:
             best.append(top)
             merged = self._merged(own, index[a:b], n)
             scores.append([top - loss for loss, _ in merged])
-            coded.append([self._changed(ids, total, int(a), int(b), changes) for _, changes in merged])
+            coded.append([self._changed(ids, total, int(a), int(b), changes) for _, changes in merged[1:]])
         return ids, total[ends], best, scores, coded
 
     @staticmethod
@@ -300,8 +301,8 @@ def lattice(path: str) -> Lattice:
 
 
 def encode(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
-    """(doc_id, ids, n_pieces, score, n_best_scores, round_trip, n_best_ids, decoded): the best
-    segmentation of every text, the scores and ids of its n best, the text that ``ids`` decode to, and
+    """(doc_id, ids, n_pieces, score, n_best_scores, round_trip, next_best_ids, decoded): the best
+    segmentation of every text, the scores of its n best, the ids of those after the best, the text that ``ids`` decode to, and
     whether all of the n best decode to the text."""
     def run(batches):
         model = lattice(path)
@@ -327,11 +328,11 @@ def encode(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(which.astype(np.int32)), pa.ListArray.from_arrays(
                         pa.array(flat_ends.astype(np.int32)), pa.array(flat_ids))),
                     pa.array([x.decode("utf-8", "replace") for x in shown], pa.string())],
-                    ["doc_id", "ids", "n_pieces", "score", "n_best_scores", "round_trip", "n_best_ids", "decoded"])
+                    ["doc_id", "ids", "n_pieces", "score", "n_best_scores", "round_trip", "next_best_ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, ids array<int>, n_pieces long, score double, n_best_scores array<double>, round_trip boolean, "
-             "n_best_ids array<array<int>>, decoded string")
+             "next_best_ids array<array<int>>, decoded string")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
