@@ -32,7 +32,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelens.llm.common import SliceTable, by_length, doc_groups, ragged, text_bytes
@@ -229,8 +229,8 @@ class Lattice:
         return out[:n]
 
     def encode(self, texts: list[str], n: int):
-        """For texts: ids (flat), pieces per text, best score, and of each its n best scores and the
-        ids of those after the best."""
+        """For texts: ids (flat), pieces per text, best score, and of each its n best scores and,
+        for those after the best, their edits of the best one's ids, the last edit first."""
         parts = [self.segments(t) for t in texts]
         flat = list(itertools.chain.from_iterable(parts))
         self.learn(flat)
@@ -245,19 +245,14 @@ class Lattice:
             best.append(top)
             merged = self._merged(own, index[a:b], n)
             scores.append([top - loss for loss, _ in merged])
-            coded.append([self._changed(ids, total, int(a), int(b), changes) for _, changes in merged[1:]])
+            coded.append([[self._edit(sizes, total, int(a), own, k, own_ids) for k, own_ids in sorted(changes, reverse=True)]
+                          for _, changes in merged[1:]])
         return ids, total[ends], best, scores, coded
 
-    @staticmethod
-    def _changed(ids: np.ndarray, total: np.ndarray, a: int, b: int, changes: list[tuple[int, tuple]]) -> np.ndarray:
-        """The ids of segments a..b, some segments' own replaced."""
-        if not changes:
-            return ids[total[a]: total[b]]
-        out, at = [], total[a]
-        for k, own in sorted(changes):
-            out += ids[at: total[a + k]], np.array(own, np.int32)
-            at = total[a + k + 1]
-        return np.concatenate([*out, ids[at: total[b]]])
+    def _edit(self, sizes: np.ndarray, total: np.ndarray, a: int, parts: list[str], k: int, ids: tuple) -> dict:
+        """The ids that stand for segment k of a text (whose segments begin at a) instead of its best ones."""
+        plain = b"".join([self.shown[i] for i in ids]) == parts[k].replace(SPACE, " ").encode()
+        return {"at": int(total[a + k] - total[a]), "n": int(sizes[a + k]), "ids": ids, "plain": plain}
 
     def text_n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of a whole text."""
@@ -301,9 +296,12 @@ def lattice(path: str) -> Lattice:
 
 
 def encode(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
-    """(doc_id, ids, n_pieces, score, n_best_scores, round_trip, next_best_ids, decoded): the best
-    segmentation of every text, the scores of its n best, the ids of those after the best, the text that ``ids`` decode to, and
+    """(doc_id, ids, n_pieces, score, n_best_scores, round_trip, next_best, decoded): the best
+    segmentation of every text, the scores of its n best, those after the best as edits of its ids (see
+    :func:`n_best_ids`), the text that ``ids`` decode to, and
     whether all of the n best decode to the text."""
+    edits = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+
     def run(batches):
         model = lattice(path)
         for batch in batches:
@@ -313,26 +311,28 @@ def encode(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
                 own = [raw[x:y] for x, y in zip(offs[a:b], offs[a + 1: b + 1])]
                 ids, ends, best, scores, coded = model.encode([t.decode() for t in own], n)
                 shown = model.decoded(ids, ends)
-                flat = list(itertools.chain.from_iterable(coded))
-                flat_ids = np.concatenate([np.zeros(0, np.int32), *flat])
-                flat_ends = np.cumsum([0, *map(len, flat)])
-                which = np.cumsum([0, *map(len, coded)])
-                all_shown = model.decoded(flat_ids, flat_ends)
-                same = [all(x == t for x in (plain, *all_shown[i:j]))
-                        for plain, t, i, j in zip(shown, own, which[:-1].tolist(), which[1:].tolist())]
+                # the others differ from the best in their edits only
+                same = [x == t and all(e["plain"] for edits in alts for e in edits) for x, t, alts in zip(shown, own, coded)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
                     pa.array(np.diff(ends)), pa.array(best, pa.float64()),
                     pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_()),
-                    pa.ListArray.from_arrays(pa.array(which.astype(np.int32)), pa.ListArray.from_arrays(
-                        pa.array(flat_ends.astype(np.int32)), pa.array(flat_ids))),
+                    pa.array(coded, edits),
                     pa.array([x.decode("utf-8", "replace") for x in shown], pa.string())],
-                    ["doc_id", "ids", "n_pieces", "score", "n_best_scores", "round_trip", "next_best_ids", "decoded"])
+                    ["doc_id", "ids", "n_pieces", "score", "n_best_scores", "round_trip", "next_best", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, ids array<int>, n_pieces long, score double, n_best_scores array<double>, round_trip boolean, "
-             "next_best_ids array<array<int>>, decoded string")
+             "next_best array<array<struct<at: int, n: int, ids: array<int>>>>, decoded string")
+
+
+def n_best_ids() -> Column:
+    """``array<array<int>>``: the full ids of a coded text's n best segmentations, the best first."""
+    def edited(ids: Column, e: Column) -> Column:
+        return F.concat(F.slice(ids, F.lit(1), e["at"]), e["ids"], F.slice(ids, e["at"] + e["n"] + 1, F.size(ids)))
+
+    return F.concat(F.array("ids"), F.transform("next_best", lambda edits: F.aggregate(edits, F.col("ids"), edited)))
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:

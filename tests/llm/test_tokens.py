@@ -124,14 +124,15 @@ def test_encode_and_decode_tables(spark):
 
 def test_n_best_segmentations_and_decoded_text(spark, model):
     texts = [None, "", "a\n b", "the thing", " lead  and", *sample(5, 30, 5)]
-    rows = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), MODEL).collect()
+    rows = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), MODEL).withColumn(
+        "all_ids", pieces.n_best_ids()).collect()
     for r in rows:
         text = texts[r.doc_id] or ""
         want = model.text_n_best(text, pieces.N_BEST)
-        assert [r.ids, *r.next_best_ids] == [ids for _, ids in want]
+        assert r.all_ids == [ids for _, ids in want] and r.all_ids[0] == r.ids
         assert r.n_best_scores == pytest.approx([s for s, _ in want])
         assert r.decoded == text.replace(pieces.SPACE, " ") and r.round_trip == (r.decoded == text)
-    assert len(rows) == len(texts) and any(len(r.next_best_ids) == pieces.N_BEST - 1 for r in rows)
+    assert len(rows) == len(texts) and any(len(r.all_ids) == pieces.N_BEST for r in rows)
 
 
 # ------------------------------------------------------------ chat
