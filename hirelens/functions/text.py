@@ -16,6 +16,7 @@ literals, which would eat the backslashes).
 from __future__ import annotations
 
 import functools
+import operator
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -59,7 +60,7 @@ def sql_name(name: str) -> str:
 # Lines, stripping, counting
 # ---------------------------------------------------------------------------
 BREAK_CHARS = r"\x0a-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}"
-OTHER_BREAK = r"[\x0b-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+OTHER_BREAKS = "\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"      # all but LF
 # The characters of ``WS``.
 WS_CHARS = "".join(map(chr, (*range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b),
                              0x2028, 0x2029, 0x202f, 0x205f, 0x3000)))
@@ -75,30 +76,42 @@ def _drop_final_break(c: Column) -> Column:
     return F.when(F.right(c, F.lit(1)).rlike(f"[{BREAK_CHARS}]"), F.regexp_replace(c, rf"(?:{LINE_BREAK})\z", "")).otherwise(c)
 
 
-def split_lines(c: Column, limit: int = -1) -> Column:
-    """Split at line breaks; without a CR each is one character."""
-    return F.when(c.contains("\r"), F.split(c, LINE_BREAK, limit)).otherwise(F.split(c, f"[{BREAK_CHARS}]", limit))
+def has_other_break(c: Column) -> Column:
+    """Whether the text holds a line break that is not LF (searches for fixed strings: a pattern
+    tries its class at every character and takes several times as long)."""
+    return functools.reduce(operator.or_, [c.contains(b) for b in OTHER_BREAKS])
+
+
+def split_lines(c: Column, limit: int = -1, other: Column | None = None) -> Column:
+    """Split at line breaks; texts with LF as their only line break are split without a pattern.
+    ``other``: :func:`has_other_break` if it is known (true is always right)."""
+    return F.when(has_other_break(c) if other is None else other, F.split(c, LINE_BREAK, limit)).otherwise(F.split(c, "\n", limit))
+
+
+def split_break_chars(c: Column) -> Column:
+    """The same with CR LF as two breaks, an empty line between them."""
+    return F.when(has_other_break(c), F.split(c, f"[{BREAK_CHARS}]", -1)).otherwise(F.split(c, "\n", -1))
 
 
 def splitlines(text: Column | str) -> Column:
     """``str.splitlines()``: one final line break is dropped first, so there is
     no trailing empty element; '' -> []."""
     c = col(text)
-    parts = let(_drop_final_break(c), split_lines)
+    parts = let(_drop_final_break(c), lambda t: split_lines(t))
     return F.when(c == F.lit(""), F.array().cast("array<string>")).otherwise(parts)
 
 
-def join_lines(text: Column | str) -> Column:
+def join_lines(text: Column | str, other: Column | None = None) -> Column:
     """``"\\n".join(text.splitlines())`` without materializing the lines; texts with LF as their
-    only line break are not rewritten."""
+    only line break are not rewritten. ``other`` as in :func:`split_lines`."""
     c = _drop_final_break(col(text))
-    return let(c, lambda t: F.when(t.rlike(OTHER_BREAK), F.regexp_replace(t, LINE_BREAK, "\n")).otherwise(t))
+    return let(c, lambda t: F.when(has_other_break(t) if other is None else other, F.regexp_replace(t, LINE_BREAK, "\n")).otherwise(t))
 
 
 def nonblank_lines(text: Column | str) -> Column:
     """Lines holding a non-whitespace character, unstripped, in order (a split is ten times
     as fast as extracting runs of other characters)."""
-    return F.filter(F.split(col(text), f"[{BREAK_CHARS}]", -1), lambda l: l.rlike(NOT_WS))
+    return F.filter(split_break_chars(col(text)), lambda l: l.rlike(NOT_WS))
 
 
 def strip(text: Column | str) -> Column:
@@ -133,7 +146,7 @@ def clean_text(text: Column | str) -> Column:
 def nonblank_stripped_lines(text: Column | str) -> Column:
     """``[l.strip() for l in text.splitlines() if l.strip()]`` (the empty line that a split
     leaves between CR and LF is dropped like any other)."""
-    return F.filter(F.transform(F.split(col(text), f"[{BREAK_CHARS}]", -1), strip), lambda l: l != F.lit(""))
+    return F.filter(F.transform(split_break_chars(col(text)), strip), lambda l: l != F.lit(""))
 
 
 # ---------------------------------------------------------------------------
@@ -198,8 +211,9 @@ def normalize_heading(line: Column) -> Column:
 # Scorecard predicates
 # ---------------------------------------------------------------------------
 EMAIL_CORE = fixed.EMAIL_CORE
-# A start is given up at once if its run of address characters does not end at "@".
-EMAIL = f"{BOUNDARY}(?=[A-Za-z0-9._%+-]++@){EMAIL_CORE}{END}"
+# The cheapest tests first: no start within an ASCII word, then none whose run of address characters
+# does not end at "@"; the Unicode boundary is looked at for what is left.
+EMAIL = f"(?:(?<![A-Za-z0-9_])|(?=[.%+-]))(?=[A-Za-z0-9._%+-]++@){BOUNDARY}{EMAIL_CORE}{END}"
 
 
 def has_email(text: Column | str) -> Column:

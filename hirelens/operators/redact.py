@@ -17,17 +17,23 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import (D, END, NOT_D, NOT_WS, START, WS,
                               EMAIL,
-                              casefold_ascii, col, collapse_ws, join_lines, let, nonblank_lines,
+                              casefold_ascii, col, collapse_ws, has_other_break, join_lines, let, nonblank_lines,
                               split_lines, splitlines, strip)
 
-URL = (rf"(?iu){START}(?:https?://|www\.){NOT_WS}+"
-       rf"|{START}(?:linkedin\.com|github\.com)/{NOT_WS}+")
+# Patterns begin with what their first character must be, so most positions fail at one cheap test.
+# (Without regard to case h, w, l and g are these eight characters only.)
+URL = (rf"(?iu)(?=[hwlgHWLG])(?:{START}(?:https?://|www\.){NOT_WS}+"
+       rf"|{START}(?:linkedin\.com|github\.com)/{NOT_WS}+)")
 AADHAAR = f"(?<!{D}){D}{{4}}{WS}?{D}{{4}}{WS}?{D}{{4}}(?!{D})"
 # Python's case-insensitive [A-Z] also accepts these four non-ASCII letters.
 _LETTER_I = r"[A-Za-z\x{130}\x{131}\x{17f}\x{212a}]"
 PAN = f"{START}{_LETTER_I}{{5}}[0-9]{{4}}{_LETTER_I}{END}"
-PHONE_CANDIDATE = rf"(?<!{D})(?:\+?{D}[{D} ().-]{{8,}}{D})(?!{D})"
-PIN = f"{START}[1-9][0-9]{{5}}{END}"
+_PHONE_BODY = rf"{D}[{D} ().-]{{8,}}{D}"
+PHONE_CANDIDATE = rf"(?=[+{D}])(?<!{D})(?:\+?{_PHONE_BODY})(?!{D})"
+PIN = f"(?=[1-9]){START}[1-9][0-9]{{5}}{END}"
+# What every text with a match holds; found by its digits, without looking behind each character.
+_AADHAAR_NEEDS = f"{D}{{4}}{WS}?{D}{{4}}{WS}?{D}{{4}}"
+_PAN_NEEDS = f"[0-9]{{4}}{_LETTER_I}"
 SENSITIVE = (rf"(?iu)\A{WS}*(?:" + "|".join(fixed.SENSITIVE_LABELS) + rf"){WS}*[:\-]")
 NAME_SHAPE = r"\A[A-Za-z][A-Za-z .'’-]+\z"
 
@@ -35,7 +41,7 @@ NAME_SHAPE = r"\A[A-Za-z][A-Za-z .'’-]+\z"
 _HEAD_SPLIT = 32
 
 
-def _first_nonblank_lines(text: Column, k: int) -> Column:
+def _first_nonblank_lines(text: Column, k: int, other: Column | None) -> Column:
     """The first ``k`` non-blank lines (unstripped). Only the first 32 lines
     are split off; the whole text is scanned only when those hold fewer than
     ``k`` non-blank lines and more lines follow."""
@@ -46,13 +52,13 @@ def _first_nonblank_lines(text: Column, k: int) -> Column:
 
         return let(F.filter(F.slice(parts, 1, _HEAD_SPLIT), lambda l: l.rlike(NOT_WS)), of_head)
 
-    return let(split_lines(text, _HEAD_SPLIT + 1), first)
+    return let(split_lines(text, _HEAD_SPLIT + 1, other), first)
 
 
-def detect_candidate_name(text: Column | str) -> Column:
+def detect_candidate_name(text: Column | str, other: Column | None = None) -> Column:
     """First of the first four non-blank lines that looks like a person's name
-    (whitespace collapsed), else null."""
-    header = _first_nonblank_lines(col(text), fixed.HEADER_NAME_LINES)
+    (whitespace collapsed), else null. ``other`` as in ``split_lines``."""
+    header = _first_nonblank_lines(col(text), fixed.HEADER_NAME_LINES, other)
     cands = F.transform(header, lambda l: collapse_ws(strip(l)))
 
     def looks_like_name(n: Column) -> Column:
@@ -75,11 +81,16 @@ def _count(text: Column, pattern: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, p), F.lit(0)).cast("int")
 
 
-def redact_name(text: Column, name: Column) -> tuple[Column, Column]:
-    pattern = F.concat(F.lit(r"(?iu)\Q"), name, F.lit(r"\E"))
-    has = name.isNotNull()
-    return (F.when(has, F.regexp_replace(text, pattern, F.lit(fixed.TOKENS["name"]))).otherwise(text),
-            F.when(has, _count(text, pattern)).otherwise(F.lit(0)))
+def name_pieces(text: Column, name: Column) -> Column:
+    """The text split at the name, in any letter case; null without a name. A name is a pattern of
+    its row, so one split serves the count and the new text."""
+    return F.split(text, F.concat(F.lit(r"(?iu)\Q"), name, F.lit(r"\E")), -1)
+
+
+def redact_name(text: Column, pieces: Column) -> tuple[Column, Column]:
+    """From :func:`name_pieces`."""
+    return (F.coalesce(F.array_join(pieces, fixed.TOKENS["name"]), text),
+            F.coalesce(F.size(pieces) - 1, F.lit(0)))
 
 
 def redact_pattern(text: Column, pattern: str, token: str,
@@ -101,31 +112,58 @@ def _url_possible(text: Column) -> Column:
     return text.contains("://") | low.contains("www.") | low.contains(".com/")
 
 
-_FOUR_DIGITS = f"{D}{{4}}"
-
-
 def _digits(s: Column) -> Column:
     return F.length(F.regexp_replace(s, NOT_D, ""))
 
 
+def _line_matches(text: Column, pattern: str, near) -> Column:
+    """All matches of a pattern that takes no LF, looked for only in the lines that ``near`` accepts
+    (no look-around tells an LF from the text's end)."""
+    lines = F.filter(F.split(text, "\n", -1), near)
+    return F.flatten(F.transform(lines, lambda l: F.regexp_extract_all(l, F.lit(pattern), 0)))
+
+
+def _each_line(text: Column, near, fn) -> Column:
+    """``fn`` of the lines that ``near`` accepts, the others as they are."""
+    return F.array_join(F.transform(F.split(text, "\n", -1), lambda l: F.when(near(l), fn(l)).otherwise(l)), "\n")
+
+
+def redact_emails(text: Column) -> tuple[Column, Column]:
+    def near(line: Column) -> Column:
+        return line.contains("@")
+
+    has = near(text)
+    out = _each_line(text, near, lambda l: F.regexp_replace(l, EMAIL, fixed.TOKENS["email"]))
+    cnt = F.size(_line_matches(text, EMAIL, near)).cast("int")
+    return F.when(has, out).otherwise(text), F.when(has, cnt).otherwise(F.lit(0))
+
+
+def _is_phone(candidate: Column) -> Column:
+    return _digits(candidate).between(10, 13)
+
+
+def _phone_line(line: Column) -> Column:
+    """``split`` and ``regexp_extract_all`` walk the same matches, so the line is
+    rebuilt as piece₀ + r₁ + piece₁ + ... with each rᵢ decided per match."""
+    pieces = F.split(line, PHONE_CANDIDATE, -1)
+    found = F.regexp_extract_all(line, F.lit(PHONE_CANDIDATE), 0)
+    repl = F.transform(found, lambda m: F.when(_is_phone(m), F.lit(fixed.TOKENS["phone"])).otherwise(m))
+    return F.array_join(F.zip_with(pieces, F.concat(repl, F.array(F.lit(""))), lambda p, r: F.concat(p, r)), "")
+
+
 def redact_phone_numbers(text: Column) -> tuple[Column, Column]:
-    """Candidates are replaced only when they hold 10..13 digits; others stay whole.
+    """Candidates are replaced only when they hold 10..13 digits; others stay whole."""
+    def near(line: Column) -> Column:
+        return line.rlike(_PHONE_BODY)
 
-    ``split`` and ``regexp_extract_all`` walk the same matches, so the text is
-    rebuilt as piece₀ + r₁ + piece₁ + ... with each rᵢ decided per match.
-    """
-    pieces = F.split(text, PHONE_CANDIDATE, -1)
-    found = F.regexp_extract_all(text, F.lit(PHONE_CANDIDATE), 0)
-    ok = lambda m: _digits(m).between(10, 13)
-    repl = F.transform(found, lambda m: F.when(ok(m), F.lit(fixed.TOKENS["phone"])).otherwise(m))
-    glued = F.zip_with(pieces, F.concat(repl, F.array(F.lit(""))), lambda p, r: F.concat(p, r))
-    return F.array_join(glued, ""), F.size(F.filter(found, ok)).cast("int")
+    return (_each_line(text, near, _phone_line),
+            F.size(F.filter(_line_matches(text, PHONE_CANDIDATE, near), _is_phone)).cast("int"))
 
 
-def _when_digits(text: Column, fn) -> tuple[Column, Column]:
-    """Phone candidates start with a digit: texts without one keep as they are."""
+def _when_phone(text: Column, fn) -> tuple[Column, Column]:
+    """Texts without a run of digits and separators as long as a phone candidate keep as they are."""
     out, cnt = fn(text)
-    has = text.rlike(D)
+    has = text.rlike(_PHONE_BODY)
     return F.when(has, out).otherwise(text), F.when(has, cnt).otherwise(F.lit(0))
 
 
@@ -146,8 +184,9 @@ def redact_header_addresses(text: Column) -> tuple[Column, Column]:
     return both["text"], both["n"]
 
 
-def header_addresses(text: Column) -> Column:
-    """:func:`redact_header_addresses` as one ``struct<text, n>``, worked out once."""
+def header_addresses(text: Column, other: Column | None = None) -> Column:
+    """:func:`redact_header_addresses` as one ``struct<text, n>``, worked out once. ``other`` as in
+    ``split_lines``."""
     n = fixed.HEADER_ADDRESS_LINES
 
     def of_parts(parts: Column) -> Column:
@@ -155,21 +194,26 @@ def header_addresses(text: Column) -> Column:
         longer = F.size(parts) > n
         # a final line break leaves an empty last part, which is no line
         ended = (F.size(parts) > 1) & (rest == F.lit(""))
-        tail = F.when(longer & ~ended, F.concat(F.lit("\n"), join_lines(rest))).otherwise(F.lit(""))
+        tail = F.when(longer & ~ended, F.concat(F.lit("\n"), join_lines(rest, other))).otherwise(F.lit(""))
         head = F.when(longer | ended, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
         marked = F.transform(head, lambda l: F.when(_address_line(l), F.lit(fixed.TOKENS["address"])))
         return let(marked, lambda m: F.struct(
             F.concat(F.array_join(F.zip_with(head, m, lambda l, x: F.coalesce(x, l)), "\n"), tail).alias("text"),
             F.size(F.filter(m, lambda x: x.isNotNull())).cast("int").alias("n")))
 
-    return F.when(text.isNotNull(), let(split_lines(text, n + 1), of_parts))
+    return F.when(text.isNotNull(), let(split_lines(text, n + 1, other), of_parts))
 
 
-# Existence of a sensitive line in LF-only text (any line start, then the rule).
-_SENSITIVE_ANY = (rf"(?iu)(?:\A|(?<=\n)){WS}*(?:" + "|".join(fixed.SENSITIVE_LABELS)
+# Existence of a sensitive line in LF-only text with an LF put in front (the last LF before the
+# label, then the rule; other whitespace may stand between).
+_SENSITIVE_ANY = (r"(?iu)\n[\x09\x0b-\x0d\x1c-\x20\x{85}\p{Z}]*(?:" + "|".join(fixed.SENSITIVE_LABELS)
                   + rf"){WS}*[:\-]")
 
 
+def _sensitive_possible(text: Column) -> Column:
+    return F.concat(F.lit("\n"), text).rlike(_SENSITIVE_ANY)
+
+
 def redact_sensitive_lines(text: Column, normalized: bool = False) -> tuple[Column, Column]:
     """Whole line -> token when it starts with a personal-field label.
 
@@ -181,7 +225,7 @@ def redact_sensitive_lines(text: Column, normalized: bool = False) -> tuple[Colu
     both = sensitive_lines(text)
     if not normalized:
         return both["text"], both["n"]
-    any_hit = text.rlike(_SENSITIVE_ANY)
+    any_hit = _sensitive_possible(text)
     return (F.when(any_hit, both["text"]).otherwise(join_lines(text)), F.when(any_hit, both["n"]).otherwise(F.lit(0)))
 
 
@@ -203,25 +247,29 @@ def redact(df: DataFrame, text_col: str = "text", out_col: str = "redacted_text"
     """Add ``redacted_text``, ``redactions`` (struct of eight counts),
     ``total_redactions`` and ``candidate_name_detected``."""
     t = "__t"
-    out = df.withColumns({"__name": detect_candidate_name(text_col), t: col(text_col)})
-    passes = [("name", lambda x: redact_name(x, F.col("__name"))),
-              ("email", lambda x: redact_pattern(x, EMAIL, fixed.TOKENS["email"], "@")),
+    # no pass adds a line break, so what the text itself lacks is looked for once
+    other = F.col("__other")
+    out = df.withColumns({"__other": has_other_break(col(text_col)), t: col(text_col)})
+    out = out.withColumn("__name", detect_candidate_name(F.col(t), other))
+    out = out.withColumn("__pieces", name_pieces(F.col(t), F.col("__name")))
+    passes = [("name", lambda x: redact_name(x, F.col("__pieces"))),
+              ("email", redact_emails),
               ("url", lambda x: redact_pattern(x, URL, fixed.TOKENS["url"], _url_possible(x))),
               ("aadhaar", lambda x: redact_pattern(x, AADHAAR, fixed.TOKENS["aadhaar"],
-                                                   x.rlike(_FOUR_DIGITS))),
-              ("pan", lambda x: redact_pattern(x, PAN, fixed.TOKENS["pan"], x.rlike("[0-9]{4}"))),
-              ("phone", lambda x: _when_digits(x, redact_phone_numbers))]
+                                                   x.rlike(_AADHAAR_NEEDS))),
+              ("pan", lambda x: redact_pattern(x, PAN, fixed.TOKENS["pan"], x.rlike(_PAN_NEEDS))),
+              ("phone", lambda x: _when_phone(x, redact_phone_numbers))]
     for key, fn in passes:
         # counted first: only a text with a match is rewritten
         text, n = fn(F.col(t))
         out = out.withColumn(f"__c_{key}", n)
         out = out.withColumn(t, F.when(F.col(f"__c_{key}") > 0, text).otherwise(F.col(t)))
-    out = out.withColumn("__h", header_addresses(F.col(t)))
+    out = out.withColumn("__h", header_addresses(F.col(t), other))
     out = out.withColumns({t: F.col("__h.text"), "__c_address": F.col("__h.n")}).drop("__h")
-    any_hit = F.col(t).rlike(_SENSITIVE_ANY)
+    any_hit = _sensitive_possible(F.col(t))
     out = out.withColumn("__s", F.when(any_hit, sensitive_lines(F.col(t))))
     out = out.withColumns({
-        t: F.when(F.col("__s").isNotNull(), F.col("__s.text")).otherwise(join_lines(F.col(t))),
+        t: F.when(F.col("__s").isNotNull(), F.col("__s.text")).otherwise(join_lines(F.col(t), F.lit(False))),
         "__c_sensitive_fields": F.coalesce(F.col("__s.n"), F.lit(0))}).drop("__s")
     counts = F.struct(*[F.col(f"__c_{k}").alias(k) for k in fixed.REDACTION_KEYS])
     total = sum((F.col(f"__c_{k}") for k in fixed.REDACTION_KEYS[1:]), F.col("__c_name"))
@@ -229,4 +277,4 @@ def redact(df: DataFrame, text_col: str = "text", out_col: str = "redacted_text"
                .withColumn("redactions", counts)
                .withColumn("total_redactions", total.cast("int"))
                .withColumn("candidate_name_detected", F.col("__name").isNotNull())
-               .drop(t, "__name", *[f"__c_{k}" for k in fixed.REDACTION_KEYS]))
+               .drop(t, "__other", "__name", "__pieces", *[f"__c_{k}" for k in fixed.REDACTION_KEYS]))

@@ -72,3 +72,37 @@ def test_invariants_on_random_texts(spark):
         assert all(token not in out or counts.get(k) for k, token in keys.items()), text
         assert (total > 0) or out.rstrip("\n") == "\n".join(text.splitlines()).rstrip("\n"), text
         assert "x@y.co" not in out or "x@y.co" in text
+
+
+def test_passes_by_line_equal_whole_text_patterns(spark):
+    """Emails, phones and links looked for where they can be are those of a pattern over the whole
+    text, and no line-break class is tried at every character."""
+    import re
+
+    from hirelens.operators.redact import PHONE_CANDIDATE, URL, _count, redact_emails, redact_pattern, redact_phone_numbers
+
+    w = r"[^\W]"
+    email = re.compile(rf"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))" + fixed.EMAIL_CORE + rf"(?!{w})")
+    phone = re.compile(r"(?<!\d)(?:\+?\d[\d ().-]{8,}\d)(?!\d)")
+    url = re.compile(rf"(?<!{w})(?:https?://|www\.)\S+|(?<!{w})(?:linkedin\.com|github\.com)/\S+", re.I)
+    rnd = random.Random(5)
+    parts = ["a", "é", "ß", "_", "-", ".", "+", " ", "\n", "\r", "\x85", "@", "@y.co", ".x@y.org", "x@y.co_", "1", "+91 98765", " 43210",
+             "(020) ", "٣٤٥", "123456", "12345678901234", "WWW.", "www.", "http://", "httpſ://", "GitHub.com/", "linKedin.com/", "x"]
+    texts = ["", "\n", *["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 25))) for _ in range(400)]]
+
+    def subbed(pattern, token, ok=lambda m: True):
+        hits = [[m for m in pattern.finditer(t) if ok(m[0])] for t in texts]
+        return [(pattern.sub(lambda m: token if ok(m[0]) else m[0], t), len(h)) for t, h in zip(texts, hits)]
+
+    def got(fn):
+        from pyspark.sql import functions as F
+        return [tuple(r) for r in one_col(spark, texts, lambda c: F.struct(*[x.alias(f"c{i}") for i, x in enumerate(fn(c))]))]
+
+    assert got(redact_emails) == subbed(email, M)
+    assert got(redact_phone_numbers) == subbed(phone, T, lambda m: 10 <= sum(ch.isdecimal() for ch in m) <= 13)
+    assert got(lambda c: redact_pattern(c, URL, U)) == subbed(url, U)
+    assert one_col(spark, texts, lambda c: _count(c, PHONE_CANDIDATE)) == [len(phone.findall(t)) for t in texts]
+
+    df = redact(spark.createDataFrame([(1, "x")], "i int, text string"), "text")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "__other" in plan and r"(?<=\n)" not in plan
