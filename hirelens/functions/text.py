@@ -227,10 +227,11 @@ def has_phone(text: Column | str) -> Column:
 
 
 def has_profile_link(text: Column | str) -> Column:
-    return col(text).rlike(fixed.PROFILE_LINK)
+    # one of the pattern's first letters (none has a non-ASCII form), tested before the alternatives
+    return col(text).rlike(f"(?=[lghpwLGHPW])(?:{fixed.PROFILE_LINK})")
 
 
-YEAR = f"{START}(?:19|20){D}{{2}}{END}"
+YEAR = f"(?=[12]){START}(?:19|20){D}{{2}}{END}"
 
 
 def date_count(text: Column | str) -> Column:
@@ -258,7 +259,8 @@ def unusual_ratio(text: Column | str) -> Column:
     """Share of characters that are neither alphanumeric, whitespace nor an
     allowed symbol; 1.0 for the empty text."""
     c = col(text)
-    unusual = F.length(F.regexp_replace(c, f"[\\p{{L}}\\p{{N}}{WS_BODY}{_allowed_class()}]+", ""))
+    # the letters and digits are a class of their own, tried before the rest
+    unusual = F.length(F.regexp_replace(c, f"[[\\p{{L}}\\p{{N}}][{WS_BODY}{_allowed_class()}]]+", ""))
     return F.when(F.length(c) == 0, F.lit(1.0)).otherwise(unusual / F.length(c))
 
 

@@ -1,5 +1,7 @@
 """Skills, similarity and the overall match; the oracle SQL judges every pair of the fixture (test_entry)."""
 
+import re
+import unicodedata
 import tfidf
 from conftest import SF_SMALL, one_col
 from pyspark.sql import functions as F
@@ -65,3 +67,25 @@ def test_invariants(spark):
         | (F.size(F.array_union("matched_technical", "missing_technical"))
            != F.size("job_technical_skills")))
     assert bad.count() == 0
+
+
+def test_a_text_is_folded_once_and_aliases_are_found_alone(spark):
+    """The plan folds a text once for all skills; the short prefilter loses no alias."""
+    from hirelens.functions import fixed
+    from hirelens.operators.skills import _shortest, with_skills
+    aliases = {**fixed.TECHNICAL_SKILLS, **fixed.SOFT_SKILLS}
+    texts = [f"{x}{a}{y}" for own in aliases.values() for a in own for x, y in (("", ""), ("é", ""), (". ", ",ß"), ("+", ""), ("", "_"))]
+    df = with_skills(spark.createDataFrame(list(enumerate([*texts, None])), "i int, text string"), "text")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") <= 4
+
+    def found(text, catalog):
+        edge = r"[^\W]|[+#]"
+        return sorted(n for n, own in catalog.items() if any(
+            re.search(rf"(?<!{edge}){re.escape(a.casefold())}(?!{edge})".replace(edge, r"[\w+#]"), text) for a in own))
+
+    for r in df.collect():
+        text = unicodedata.normalize("NFKC", r.text or "").casefold()
+        assert r.technical_skills == found(text, fixed.TECHNICAL_SKILLS), r.text
+        assert r.soft_skills == found(text, fixed.SOFT_SKILLS), r.text
+    assert _shortest(["c language", "programming in c", "c"]) == ["c"]
