@@ -108,17 +108,18 @@ def rating(score: Column) -> Column:
 
 
 def scorecard(df: DataFrame, text_col: str = "text", filename_col: str = "filename",
-              extension_col: str = "extension", keep: list[str] | None = None) -> DataFrame:
+              extension_col: str = "extension", keep: list[str] | None = None,
+              words: Column | None = None) -> DataFrame:
     """Add the scorecard columns: ``score, rating, checks, sections,
     missing_sections, word_count`` (plus ``filename``) to every row.
 
     Per-row features are computed in one projection and reused, so each
-    regex scans the text once.
+    regex scans the text once. ``words``: the text's word count if it is known.
     """
     keep = keep if keep is not None else [c for c in df.columns]
     base = df.select(
         *keep,
-        word_count(text_col).alias("word_count"),
+        (word_count(text_col) if words is None else words).alias("word_count"),
         nonblank_stripped_lines(text_col).alias("_lines"),
         has_email(text_col).alias("_email"),
         has_phone(text_col).alias("_phone"),

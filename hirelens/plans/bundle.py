@@ -40,7 +40,8 @@ def resume_features(resumes: DataFrame) -> DataFrame:
     ``resumes(resume_id, filename, extension, text[, length])``."""
     rec = prepare(resumes)
     rec = rec.withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
-    card = scorecard(rec.select("resume_id", "filename", "extension", "text", "characters", "words", "error"))
+    card = scorecard(rec.select("resume_id", "filename", "extension", "text", "characters", "words", "error"),
+                     words=F.when(F.col("text").isNull(), 0).otherwise(F.col("words")).cast("int"))
     x = match_features(card)
     return x.select(
         "resume_id", "error", F.struct("filename", "extension", "characters", "words").alias("resume_data"),
